@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaktavya.functions.vocabulary import (
     BEFORE_SECOND,
@@ -31,7 +32,7 @@ _DIGITS = r"^\p{Nd}+$"
 _NUMBER = "decimal(38,0)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; the JVM has it, but no built-in function reaches it."""
     return text.str.normalize("NFKC")

@@ -180,7 +180,7 @@ def paired_delta_ci(
         return observed.select("delta", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
     resampled = draws(counts_a.sparkSession, n, n_boot, seed).join(totals, "place").groupBy("boot_id").agg(delta(F.col("times")).alias("value"))
     interval = _percentiles(resampled, alpha)
-    return observed.join(F.broadcast(interval))
+    return observed.select("delta", interval.select("low").scalar().alias("low"), interval.select("high").scalar().alias("high"))
 
 
 def corpus_facts(release: DataFrame, short: float = 2.0) -> DataFrame:

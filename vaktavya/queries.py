@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vaktavya.functions.distance import word_counts
+from vaktavya.functions.ids import plain_id
+from vaktavya.functions.normalize import fold, nfkc, normalize, with_normal_forms
+from vaktavya.inference import recognisers, routing
+from vaktavya.operators import scoring
 from vaktavya.operators.packed import unpack
+from vaktavya.semantic import judge, pipeline
+from vaktavya.sources import speech
 from vaktavya.sources.records import damaged_records, sound_records
 from vaktavya.sources.tables import table
+from vaktavya.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +44,293 @@ def p7_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sound_records(table(spark, folder, "raw_predictions"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p7_found, p7_reasons, p7_rows)}
+def release_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The release, rows that are repeated whole once."""
+    return table(spark, folder, "release", *speech.RELEASE.fieldNames()).distinct()
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions with the plain id and a trimmed status; row_id is the order of attempts."""
+    rows = table(spark, folder, "predictions")
+    return rows.withColumns({"utterance_id": plain_id(F.col("utterance_id")), "status": F.trim("status"), "attempt": F.col("row_id")})
+
+
+def system(spark: SparkSession, folder: str, provider: str) -> DataFrame:
+    """Best attempts of one recogniser."""
+    return speech.best_attempts(attempts(spark, folder).where(F.col("provider") == provider)).select("utterance_id", "prediction")
+
+
+def systems(spark: SparkSession, folder: str) -> DataFrame:
+    """Best attempt of every recogniser for each released utterance that it has one for."""
+    keyed = attempts(spark, folder).withColumn("_key", F.concat_ws("\x1f", "provider", "utterance_id"))
+    best = speech.best_attempts(keyed, "_key").select("provider", "utterance_id", "prediction")
+    wanted = release_rows(spark, folder).select("utterance_id", "call_id", "language", "domain", "transcription", "keywords")
+    return best.join(wanted, "utterance_id").withColumn("prediction", F.coalesce("prediction", F.lit("")))
+
+
+def scan_project(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns that scoring needs."""
+    return release_rows(spark, folder).select("utterance_id", "call_id", "transcription", "keywords")
+
+
+def dedupe_last_success(spark: SparkSession, folder: str) -> DataFrame:
+    """Row of the best attempt of each utterance and recogniser: the last successful one, or else the last."""
+    keyed = attempts(spark, folder).withColumn("_key", F.concat_ws("\x1f", "provider", "utterance_id"))
+    return speech.best_attempts(keyed, "_key").select("provider", "utterance_id", "row_id")
+
+
+def repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances with several predictions."""
+    return speech.repeated_ids(attempts(spark, folder))
+
+
+def missing_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances that no recogniser answered."""
+    return speech.missing_predictions(release_rows(spark, folder), attempts(spark, folder)).select("utterance_id")
+
+
+def align_left(spark: SparkSession, folder: str) -> DataFrame:
+    """The release with one recogniser's predictions; utterances without one have the empty text."""
+    rows = speech.align(release_rows(spark, folder), system(spark, folder, "aldervox"), require_complete=False)
+    return rows.select("utterance_id", "transcription", "prediction")
+
+
+def tag_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of every tag, joined by commas."""
+    return release_rows(spark, folder).select("utterance_id", F.array_join(speech.tag_codes(F.col("language_tag")), ",").alias("codes"))
+
+
+def without_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances without Malayalam that aren't just Hindi and Marathi."""
+    return speech.without_languages(release_rows(spark, folder), ("ml",), (("hi", "mr"),)).select("utterance_id")
+
+
+def first_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The hundred longest utterances: a top-k report."""
+    rows = release_rows(spark, folder).select("utterance_id", F.coalesce("duration_sec", F.lit(-1.0)).alias("seconds"))
+    return rows.orderBy(F.col("seconds").desc(), "utterance_id").limit(100)
+
+
+def batch_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances of each batch of at most sixteen of one language and domain."""
+    rows = speech.batches(release_rows(spark, folder), F.concat_ws("/", "language", "domain"), 16, F.col("utterance_id"))
+    return rows.groupBy(F.concat_ws("/", "language", "domain").alias("lane"), "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+def folded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcriptions with characters, case, punctuation and blanks folded."""
+    rows = release_rows(spark, folder).select("utterance_id", nfkc(F.col("transcription")).alias("t"))
+    return rows.select("utterance_id", fold(F.col("t")).alias("folded"))
+
+
+def settled_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions, folded, with fillers and spellings settled."""
+    rows = table(spark, folder, "predictions").select("row_id", nfkc(F.col("prediction")).alias("t"))
+    return rows.select("row_id", normalize(F.col("t"), numbers=False).alias("settled"))
+
+
+def _spelled_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes and quantities below a thousand, and the words that say them."""
+    numbers = table(spark, folder, "lineitem").select(F.pmod(F.col("l_orderkey") * 31 + F.col("l_partkey"), F.lit(1000)).cast("int").alias("n")).distinct()
+    small = F.array(*(F.lit(w) for w in "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()))
+    tens = F.array(*(F.lit(w) for w in "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()))
+    hundreds, rest = F.floor(F.col("n") / 100).cast("int"), F.pmod("n", F.lit(100)).cast("int")
+    two = F.when(rest < 20, F.get(small, rest)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(rest / 10).cast("int")), F.when(rest % 10 > 0, F.get(small, rest % 10))))
+    said = F.when(hundreds == 0, two).when(rest == 0, F.concat(F.get(small, hundreds), F.lit(" hundred"))).otherwise(F.concat_ws(" ", F.get(small, hundreds), F.lit("hundred and"), two))
+    return numbers.select("n", said.alias("said"))
+
+
+def number_words_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers that were spelled out come back digit by digit."""
+    rows = _spelled_numbers(spark, folder)
+    return rows.select("n", normalize(F.concat(F.col("said"), F.lit(" thousand rupees"))).alias("digits"))
+
+
+def ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordinals with figures become cardinals."""
+    rows = table(spark, folder, "lineitem").select("l_linenumber").distinct()
+    ending = F.when(F.col("l_linenumber") == 1, "st").when(F.col("l_linenumber") == 2, "nd").when(F.col("l_linenumber") == 3, "rd").otherwise("th")
+    return rows.select("l_linenumber", normalize(F.concat(F.lit("the "), F.col("l_linenumber"), ending, F.lit(" item, second time"))).alias("cardinal"))
+
+
+def decimal_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Spoken points between numbers vanish, so that spoken and written decimals agree."""
+    rows = table(spark, folder, "lineitem").select(F.round("l_discount", 2).alias("d")).distinct()
+    spoken = F.concat(F.lit("zero point "), F.array_join(F.split(F.format_string("%02d", F.round(F.col("d") * 100).cast("int")), ""), " "))
+    return rows.select("d", normalize(F.trim(spoken)).alias("spoken"))
+
+
+def plain_word_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Word edits of every recogniser without number and spelling rules."""
+    rows = with_normal_forms(systems(spark, folder), {"transcription": "r", "prediction": "h"}, numbers=False, spellings=False)
+    counted = rows.withColumn("c", word_counts(F.col("r"), F.col("h")))
+    return counted.select("provider", "utterance_id", "c.edits", "c.units")
+
+
+def plain_wer_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Word error rates overall, by recogniser, language and domain in one pass, without number and spelling rules."""
+    rows = with_normal_forms(systems(spark, folder), {"transcription": "r", "prediction": "h"}, numbers=False, spellings=False)
+    none = F.lit(0).cast("bigint")
+    counted = rows.withColumn("c", word_counts(F.col("r"), F.col("h"))).select(
+        "provider", "language", "domain", F.col("c.edits").alias("w_edits"), F.col("c.units").alias("w_units"), *(none.alias(c) for c in scoring.COUNTS[2:])
+    )
+    return scoring.score_sets(counted, "provider", "language", "domain").select("breakdown", "value", "utterances", "reference_words", "wer")
+
+
+def counts_of_systems(spark: SparkSession, folder: str) -> DataFrame:
+    """All counts of every row."""
+    return scoring.row_counts(systems(spark, folder))
+
+
+def row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The nine counts of every recogniser and utterance."""
+    return counts_of_systems(spark, folder).select("provider", "utterance_id", *scoring.COUNTS)
+
+
+def score_overall(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus score of one recogniser over the whole release."""
+    rows = speech.align(release_rows(spark, folder), system(spark, folder, "aldervox"), require_complete=False)
+    return scoring.score(scoring.row_counts(rows))
+
+
+def score_by_provider(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus score for each recogniser."""
+    return scoring.score_by(counts_of_systems(spark, folder), "provider")
+
+
+def score_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Overall score and breakdowns in one pass."""
+    return scoring.score_sets(counts_of_systems(spark, folder), "provider", "language", "domain")
+
+
+def call_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of counts by call."""
+    return scoring.call_totals(counts_of_systems(spark, folder))
+
+
+def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
+    """Interval of one recogniser's word error rate."""
+    rows = speech.align(release_rows(spark, folder), system(spark, folder, "aldervox"), require_complete=False)
+    return scoring.bootstrap_ci(scoring.row_counts(rows, keywords=False))
+
+
+def paired_delta_ci(spark: SparkSession, folder: str) -> DataFrame:
+    """Difference of two recognisers and its interval."""
+    release = release_rows(spark, folder)
+    a, b = (scoring.row_counts(speech.align(release, system(spark, folder, p), require_complete=False), keywords=False) for p in ("aldervox", "brooktalk"))
+    return scoring.paired_delta_ci(a, b)
+
+
+def corpus_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of the release."""
+    facts = scoring.corpus_facts(release_rows(spark, folder))
+    return facts.select("utterances", F.round("hours", 6).alias("hours"), "calls", F.round("mixed_share", 9).alias("mixed_share"), F.round("short_share", 9).alias("short_share"), F.round("keyword_share", 9).alias("keyword_share"))
+
+
+def normal_form_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances whose stored normal form differs."""
+    return scoring.normal_form_drift(release_rows(spark, folder)).select("utterance_id", "expected")
+
+
+def sampled_in(spark: SparkSession, folder: str) -> DataFrame:
+    """A fixed sample of a tenth, by the hash of the row id: a sampling operator."""
+    rows = table(spark, folder, "predictions", "row_id")
+    return rows.where(judge.sampled_in(F.col("row_id"), 0.1))
+
+
+def question_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of questions about predictions."""
+    rows = table(spark, folder, "predictions")
+    return rows.select("row_id", judge.identity(F.col("utterance_id"), F.col("prediction"), F.col("provider")).alias("cache_key"))
+
+
+def latest_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The last answer of each key, as its number of pairs."""
+    answers = judge.latest_answers(table(spark, folder, "judge_cache"))
+    return answers.select("cache_key", F.coalesce(F.size("response.equivalences"), F.lit(-1)).cast("bigint").alias("n_pairs"))
+
+
+def pending_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions without a judge's answer."""
+    answered = table(spark, folder, "judge_cache").where("response IS NOT NULL").select("row_id")
+    return table(spark, folder, "predictions", "row_id").join(answered, "row_id", "left_anti")
+
+
+def semantic_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Semantic edits of every prediction with a reference, by the answers in the judge's cache."""
+    release = release_rows(spark, folder).select("utterance_id", "language", "transcription")
+    rows = attempts(spark, folder).select("row_id", "utterance_id", "prediction").join(release, "utterance_id")
+    prepared = pipeline.prepare(rows, "row_id", "transcription", "prediction", "language")
+    cache = table(spark, folder, "judge_cache").where("row_id IS NOT NULL AND response IS NOT NULL")
+    # this cache is keyed by prediction; a row's last answer counts
+    answers = cache.groupBy("row_id").agg(F.max_by("response", "cached_at").alias("response")).select(F.col("row_id").cast("string").alias("cache_key"), "response")
+    keyed = prepared.withColumn("cache_key", F.when(F.col("status").isNull(), F.col("row_key").cast("string")))
+    return pipeline.judged(keyed, answers)
+
+
+def semantic_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Semantic and lexical rates by language."""
+    return pipeline.semantic_score(semantic_rows(spark, folder), "language")
+
+
+def routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages as recognisers take them."""
+    language, tag, mixed = F.col("language"), F.col("language_tag"), F.col("is_code_mixed")
+    return release_rows(spark, folder).select(
+        "utterance_id",
+        routing.one_or_many(language, mixed, ("hi", "en", "bn", "ta", "te", "kn", "mr", "gu"), ("hi", "en")).alias("one_or_many"),
+        routing.regional(language).alias("regional"),
+        F.coalesce(routing.code_or_null(language), F.lit("-")).alias("code"),
+        routing.supported_or(tag, ("bn", "en", "gu", "hi", "kn", "ml", "mr", "ta", "te"), "multi").alias("supported"),
+        F.coalesce(F.array_join(routing.language_hints(tag, language), ","), F.lit("-")).alias("hints"),
+        routing.language_name(language).alias("name"),
+    )
+
+
+def status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Results by status."""
+    return recognisers.status_counts(table(spark, folder, "predictions").select(F.lower(F.trim("status")).alias("status")))
+
+
+def run_tallies(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that succeeded and ids that only failed."""
+    rows = attempts(spark, folder).select("utterance_id", F.lower("status").alias("status"))
+    return recognisers.tallies(rows)
+
+
+def unfinished(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances that a resumed run would take up."""
+    rows = attempts(spark, folder).select("utterance_id", F.lower("status").alias("status"))
+    return release_rows(spark, folder).join(recognisers.finished(rows), "utterance_id", "left_anti").select("utterance_id")
+
+
+def transcribed(spark: SparkSession, folder: str) -> DataFrame:
+    """A run of the test recogniser, with each transcription's bytes as its audio; null ones have none."""
+    rows = release_rows(spark, folder).dropDuplicates(["utterance_id"])
+    audio = rows.where("transcription IS NOT NULL").select("utterance_id", F.col("transcription").cast("binary").alias("audio"))
+    return recognisers.transcribe(rows, audio, recognisers.Echo).select("utterance_id", "prediction", "status")
+
+
+def streamed_status_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions by day and status, counted as a stream with windows over the time of writing."""
+    like = table(spark, folder, "predictions")
+    rows = live.arriving(spark, f"{folder.rstrip('/')}/predictions.parquet*", like).where("written_at IS NOT NULL")
+    counts = rows.groupBy(F.window("written_at", "1 day"), F.lower(F.trim(F.coalesce("status", F.lit("")))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    name = f"status_days_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "status", "n")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p4_found, p7_found, p7_reasons, p7_rows, scan_project, dedupe_last_success, repeated_ids, missing_predictions, align_left, tag_codes,
+        without_languages, first_rows, batch_sizes, folded_texts, settled_spellings, number_words_roundtrip, ordinals, decimal_points,
+        plain_word_counts, plain_wer_sets, row_counts, score_overall, score_by_provider, score_sets, call_totals, bootstrap_ci, paired_delta_ci,
+        corpus_facts, normal_form_drift, sampled_in, question_keys, latest_answers, pending_rows, semantic_rows, semantic_score, routes,
+        status_counts, run_tallies, unfinished, transcribed, streamed_status_days,
+    )
+}
 
 _TEXT = r"""("([^"]|"")*"|[^",\r\n]*)"""
 _SOUND = ",".join(
@@ -47,9 +343,150 @@ _SOUND = ",".join(
     ]
 )
 
+_RELEASE = "(SELECT DISTINCT * FROM release)"
+_CLEAN = r"regexp_replace(utterance_id, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g')"
+_IS_ID = rf"regexp_matches({_CLEAN}, '(?i)(^|[/\\])c[0-9]+[_ -]t[0-9]+([.][a-z0-9]+)?$')"
+
+
+def _pad(group: int, width: int) -> str:
+    digits = rf"regexp_replace(regexp_extract({_CLEAN}, '(?i)c([0-9]+)[_ -]t([0-9]+)([.][a-z0-9]+)?$', {group}), '^0+([0-9])', '\1')"
+    return f"lpad({digits}, CAST(greatest(length({digits}), {width}) AS INTEGER), '0')"
+
+
+_ID = f"CASE WHEN {_IS_ID} THEN 'c' || {_pad(1, 8)} || '_t' || {_pad(2, 4)} ELSE {_CLEAN} END"
+_ATTEMPTS = f"""(
+    SELECT row_id, provider, prediction, {_ID} AS utterance_id, trim(status) AS status,
+        coalesce(lower(trim(status)) IN ('success', 'ok'), false) AS good
+    FROM predictions
+)"""
+_BEST = f"""(
+    SELECT * FROM {_ATTEMPTS}
+    QUALIFY row_number() OVER (PARTITION BY coalesce(provider || chr(31), '') || coalesce(utterance_id, '') ORDER BY good DESC, row_id DESC) = 1
+)"""
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+
+
+def _folded(text: str) -> str:
+    """SQL of the folded text; of the compatibility forms, those that the tables hold."""
+    ascii_ = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    digits = "".join(chr(z + d) for z in (0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66) for d in range(10))
+    plain = f"nfc_normalize(replace(replace(translate(coalesce({text}, ''), '{_WIDE}', '{ascii_}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'))"
+    spoken = f"lower(translate({plain}, '{digits}''’ʼ´`' || chr(8204) || chr(8205), '{'0123456789' * 9}'))"
+    spoken = f"replace(replace(replace({spoken}, '%', ' percent '), '₹', ' rupees '), '$', ' dollars ')"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({spoken}, '[\p{{P}}\p{{Z}}]', ' ', 'g'), '(\p{{Sc}})', ' \1 ', 'g'), '[\s\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split({_folded(text)}, ' '), lambda w: w <> '')"
+
+
+_DISTANCE = """list_reduce(r, lambda prev, t: list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(range(1, j + 1),
+    lambda k: j - k + CASE WHEN k = 1 THEN prev[1] + 1 ELSE least(prev[k] + 1, prev[k - 1] + CASE WHEN h[k - 1] = t THEN 0 ELSE 1 END) END))),
+    range(0, len(h) + 1))"""
+_COUNTED = f"""(
+    SELECT provider, utterance_id, language, domain,
+        CAST(CASE WHEN len(r) = 0 THEN 0 ELSE list_extract({_DISTANCE}, -1) END AS BIGINT) AS edits, CAST(len(r) AS BIGINT) AS units
+    FROM (
+        SELECT provider, utterance_id, language, domain, {_words('transcription')} AS r, {_words('prediction')} AS h
+        FROM {_BEST} JOIN {_RELEASE} USING (utterance_id)
+    )
+)"""
+_CODES = "list_sort(list_distinct(list_filter(string_split(translate(lower(trim(coalesce(language_tag, ''))), '_', '-'), '-'), lambda c: c <> '')))"
+_CODE = "lower(trim(coalesce(language, '')))"
+_SETTLED = r"""regexp_replace(regexp_replace(regexp_replace(w, '^h*m{2,}$', 'hmm'), '^a+h+$', 'ah'), '^h+a+$', 'ha')"""
+
 SQL: dict[str, str] = {
     "p7_found": f"""
         SELECT DISTINCT line_id FROM raw_predictions
         WHERE raw_line IS NULL OR NOT regexp_full_match(raw_line, '{_SOUND}')
     """,
+    "scan_project": f"SELECT utterance_id, call_id, transcription, keywords FROM {_RELEASE}",
+    "dedupe_last_success": f"SELECT provider, utterance_id, row_id FROM {_BEST}",
+    "repeated_ids": f"SELECT utterance_id, count(*) AS n_rows FROM {_ATTEMPTS} GROUP BY utterance_id HAVING count(*) > 1",
+    "missing_predictions": f"SELECT utterance_id FROM {_RELEASE} r WHERE NOT EXISTS (SELECT 1 FROM {_ATTEMPTS} a WHERE a.utterance_id = r.utterance_id)",
+    "align_left": f"""
+        SELECT r.utterance_id, transcription, coalesce(b.prediction, '') AS prediction
+        FROM {_RELEASE} r LEFT JOIN (SELECT * FROM {_BEST} WHERE provider = 'aldervox') b USING (utterance_id)
+    """,
+    "tag_codes": f"SELECT utterance_id, array_to_string({_CODES}, ',') AS codes FROM {_RELEASE}",
+    "without_languages": f"""
+        SELECT utterance_id FROM (
+            SELECT utterance_id, list_sort(list_distinct(CASE WHEN {_CODE} = '' THEN {_CODES} ELSE list_append({_CODES}, {_CODE}) END)) AS codes FROM {_RELEASE}
+        ) WHERE NOT list_contains(codes, 'ml') AND codes <> ['hi', 'mr']
+    """,
+    "first_rows": f"SELECT utterance_id, coalesce(duration_sec, -1.0) AS seconds FROM {_RELEASE} ORDER BY seconds DESC, utterance_id LIMIT 100",
+    "batch_sizes": f"""
+        SELECT lane, batch, count(*) AS n FROM (
+            SELECT concat_ws('/', language, domain) AS lane,
+                CAST((row_number() OVER (PARTITION BY concat_ws('/', language, domain) ORDER BY utterance_id) - 1) // 16 AS BIGINT) AS batch
+            FROM {_RELEASE}
+        ) GROUP BY lane, batch
+    """,
+    "folded_texts": f"SELECT utterance_id, {_folded('transcription')} AS folded FROM {_RELEASE}",
+    "settled_spellings": f"""
+        SELECT row_id, array_to_string(list_transform(list_transform({_words('prediction')}, lambda w: {_SETTLED}), lambda w: CASE
+            WHEN w IN ('okay', 'okey', 'okie', 'oke', 'okk', 'okok') THEN 'ok' WHEN w = 'maam' THEN 'mam' WHEN w = 'rs' THEN 'rupees'
+            WHEN w = 'oclock' THEN 'o clock' WHEN w = 'colour' THEN 'color' WHEN w = 'hm' THEN 'hmm' WHEN w = 'aa' THEN 'ah' WHEN w = 'haan' THEN 'han'
+            ELSE w END), ' ') AS settled
+        FROM predictions
+    """,
+    "number_words_roundtrip": """
+        SELECT n, array_to_string(regexp_extract_all(CAST(greatest(n, 1) * 1000 AS VARCHAR), '.'), ' ') || ' rupees' AS digits
+        FROM (SELECT DISTINCT CAST((l_orderkey * 31 + l_partkey) % 1000 AS INTEGER) AS n FROM lineitem)
+    """,
+    "ordinals": "SELECT DISTINCT l_linenumber, 'the ' || l_linenumber || ' item 2 time' AS cardinal FROM lineitem",
+    "decimal_points": """
+        SELECT DISTINCT round(l_discount, 2) AS d,
+            '0 ' || array_to_string(regexp_extract_all(lpad(CAST(CAST(round(round(l_discount, 2) * 100) AS INTEGER) AS VARCHAR), 2, '0'), '.'), ' ') AS spoken
+        FROM lineitem
+    """,
+    "plain_word_counts": f"SELECT provider, utterance_id, edits, units FROM {_COUNTED}",
+    "plain_wer_sets": f"""
+        SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(domain) = 0 THEN 'domain' END AS breakdown,
+            CASE WHEN grouping(provider) = 0 THEN provider WHEN grouping(language) = 0 THEN language WHEN grouping(domain) = 0 THEN domain END AS value,
+            count(*) AS utterances, CAST(sum(units) AS BIGINT) AS reference_words,
+            CASE WHEN sum(units) > 0 THEN CAST(sum(edits) AS DOUBLE) / CAST(sum(units) AS DOUBLE) END AS wer
+        FROM {_COUNTED} GROUP BY GROUPING SETS ((), (provider), (language), (domain))
+        HAVING breakdown IS NULL OR value IS NOT NULL
+    """,
+    "corpus_facts": f"""
+        SELECT count(*) AS utterances, round(sum(duration_sec) / 3600, 6) AS hours, count(DISTINCT call_id) AS calls,
+            round(avg(CAST(is_code_mixed AS INTEGER)), 9) AS mixed_share, round(avg(CAST(duration_sec < 2 AS INTEGER)), 9) AS short_share,
+            round(avg(CAST(keywords IS NOT NULL AND lower(regexp_replace(keywords, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none') AS INTEGER)), 9) AS keyword_share
+        FROM {_RELEASE}
+    """,
+    "sampled_in": "SELECT row_id FROM predictions WHERE CAST(('0x' || substr(sha1(CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967295 < 0.1",
+    "question_keys": "SELECT row_id, sha1(coalesce(utterance_id, '') || chr(31) || coalesce(prediction, '') || chr(31) || coalesce(provider, '')) AS cache_key FROM predictions",
+    "latest_answers": """
+        SELECT cache_key, CAST(coalesce(len(response.equivalences), -1) AS BIGINT) AS n_pairs FROM judge_cache WHERE cache_key IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY response IS NOT NULL DESC, cached_at DESC NULLS LAST) = 1
+    """,
+    "pending_rows": "SELECT row_id FROM predictions WHERE row_id NOT IN (SELECT row_id FROM judge_cache WHERE response IS NOT NULL AND row_id IS NOT NULL)",
+    "routes": f"""
+        SELECT utterance_id,
+            CASE WHEN {_CODE} IN ('hi', 'en', 'bn', 'ta', 'te', 'kn', 'mr', 'gu') AND NOT (coalesce(is_code_mixed, false) AND {_CODE} IN ('hi', 'en')) THEN {_CODE} ELSE 'multi' END AS one_or_many,
+            CASE WHEN {_CODE} IN ('hi', 'bn', 'ta', 'te', 'kn', 'ml', 'mr', 'gu', 'pa', 'od', 'en') THEN {_CODE} || '-IN' ELSE 'unknown' END AS regional,
+            CASE WHEN {_CODE} IN ('', 'other', 'unknown') THEN '-' ELSE {_CODE} END AS code,
+            CASE WHEN lower(trim(coalesce(language_tag, ''))) IN ('bn', 'en', 'gu', 'hi', 'kn', 'ml', 'mr', 'ta', 'te') THEN lower(trim(language_tag)) ELSE 'multi' END AS supported,
+            coalesce(nullif(array_to_string(list_filter(hints, lambda c, i: list_position(hints, c) = i), ','), ''), '-') AS hints,
+            CASE {_CODE} WHEN 'hi' THEN 'Hindi' WHEN 'bn' THEN 'Bengali' WHEN 'ta' THEN 'Tamil' WHEN 'te' THEN 'Telugu' WHEN 'kn' THEN 'Kannada' WHEN 'ml' THEN 'Malayalam'
+                WHEN 'mr' THEN 'Marathi' WHEN 'gu' THEN 'Gujarati' WHEN 'pa' THEN 'Punjabi' WHEN 'od' THEN 'Odia' WHEN 'or' THEN 'Odia' WHEN 'as' THEN 'Assamese' WHEN 'en' THEN 'English' ELSE '' END AS name
+        FROM (SELECT *, list_filter(list_append(string_split(translate(lower(trim(coalesce(language_tag, ''))), '_', '-'), '-'), {_CODE}),
+            lambda c: c IN ('bn', 'en', 'gu', 'hi', 'kn', 'ml', 'mr', 'ta', 'te')) AS hints FROM {_RELEASE})
+    """,
+    "status_counts": "SELECT coalesce(lower(trim(status)), '') AS status, count(*) AS n FROM predictions GROUP BY 1",
+    "run_tallies": f"""
+        SELECT count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed
+        FROM (SELECT utterance_id, bool_or(coalesce(lower(status) = 'success', false)) AS ok FROM {_ATTEMPTS} WHERE utterance_id <> '' GROUP BY utterance_id)
+    """,
+    "unfinished": f"SELECT utterance_id FROM {_RELEASE} WHERE utterance_id NOT IN (SELECT utterance_id FROM {_ATTEMPTS} WHERE lower(status) = 'success' AND utterance_id IS NOT NULL)",
+    "transcribed": f"""
+        SELECT utterance_id, CASE WHEN transcription IS NULL THEN '' ELSE coalesce(nullif(language, ''), 'und') || ' ' || substr(sha1(transcription), 1, 8) END AS prediction,
+            CASE WHEN transcription IS NULL THEN 'missing_audio' ELSE 'success' END AS status
+        FROM {_RELEASE}
+    """,
+    "streamed_status_days": """
+        SELECT strftime(written_at, '%Y-%m-%d') AS day, lower(trim(coalesce(status, ''))) AS status, count(*) AS n
+        FROM predictions WHERE written_at IS NOT NULL GROUP BY 1, 2
+    """,
 }
