@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vaktavya.functions.bind import let
 from vaktavya.functions.normalize import tokens
 
 #: Code points that stand for units: from here up none is a surrogate.
@@ -28,12 +29,15 @@ def sequence_edits(reference: Column, hypothesis: Column) -> Column:
     Each distinct unit of the pair becomes one character, so the built-in distance of strings counts
     units. A pair may hold a million distinct ones.
     """
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
+    distance = let(
+        F.array_distinct(F.concat(reference, hypothesis)),
+        lambda vocabulary: F.levenshtein(_spelled(reference, vocabulary), _spelled(hypothesis, vocabulary)),
+    )
     return (
         F.when(F.size(reference) == 0, F.size(hypothesis))
         .when(F.size(hypothesis) == 0, F.size(reference))
         .when(reference == hypothesis, 0)
-        .otherwise(F.levenshtein(_spelled(reference, vocabulary), _spelled(hypothesis, vocabulary)))
+        .otherwise(distance)
     )
 
 
@@ -47,10 +51,14 @@ def counts(edits: Column, units: Column, hypothesis_units: Column) -> Column:
     )
 
 
+def _unit_counts(reference: Column, hypothesis: Column) -> Column:
+    both = F.struct(reference.alias("r"), hypothesis.alias("h"))
+    return let(both, lambda s: counts(sequence_edits(s["r"], s["h"]), F.size(s["r"]), F.size(s["h"])))
+
+
 def word_counts(reference: Column, hypothesis: Column) -> Column:
     """Word counts of two normal forms."""
-    r, h = tokens(reference), tokens(hypothesis)
-    return counts(sequence_edits(r, h), F.size(r), F.size(h))
+    return _unit_counts(tokens(reference), tokens(hypothesis))
 
 
 def char_counts(reference: Column, hypothesis: Column) -> Column:
@@ -71,5 +79,4 @@ def mixed_units(text: Column) -> Column:
 
 def mixed_counts(reference: Column, hypothesis: Column) -> Column:
     """Counts of mixed units of two normal forms."""
-    r, h = mixed_units(reference), mixed_units(hypothesis)
-    return counts(sequence_edits(r, h), F.size(r), F.size(h))
+    return _unit_counts(mixed_units(reference), mixed_units(hypothesis))

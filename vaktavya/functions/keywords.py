@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vaktavya.functions.bind import let
 from vaktavya.functions.normalize import normalize_all, tokens
 
 #: Fixed value: line breaks, and commas that don't stand between two digits, part keywords.
@@ -28,12 +29,14 @@ def keyword_forms(items: Column) -> Column:
     ``items`` are raw items in NFKC. Items alike after normalization count once, the first one stays.
     """
     both = F.arrays_zip(normalize_all(items).alias("full"), normalize_all(items, numbers=False).alias("spoken"))
-    # a transform of one element binds the pairs, which are looked at more than once
-    first = F.transform(
-        F.array(both),
-        lambda pairs: F.filter(pairs, lambda b, i: (b["full"] != "") & (F.array_position(F.transform(pairs, lambda x: x["full"]), b["full"]) == i + 1)),
+    named = let(
+        F.filter(both, lambda b: b["full"] != ""),
+        lambda pairs: let(
+            F.transform(pairs, lambda b: b["full"]),
+            lambda full: F.filter(pairs, lambda b, i: F.array_position(full, b["full"]) == i + 1),
+        ),
     )
-    return F.transform(F.get(first, F.lit(0)), lambda b: F.array_distinct(F.array(tokens(b["full"]), tokens(b["spoken"]))))
+    return F.transform(named, lambda b: F.array_distinct(F.array(tokens(b["full"]), tokens(b["spoken"]))))
 
 
 def _ends_alike(keyword: Column, token: Column) -> Column:
@@ -48,11 +51,10 @@ def says(keyword: Column, text: Column) -> Column:
     """Whether a row of words contains a keyword's words, the last one perhaps inflected."""
     k, n = F.size(keyword), F.size(text)
     places = F.when((k > 0) & (n >= k), F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    head = F.slice(keyword, 1, k - 1)
 
     def at(i: Column) -> Column:
         alike = _ends_alike(F.element_at(keyword, -1), F.get(text, i + k - 2))
-        return alike & ((k == 1) | (F.slice(text, i, k - 1) == head))
+        return alike & ((k == 1) | (F.slice(text, i, k - 1) == F.slice(keyword, 1, k - 1)))
 
     return F.exists(places, at)
 
@@ -69,8 +71,10 @@ def text_forms(normal: Column, spoken: Column) -> Column:
 
 def keyword_counts(forms: Column, hypothesis: Column, reference: Column | None = None) -> Column:
     """(hits, scored): keywords that the hypothesis says, of those that the reference says."""
-    kept = forms if reference is None else F.filter(forms, lambda k: said(k, reference))
-    return F.struct(
-        F.size(F.filter(kept, lambda k: said(k, hypothesis))).cast("bigint").alias("hits"),
-        F.size(kept).cast("bigint").alias("scored"),
-    )
+    def counted(s: Column) -> Column:
+        kept = s["k"] if reference is None else F.filter(s["k"], lambda k: said(k, s["r"]))
+        hits = let(kept, lambda x: F.struct(F.size(F.filter(x, lambda k: said(k, s["h"]))).cast("bigint").alias("hits"), F.size(x).cast("bigint").alias("scored")))
+        return hits
+
+    texts = [forms.alias("k"), hypothesis.alias("h"), *([] if reference is None else [reference.alias("r")])]
+    return let(F.struct(*texts), counted)

@@ -38,6 +38,10 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+# the optimizer repeats deterministic columns where they are used, even as part of a join's condition; this one stays put
+nfkc = nfkc.asNondeterministic()
+
+
 def _lookup(col: Column, table: dict[str, str], otherwise: Column) -> Column:
     """The value of a small table for a word."""
     mapping = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
@@ -132,11 +136,19 @@ def compose_cardinals(toks: Column, digits: bool = True) -> Column:
             F.when(big, zero).when(cls == "S", product).otherwise(F.try_add(current, value)),
         )
 
-    def step(s: Column, i: Column) -> Column:
-        t = F.get(toks, i)
-        cls = kind(t)
-        scale_next = F.coalesce(F.get(toks, i + 1).isin(*_SCALES), F.lit(False))
-        value = F.when(cls == "D", F.when(F.length(t) <= 30, t.try_cast(_NUMBER))).otherwise(F.element_at(values, t))
+    def word(t: Column, i: Column) -> Column:
+        """A word with its class and value and whether a scale follows: looked up once, not at each use."""
+        digit_value = F.when(F.length(t) <= 30, t.try_cast(_NUMBER))
+        named = F.when(t.isin(*_VALUES), F.element_at(values, t))
+        return F.struct(
+            t.alias("t"),
+            kind(t).alias("c"),
+            F.when(t.rlike(_DIGITS), digit_value).otherwise(named).alias("v"),
+            F.coalesce(F.get(toks, i + 1).isin(*_SCALES), F.lit(False)).alias("scale_next"),
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        t, cls, value = x["t"], x["c"], x["v"]
         opened = s["prev"] != ""
         follows = (
             F.when(cls == "S", True)
@@ -148,18 +160,16 @@ def compose_cardinals(toks: Column, digits: bool = True) -> Column:
         more = state(s["out"], total, current, cls, F.lit(0), F.concat(s["raw"], joiners(s), F.array(t)))
         waits = state(s["out"], s["total"], s["current"], s["prev"], s["ands"] + 1, s["raw"])
         first_total, first_current = added(zero, zero, value, cls)
-        before = closed(s)
-        starts = state(before, first_total, first_current, cls, F.lit(0), F.array(t))
+        starts = state(closed(s), first_total, first_current, cls, F.lit(0), F.array(t))
         literal = F.regexp_extract_all(t, F.lit("."), F.lit(0)) if digits else F.array(t)
         shown = F.when(cls == "D", literal).otherwise(F.array(t))
-        passed = state(F.concat(before, shown), zero, zero, F.lit(""), F.lit(0), none)
-        begins = cls.isin("U", "N", "X", "S") | ((cls == "D") & scale_next)
+        passed = state(F.concat(closed(s), shown), zero, zero, F.lit(""), F.lit(0), none)
+        begins = cls.isin("U", "N", "X", "S") | ((cls == "D") & x["scale_next"])
         return F.when(opened & (cls == "A"), waits).when(opened & follows, more).when(begins, starts).otherwise(passed)
 
     start = state(none, zero, zero, F.lit(""), F.lit(0), none)
-    places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
     numeric = F.exists(toks, lambda t: t.rlike(_DIGITS) | t.isin(*_VALUES))
-    return F.when(numeric, F.aggregate(places, start, step, closed)).otherwise(toks)
+    return F.when(numeric, F.aggregate(F.transform(toks, word), start, step, closed)).otherwise(toks)
 
 
 def settle_spellings(toks: Column) -> Column:

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaktavya.functions.bind import let
 from vaktavya.functions.distance import char_counts, mixed_counts, word_counts
 from vaktavya.functions.keywords import keyword_counts, keyword_forms, raw_items, text_forms
 from vaktavya.functions.normalize import nfkc, normalize, tokens, with_normal_forms
@@ -33,20 +34,28 @@ def row_counts(df: DataFrame, keywords: bool = True) -> DataFrame:
     """
     need(df, "transcription", "prediction", *(["keywords"] if keywords else []))
     kept = df.columns
-    staged = with_normal_forms(df, {"transcription": "_r", "prediction": "_h"})
-    if keywords:
-        staged = staged.withColumns({"_rs": nfkc(F.col("transcription")), "_hs": nfkc(F.col("prediction")), "_k": nfkc(F.col("keywords"))})
-        staged = staged.withColumns({"_rs": normalize(F.col("_rs"), numbers=False), "_hs": normalize(F.col("_hs"), numbers=False)})
-        staged = staged.withColumns({"_rf": text_forms(F.col("_r"), F.col("_rs")), "_hf": text_forms(F.col("_h"), F.col("_hs")), "_kf": keyword_forms(raw_items(F.col("_k")))})
-        staged = staged.withColumn("_kc", keyword_counts(F.col("_kf"), F.col("_hf"), F.col("_rf")))
-    staged = staged.withColumns({"_w": word_counts(F.col("_r"), F.col("_h")), "_c": char_counts(F.col("_r"), F.col("_h")), "_m": mixed_counts(F.col("_r"), F.col("_h"))})
+    texts = {"_r": "transcription", "_h": "prediction", **({"_k": "keywords"} if keywords else {})}
+    composed = df.withColumns({new: nfkc(F.col(old)) for new, old in texts.items()})
+    forms = F.struct(
+        normalize(F.col("_r")).alias("r"),
+        normalize(F.col("_h")).alias("h"),
+        *([normalize(F.col("_r"), numbers=False).alias("rs"), normalize(F.col("_h"), numbers=False).alias("hs"), keyword_forms(raw_items(F.col("_k"))).alias("k")] if keywords else []),
+    )
+
+    def counted(s: Column) -> Column:
+        parts = [word_counts(s["r"], s["h"]).alias("w"), char_counts(s["r"], s["h"]).alias("c"), mixed_counts(s["r"], s["h"]).alias("m")]
+        if keywords:
+            parts.append(keyword_counts(s["k"], text_forms(s["h"], s["hs"]), text_forms(s["r"], s["rs"])).alias("k"))
+        return F.struct(*parts)
+
+    staged = composed.withColumn("_n", let(forms, counted))
     blank = F.coalesce(F.col("prediction").rlike(r"^[\s\p{Z}]*$"), F.lit(True))
     none = F.lit(0).cast("bigint")
     return staged.select(
         *kept,
-        *(F.col(f"_{m}.{part}").alias(f"{m}_{part}") for m in "wcm" for part in ("edits", "units")),
-        (F.col("_kc.hits") if keywords else none).alias("kw_hits"),
-        (F.col("_kc.scored") if keywords else none).alias("kw_total"),
+        *(F.col(f"_n.{m}.{part}").alias(f"{m}_{part}") for m in "wcm" for part in ("edits", "units")),
+        (F.col("_n.k.hits") if keywords else none).alias("kw_hits"),
+        (F.col("_n.k.scored") if keywords else none).alias("kw_total"),
         blank.cast("bigint").alias("empty_hyp"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         map={
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.sql.adaptive.enabled": "true",
+            # scoring costs far more per byte than a shuffle: don't merge small partitions into one task
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.sql.session.timeZone": "UTC",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
@@ -25,6 +28,18 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Put this package on the path of the executors' Python workers.
+
+    Functions that run there are found by the name of their module. Hosts that don't share this folder need the
+    package installed, or sent with --py-files.
+    """
+    environment, folder = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if folder not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([folder, *filter(None, known)])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give Python-heavy work at least one partition a core.
 

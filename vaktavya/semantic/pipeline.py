@@ -48,7 +48,8 @@ def judged(prepared: DataFrame, answers: DataFrame, least: float = LEAST_LIKENES
     """One row for each prepared row with semantic edits, rates, status, and the pairs accepted and rejected.
 
     Rows whose question has no answer have status ``unanswered`` and null semantic figures; so have rows that
-    were sampled out. An empty hypothesis has its lexical edits. Only rows with an answer visit Python.
+    were sampled out.
+    An empty hypothesis has its lexical edits. Only the texts of rows with an answer visit Python.
     """
     known = answers.select("cache_key", F.col("response.equivalences").alias("pairs"), F.lit(True).alias("_answered"))
     rows = prepared.join(known, "cache_key", "left")
@@ -56,44 +57,32 @@ def judged(prepared: DataFrame, answers: DataFrame, least: float = LEAST_LIKENES
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [
-                apply_pairs(r, h, None if p is None else list(p), least, allow_unverified_numbers)
-                for r, h, p in zip(pdf["reference"], pdf["hypothesis"], pdf["pairs"], strict=True)
+                None if r is None else apply_pairs(r, h, None if p is None else list(p), least, allow_unverified_numbers)
+                for r, h, p in zip(pdf["r"], pdf["h"], pdf["p"], strict=True)
             ]
-            yield pd.DataFrame(
-                {
-                    "row_key": pdf["row_key"],
-                    "rewritten": [f["hypothesis"] for f in found],
-                    "s_edits": [f["word_edits"] for f in found],
-                    "accepted": [f["accepted"] for f in found],
-                    "rejected": [f["rejected"] for f in found],
-                    **{c: pdf[c] for c in ("reference", "language", "word_edits", "words", "char_edits", "chars")},
-                }
-            )
-
-    kind = dict(prepared.dtypes)["row_key"]
-    tail = "reference string, language string, word_edits bigint, words bigint, char_edits bigint, chars bigint"
-    answered = rows.where("_answered AND status IS NULL").select("row_key", "reference", "hypothesis", "pairs", "language", "word_edits", "words", "char_edits", "chars")
-    done = answered.mapInPandas(run, f"row_key {kind}, rewritten string, s_edits bigint, accepted array<{_RECORD}>, rejected array<{_REJECTED}>, {tail}")
-    done = done.select(
-        "row_key", "language", "word_edits", "words", "char_edits", "chars",
-        F.when(F.size("accepted") > 0, "success").otherwise("no_equivalences").alias("status"),
-        F.col("s_edits").alias("semantic_word_edits"),
-        F.least(F.levenshtein("reference", "rewritten").cast("bigint"), F.col("char_edits")).alias("semantic_char_edits"),
-        F.size(F.filter("accepted", lambda p: p["type"] == "number")).alias("number_pairs"),
-        "accepted", "rejected",
+            names = ("hypothesis", "word_edits", "accepted", "rejected")
+            yield pd.DataFrame([dict.fromkeys(names) if f is None else f for f in found], columns=list(names))
+
+    @F.pandas_udf(f"hypothesis string, word_edits bigint, accepted array<{_RECORD}>, rejected array<{_REJECTED}>")
+    def applied(asked: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(asked)
+
+    # rows that no answer concerns pass nulls to Python, and nothing is computed twice for two branches
+    asked = F.col("_answered") & F.col("status").isNull()
+    sent = F.struct(F.when(asked, F.col("reference")).alias("r"), F.when(asked, F.col("hypothesis")).alias("h"), F.when(asked, F.col("pairs")).alias("p"))
+    done = rows.withColumns({"_a": applied.asNondeterministic()(sent), "_asked": F.coalesce(asked, F.lit(False))})
+    settled = F.col("status").isin("exact", "empty_hypothesis")
+    accepted = F.coalesce("_a.accepted", F.array().cast(f"array<{_RECORD}>"))
+    status = F.when(~F.col("_asked"), F.coalesce("status", F.lit("unanswered"))).when(F.size(accepted) > 0, "success").otherwise("no_equivalences")
+    characters = F.least(F.levenshtein("reference", "_a.hypothesis").cast("bigint"), F.col("char_edits"))
+    out = done.select(
+        "row_key", "language", "word_edits", "words", "char_edits", "chars", status.alias("status"),
+        F.when(F.col("_asked"), F.col("_a.word_edits")).when(settled, F.col("word_edits")).alias("semantic_word_edits"),
+        F.when(F.col("_asked"), characters).when(settled, F.col("char_edits")).alias("semantic_char_edits"),
+        F.size(F.filter(accepted, lambda p: p["type"] == "number")).alias("number_pairs"),
+        accepted.alias("accepted"), F.coalesce("_a.rejected", F.array().cast(f"array<{_REJECTED}>")).alias("rejected"),
     )
-    settled = rows.where("status IS NOT NULL OR _answered IS NULL")
-    counted = F.col("status").isin("exact", "empty_hypothesis")
-    rest = settled.select(
-        "row_key", "language", "word_edits", "words", "char_edits", "chars",
-        F.coalesce("status", F.lit("unanswered")).alias("status"),
-        F.when(counted, F.col("word_edits")).alias("semantic_word_edits"),
-        F.when(counted, F.col("char_edits")).alias("semantic_char_edits"),
-        F.lit(0).alias("number_pairs"),
-        F.array().cast(f"array<{_RECORD}>").alias("accepted"), F.array().cast(f"array<{_REJECTED}>").alias("rejected"),
-    )
-    both = done.unionByName(rest)
-    return both.withColumns(
+    return out.withColumns(
         {
             "semantic_wer": F.try_divide(F.col("semantic_word_edits").cast("double"), F.col("words").cast("double")),
             "semantic_cer": F.try_divide(F.col("semantic_char_edits").cast("double"), F.col("chars").cast("double")),
