@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vaktavya.functions.bind import let
-from vaktavya.functions.normalize import normalize_all, tokens
+from vaktavya.functions.normalize import tokens
 
 #: Fixed value: line breaks, and commas that don't stand between two digits, part keywords.
 SEPARATORS = r"\n+|(?<!\p{Nd}),|,(?!\p{Nd})"
@@ -23,12 +23,12 @@ def raw_items(keywords: Column) -> Column:
     return F.when(missing, F.array().cast("array<string>")).otherwise(parts)
 
 
-def keyword_forms(items: Column) -> Column:
+def keyword_forms(composed: Column, spoken: Column) -> Column:
     """Per distinct keyword, its word rows: with numbers composed, and as spoken if that differs.
 
-    ``items`` are raw items in NFKC. Items alike after normalization count once, the first one stays.
+    The two arrays hold the items' normal forms. Items alike after normalization count once, the first one stays.
     """
-    both = F.arrays_zip(normalize_all(items).alias("full"), normalize_all(items, numbers=False).alias("spoken"))
+    both = F.zip_with(composed, spoken, lambda a, b: F.struct(a.alias("full"), b.alias("spoken")))
     named = let(
         F.filter(both, lambda b: b["full"] != ""),
         lambda pairs: let(

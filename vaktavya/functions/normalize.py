@@ -7,6 +7,8 @@ all texts of a row; everything else is made of built-in expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +44,19 @@ def nfkc(text: pd.Series) -> pd.Series:
 nfkc = nfkc.asNondeterministic()
 
 
-def _lookup(col: Column, table: dict[str, str], otherwise: Column) -> Column:
+def _among(word: Column, some: Iterable[str]) -> Column:
+    """Whether a word, which has no blanks, is one of some: one literal, however many they are."""
+    return F.contains(F.lit(f" {' '.join(some)} "), F.concat(F.lit(" "), word, F.lit(" ")))
+
+
+def _table(values: Mapping[str, object]) -> Column:
+    """A constant map of words to texts."""
+    return F.str_to_map(F.lit("\x1f".join(f"{k}\x1e{v}" for k, v in values.items())), F.lit("\x1f"), F.lit("\x1e"))
+
+
+def _lookup(word: Column, table: Mapping[str, str], otherwise: Column) -> Column:
     """The value of a small table for a word."""
-    mapping = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    return F.when(col.isin(*table), F.element_at(mapping, col)).otherwise(otherwise)
+    return F.when(_among(word, table), F.element_at(_table(table), word)).otherwise(otherwise)
 
 
 def fold(text: Column) -> Column:
@@ -77,7 +88,7 @@ def cardinal_ordinals(toks: Column) -> Column:
 
     def one(t: Column, i: Column) -> Column:
         before = F.coalesce(F.get(toks, i - 1), F.lit(""))
-        time = before.isin(*counts) | before.rlike(_DIGITS)
+        time = _among(before, counts) | before.rlike(_DIGITS)
         return (
             F.when(t.rlike(r"^[0-9]+(st|nd|rd|th)$"), F.regexp_extract(t, r"^([0-9]+)", 1))
             .when((t == "second") & ~time, F.lit("two"))
@@ -89,7 +100,7 @@ def cardinal_ordinals(toks: Column) -> Column:
 
 def without_point(toks: Column) -> Column:
     """Without ``point`` between two numeric words; neighbours are those of the original row of words."""
-    numeric = lambda t: F.coalesce(t.rlike(_DIGITS) | t.isin(*_VALUES), F.lit(False))
+    numeric = lambda t: F.coalesce(t.rlike(_DIGITS) | _among(t, _VALUES), F.lit(False))
     return F.filter(toks, lambda t, i: ~((t == "point") & numeric(F.get(toks, i - 1)) & numeric(F.get(toks, i + 1))))
 
 
@@ -102,14 +113,14 @@ def compose_cardinals(toks: Column, digits: bool = True) -> Column:
     """
     kind = lambda t: (
         F.when(t.rlike(_DIGITS), "D")
-        .when(t.isin(*(w for w, v in _UNITS.items() if v <= 9)), "U")
-        .when(t.isin(*(w for w, v in _UNITS.items() if v > 9)), "N")
-        .when(t.isin(*_TENS), "X")
-        .when(t.isin(*_SCALES), "S")
+        .when(_among(t, (w for w, v in _UNITS.items() if v <= 9)), "U")
+        .when(_among(t, (w for w, v in _UNITS.items() if v > 9)), "N")
+        .when(_among(t, _TENS), "X")
+        .when(_among(t, _SCALES), "S")
         .when(t == JOINER, "A")
         .otherwise("O")
     )
-    values = F.create_map(*(x for w, v in _VALUES.items() for x in (F.lit(w), F.lit(v).cast(_NUMBER))))
+    values = _table(_VALUES)
     zero = F.lit(0).cast(_NUMBER)
     none = F.array().cast("array<string>")
 
@@ -139,12 +150,12 @@ def compose_cardinals(toks: Column, digits: bool = True) -> Column:
     def word(t: Column, i: Column) -> Column:
         """A word with its class and value and whether a scale follows: looked up once, not at each use."""
         digit_value = F.when(F.length(t) <= 30, t.try_cast(_NUMBER))
-        named = F.when(t.isin(*_VALUES), F.element_at(values, t))
+        named = F.when(_among(t, _VALUES), F.element_at(values, t).cast(_NUMBER))
         return F.struct(
             t.alias("t"),
             kind(t).alias("c"),
             F.when(t.rlike(_DIGITS), digit_value).otherwise(named).alias("v"),
-            F.coalesce(F.get(toks, i + 1).isin(*_SCALES), F.lit(False)).alias("scale_next"),
+            F.coalesce(_among(F.get(toks, i + 1), _SCALES), F.lit(False)).alias("scale_next"),
         )
 
     def step(s: Column, x: Column) -> Column:
@@ -168,7 +179,7 @@ def compose_cardinals(toks: Column, digits: bool = True) -> Column:
         return F.when(opened & (cls == "A"), waits).when(opened & follows, more).when(begins, starts).otherwise(passed)
 
     start = state(none, zero, zero, F.lit(""), F.lit(0), none)
-    numeric = F.exists(toks, lambda t: t.rlike(_DIGITS) | t.isin(*_VALUES))
+    numeric = F.exists(toks, lambda t: t.rlike(_DIGITS) | _among(t, _VALUES))
     return F.when(numeric, F.aggregate(F.transform(toks, word), start, step, closed)).otherwise(toks)
 
 
@@ -210,5 +221,6 @@ def normalize(text: Column, numbers: bool = True, spellings: bool = True, whole_
 
 def with_normal_forms(df: DataFrame, columns: dict[str, str], **options: bool) -> DataFrame:
     """``df`` with the normal form of each column of ``columns`` under the name given."""
-    out = df.withColumns({new: nfkc(F.col(old)) for old, new in columns.items()})
-    return out.withColumns({new: normalize(F.col(new), **options) for new in columns.values()})
+    out = df.withColumn("_nfkc", F.array(*(nfkc(F.col(old)) for old in columns)))
+    out = out.withColumn("_forms", normalize_all(F.col("_nfkc"), **options))
+    return out.withColumns({new: F.get("_forms", F.lit(i)) for i, new in enumerate(columns.values())}).drop("_nfkc", "_forms")

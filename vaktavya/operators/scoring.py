@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vaktavya.functions.bind import let
 from vaktavya.functions.distance import char_counts, mixed_counts, word_counts
 from vaktavya.functions.keywords import keyword_counts, keyword_forms, raw_items, text_forms
-from vaktavya.functions.normalize import nfkc, normalize, tokens, with_normal_forms
+from vaktavya.functions.normalize import nfkc, normalize_all, tokens, with_normal_forms
 from vaktavya.sources.speech import need
 
 COUNTS = ("w_edits", "w_units", "c_edits", "c_units", "m_edits", "m_units", "kw_hits", "kw_total", "empty_hyp")
@@ -34,21 +34,31 @@ def row_counts(df: DataFrame, keywords: bool = True) -> DataFrame:
     """
     need(df, "transcription", "prediction", *(["keywords"] if keywords else []))
     kept = df.columns
-    texts = {"_r": "transcription", "_h": "prediction", **({"_k": "keywords"} if keywords else {})}
-    composed = df.withColumns({new: nfkc(F.col(old)) for new, old in texts.items()})
-    forms = F.struct(
-        normalize(F.col("_r")).alias("r"),
-        normalize(F.col("_h")).alias("h"),
-        *([normalize(F.col("_r"), numbers=False).alias("rs"), normalize(F.col("_h"), numbers=False).alias("hs"), keyword_forms(raw_items(F.col("_k"))).alias("k")] if keywords else []),
-    )
+    composed = df.withColumns({"_t": F.array(nfkc(F.col("transcription")), nfkc(F.col("prediction"))), **({"_k": nfkc(F.col("keywords"))} if keywords else {})})
+    # reference, hypothesis and keywords go through one expression, for composed numbers and for spoken ones
+    texts = F.concat("_t", raw_items(F.col("_k"))) if keywords else F.col("_t")
+    forms = F.struct(normalize_all(texts).alias("n"), *([normalize_all(texts, numbers=False).alias("s")] if keywords else []))
+
+    def parts(x: Column) -> Column:
+        r, h = F.get(x["n"], F.lit(0)), F.get(x["n"], F.lit(1))
+        if not keywords:
+            return F.struct(r.alias("r"), h.alias("h"))
+        rest = lambda a: F.slice(a, 3, F.greatest(F.size(a) - 2, F.lit(0)))
+        return F.struct(
+            r.alias("r"),
+            h.alias("h"),
+            text_forms(r, F.get(x["s"], F.lit(0))).alias("rf"),
+            text_forms(h, F.get(x["s"], F.lit(1))).alias("hf"),
+            keyword_forms(rest(x["n"]), rest(x["s"])).alias("k"),
+        )
 
     def counted(s: Column) -> Column:
-        parts = [word_counts(s["r"], s["h"]).alias("w"), char_counts(s["r"], s["h"]).alias("c"), mixed_counts(s["r"], s["h"]).alias("m")]
+        found = [word_counts(s["r"], s["h"]).alias("w"), char_counts(s["r"], s["h"]).alias("c"), mixed_counts(s["r"], s["h"]).alias("m")]
         if keywords:
-            parts.append(keyword_counts(s["k"], text_forms(s["h"], s["hs"]), text_forms(s["r"], s["rs"])).alias("k"))
-        return F.struct(*parts)
+            found.append(keyword_counts(s["k"], s["hf"], s["rf"]).alias("k"))
+        return F.struct(*found)
 
-    staged = composed.withColumn("_n", let(forms, counted))
+    staged = composed.withColumn("_n", let(let(forms, parts), counted))
     blank = F.coalesce(F.col("prediction").rlike(r"^[\s\p{Z}]*$"), F.lit(True))
     none = F.lit(0).cast("bigint")
     return staged.select(

@@ -12,7 +12,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A local session. A cluster's own session can be passed to every function here instead."""
     builder = SparkSession.builder.master(f"local[{cpus}]").config(
         map={
-            "spark.sql.shuffle.partitions": str(cpus),
+            "spark.sql.shuffle.partitions": str(cpus if str(cpus).isdigit() else os.cpu_count()),
             "spark.sql.adaptive.enabled": "true",
             # scoring costs far more per byte than a shuffle: don't merge small partitions into one task
             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
