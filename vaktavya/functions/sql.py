@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from vaktavya.functions.plain import edits, plain_normalize
 
@@ -12,9 +14,6 @@ def register_functions(spark: SparkSession, prefix: str = "speech_") -> None:
 
     They run in Python, one Arrow batch at a time; the DataFrame operators are faster on large tables.
     """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def normal_form(text: pd.Series) -> pd.Series:
         return text.map(plain_normalize)
