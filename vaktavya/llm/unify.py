@@ -114,12 +114,10 @@ def unify(df: DataFrame, *columns: str, suffix: str = "_unified") -> DataFrame:
     characters (Kannada in ties). The result is in NFC. Two texts are equal then and only then
     if they agree in all else; a text that has its one form comes back as it is.
 
-    Null stays null, empty stays empty. Row order, other columns and repeats stay. A result column
-    that would clash with a column of ``df`` raises ValueError.
+    Null stays null, empty stays empty. Row order, other columns and repeats stay. A column of ``df``
+    that has the name of a result column is replaced.
     """
-    clash = {c + suffix for c in columns} & set(df.columns)
-    if clash:
-        raise ValueError(f"df already has {sorted(clash)}")
+    df = df.drop(*(c + suffix for c in columns))
     schema = T.StructType([*df.schema.fields, *(T.StructField(c + suffix, T.StringType()) for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,5 +137,5 @@ def unify(df: DataFrame, *columns: str, suffix: str = "_unified") -> DataFrame:
 
 def odd_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """The rows (``key``, ``text``, ``text_unified``) whose text isn't in its one form."""
-    rows = df.select(F.col(key).alias(key), F.col(text).alias(text)).where(F.col(text).isNotNull())
+    rows = df.select(*dict.fromkeys((key, text))).where(F.col(text).isNotNull())
     return unify(rows, text).where(F.col(text) != F.col(f"{text}_unified"))
