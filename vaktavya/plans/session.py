@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,17 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([folder, *filter(None, known)])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the session's checkpoint folder, which all executors share.
+
+    The folder is that of spark.checkpoint.dir; only where none is set, as in tests, a temporary one is.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaktavya"))
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give Python-heavy work at least one partition a core.
 

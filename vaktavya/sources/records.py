@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaktavya.functions.bind import let
+from vaktavya.plans.session import settled
+
 #: Marks a cut between fields. A text that holds the mark itself is escaped first.
 _CUT, _ESC = "\x1fc", "\x1fe"
 
@@ -14,6 +18,9 @@ _CUT, _ESC = "\x1fc", "\x1fe"
 FIELDS = ("utterance_id", "prediction", "latency_ms", "status", "error")
 STATUSES = ("success", "ok", "error", "timeout", "rate_limited", "missing_audio")
 
+#: Size up to which the dictionary of invalid values is broadcast.
+DICTIONARY_BYTES = 8_000_000
+
 #: What makes a value invalid, by column: reason and test. A column without an entry takes anything.
 RULES: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "utterance_id": ("bad_utterance_id", lambda v: ~v.rlike(r"\Ac[0-9]+_t[0-9]+\z")),
@@ -22,41 +29,40 @@ RULES: dict[str, tuple[str, Callable[[Column], Column]]] = {
 }
 
 
-def split_record(raw: Column) -> tuple[Column, Column]:
-    """The fields of a record and the structural fault, or null, of it.
+def split_record(raw: Column) -> Column:
+    """(fields, fault): the fields of a record and its structural fault, or null.
 
     Cutting at the quotes makes text outside and inside of quotes alternate, so one pass
     finds quotes that don't open or close a whole field, without a backtracking pattern.
     """
-    parts = F.split(F.regexp_replace(raw, "\x1f", "\x1fe"), '"', -1)
-    last = F.size(parts) - 1
-
-    def outside(part: Column, i: Column) -> Column:
-        # an empty part between two quoted ones is a doubled quote
-        opens = (i == last) | (part == "") | part.endswith(",")
-        closes = (i == 0) | (part == "") | part.startswith(",")
-        return opens & closes
-
-    odd = last % 2 == 1
-    stray = F.exists(F.transform(parts, lambda p, i: (i % 2 == 0) & ~outside(p, i)), lambda bad: bad)
-    broken = F.exists(F.transform(parts, lambda p, i: (i % 2 == 0) & p.rlike("[\\r\\n]")), lambda bad: bad)
-    joined = F.array_join(
-        F.transform(
-            parts,
-            lambda p, i: F.when(i % 2 == 1, p)
-            .when((p == "") & (i > 0) & (i < last), F.lit('"'))
-            .otherwise(F.replace(p, F.lit(","), F.lit(_CUT))),
-        ),
-        "",
-    )
-    fields = F.transform(F.split(joined, _CUT, -1), lambda f: F.replace(f, F.lit(_ESC), F.lit("\x1f")))
-    fault = (
-        F.when(raw.isNull(), "no_record")
-        .when(odd, "unclosed_quote")
-        .when(stray, "text_outside_quotes")
-        .when(broken, "line_break_outside_quotes")
-    )
-    return fields, fault
+
+    def read(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def stray(part: Column, i: Column) -> Column:
+            # an empty part between two quoted ones is a doubled quote
+            opens = (i == last) | (part == "") | part.endswith(",")
+            closes = (i == 0) | (part == "") | part.startswith(",")
+            return (i % 2 == 0) & ~(opens & closes)
+
+        joined = F.array_join(
+            F.transform(
+                parts,
+                lambda p, i: F.when(i % 2 == 1, p)
+                .when((p == "") & (i > 0) & (i < last), F.lit('"'))
+                .otherwise(F.replace(p, F.lit(","), F.lit(_CUT))),
+            ),
+            "",
+        )
+        fields = F.transform(F.split(joined, _CUT, -1), lambda f: F.replace(f, F.lit(_ESC), F.lit("\x1f")))
+        fault = (
+            F.when(last % 2 == 1, "unclosed_quote")
+            .when(F.exists(F.transform(parts, stray), lambda bad: bad), "text_outside_quotes")
+            .when(F.exists(F.transform(parts, lambda p, i: (i % 2 == 0) & p.rlike("[\\r\\n]")), lambda bad: bad), "line_break_outside_quotes")
+        )
+        return F.struct(fields.alias("fields"), fault.alias("fault"))
+
+    return F.when(raw.isNotNull(), let(F.split(F.replace(raw, F.lit("\x1f"), F.lit(_ESC)), '"', -1), read))
 
 
 def parse_records(df: DataFrame, raw: str = "raw_line", key: str = "line_id") -> DataFrame:
@@ -64,27 +70,29 @@ def parse_records(df: DataFrame, raw: str = "raw_line", key: str = "line_id") ->
 
     ``reason`` is null for a sound record; otherwise it names the first fault, structure before
     values, and the typed fields are null. Each distinct value of a checked column is tested
-    once: invalid ones form a dictionary with reasons, which is joined back to the records. The
-    optimizer broadcasts the dictionary only while it is below the session's size threshold;
-    beyond it a shuffle join with skew splitting takes over.
+    once: invalid ones form a dictionary with reasons, which is kept and joined back to the records. It is
+    broadcast if it measures at most DICTIONARY_BYTES; beyond, a shuffle join with skew splitting takes over.
 
     Null records are ``no_record``, empty ones ``wrong_column_count``. Repeated records are kept,
     other columns of ``df``, whatever their names, don't come out.
     """
     source = df.select(F.col(key).alias("_key"), F.col(raw).alias("_raw"))
-    fields, fault = split_record(F.col("_raw"))
-    parsed = source.select("_key", fields.alias("_f"), fault.alias("_fault")).withColumn(
-        "_fault", F.coalesce("_fault", F.when(F.size("_f") != len(FIELDS), "wrong_column_count"))
-    )
+    read = source.select("_key", split_record(F.col("_raw")).alias("_s"))
+    fault = F.when(F.col("_s").isNull(), "no_record").otherwise(F.coalesce("_s.fault", F.when(F.size("_s.fields") != len(FIELDS), "wrong_column_count")))
+    parsed = read.select("_key", F.col("_s.fields").alias("_f"), fault.alias("_fault"))
     parsed = parsed.select(
         "_key", "_fault", *(F.when(F.col("_fault").isNull(), F.get("_f", F.lit(i))).alias(f"_{c}") for i, c in enumerate(FIELDS))
     )
+    # one pass finds the distinct values of all checked columns; each is tested once
+    checked = F.explode(F.array(*(F.struct(F.lit(name).alias("c"), F.col(f"_{name}").alias("v")) for name in RULES)))
+    values = parsed.where("_fault IS NULL").select(checked.alias("_x")).groupBy("_x.c", "_x.v").agg(F.lit(1).alias("_n"))
+    invalid = reduce(lambda a, b: a | b, ((F.col("c") == name) & bad(F.col("v")) for name, (_, bad) in RULES.items()))
+    dictionary = settled(values.where(invalid).select("c", "v"))
+    small = dictionary.agg(F.coalesce(F.sum(F.length("v") + 40), F.lit(0))).first()[0] <= DICTIONARY_BYTES
     reasons = []
-    for name, (reason, bad) in RULES.items():
-        col = F.col(f"_{name}")
-        invalid = parsed.where(col.isNotNull()).groupBy(col).agg(F.lit(1).alias("_n")).where(bad(col))
-        invalid = invalid.select(col.alias(f"_bad_{name}"), F.lit(reason).alias(f"_why_{name}"))
-        parsed = parsed.join(invalid, F.col(f"_{name}") == F.col(f"_bad_{name}"), "left").drop(f"_bad_{name}")
+    for name, (reason, _) in RULES.items():
+        side = dictionary.where(F.col("c") == name).select(F.col("v").alias(f"_bad_{name}"), F.lit(reason).alias(f"_why_{name}"))
+        parsed = parsed.join(F.broadcast(side) if small else side, F.col(f"_{name}") == F.col(f"_bad_{name}"), "left").drop(f"_bad_{name}")
         reasons.append(F.col(f"_why_{name}"))
     out = parsed.withColumn("_reason", F.coalesce("_fault", *reasons))
     sound = F.col("_reason").isNull()
