@@ -140,6 +140,19 @@ def test_stuffing(spark):
     assert stuffing.stuffing(df.limit(0), "doc_id", "text").count() == 0
 
 
+ENDED = [
+    "cheap loan near me " * 40 + ".", "Keywords: " + "cheap loan near me " * 40, "Tags: " + "#loan and card " * 2 + "best loan " * 30, "कर्ज़ बीमा कर्ज़ कर्ज़ बीमा " * 20 + "।",
+    "Keywords: loans, cards, mortgages, insurance, savings, deposits, credit, brokers, funds, bonds, shares, pensions.",
+]
+
+
+def test_stuffing_of_long_sentences_and_label_tails():
+    assert [t for t in ENDED if stuffing.stuffed_share(t)[0] <= stuffing.SHARE] == []
+    assert [t for t in PROSE if stuffing.stuffed_share(t)[0] > 0.1] == []
+    mixed = stuffing.stuffed_share(ENDED[0] + " " + SENTENCES)
+    assert 0.5 < mixed[0] < 1 and mixed[1] > stuffing.RECURS
+
+
 REDACTED = {
     "my email is asha.k [at] example [dot] org okay": "my email is [EMAIL] okay", "write r underscore tallis at the rate example dot com now": "write [EMAIL] now", "call me back on double five one two three four five six seven eight please": "call me back on [PHONE] please",
     "WhatsApp +91-531-337-4533, thanks": "WhatsApp [PHONE], thanks", "my aadhaar is 0402 5946 4928": "my aadhaar is [IDENTITY]", "passport H P Y Q C three three three nine O expires soon": "passport [IDENTITY] expires soon",

@@ -1,7 +1,7 @@
 """Pages of repeated keywords, links and tags instead of sentences.
 
-A text is cut into sentences, ended by a sentence mark, and loose stretches, which have none. In
-loose stretches, terms are compared by class: every link counts as the same term, every tag too, and
+A text is cut into sentences, ended by a sentence mark, and loose stretches, which have none. Sentences
+and tails of labels of ``LONG`` words or more are tested as loose stretches are. In these, terms are compared by class: every link counts as the same term, every tag too, and
 numbers are equal. Two statistics tell lists from prose: the share of terms that recur within a lag
 window, and the autocorrelation of the positions of equal terms at its best lag. Lists of distinct
 nouns recur little; they are told by marks between short phrases and missing function words.
@@ -22,6 +22,8 @@ LAG = 40
 LAGS = range(1, 25)
 #: Least share of recurring terms; least autocorrelation and recurrence together; least share of marks in a list.
 RECURS, REGULAR, REGULAR_RECURS, MARKS = 0.62, 0.45, 0.45, 0.16
+#: Words from which a sentence or the tail of a label is tested too, and least share of its commonest mark.
+LONG, SENTENCE_MARKS = 12, 0.2
 #: Share of a text's words beyond which it is stuffed.
 SHARE = 0.5
 #: English words that sentences need and lists of nouns lack.
@@ -65,17 +67,17 @@ def autocorrelation(found: list[str]) -> float:
     return max((sum(a == b for a, b in zip(found, found[k:])) / (n - k) for k in LAGS if n - k >= 8), default=0.0)
 
 
-def is_list(found: list[str]) -> bool:
-    """Whether the terms of loose stretches are a list or keyword string."""
+def is_list(found: list[str], sentence: bool = False) -> bool:
+    """Whether the terms of a stretch are a list or keyword string. Marks of a ``sentence`` count if one kind alone parts it."""
     if len(found) < 8:
         return bool(found) and all(t in "\uE000\uE001" for t in found)
     count = Counter(found)
     recurs = recurrence(found)
     if recurs >= RECURS or (recurs >= REGULAR_RECURS and autocorrelation(found) >= REGULAR):
         return True
-    marks = sum(count[m] for m in ">|/•,;-\uE000\uE001") / len(found)
+    kinds = [count[m] / len(found) for m in ">|/•,;-\uE000\uE001"]
     needed = sum(count[w] for w in FUNCTION_WORDS) / len(found)
-    return marks >= MARKS and needed < 0.04
+    return (max(kinds) >= SENTENCE_MARKS if sentence else sum(kinds) >= MARKS) and needed < 0.04
 
 
 def words(text: str) -> int:
@@ -83,9 +85,18 @@ def words(text: str) -> int:
     return sum(bool(_WORD.search(w)) for w in text.split())
 
 
-def loose_and_fixed(text: str) -> tuple[list[str], int]:
-    """Loose stretches of a text, and the words of its sentences."""
-    loose, fixed = [], 0
+def loose_and_fixed(text: str) -> tuple[list[str], int, list[str]]:
+    """Loose stretches of a text, the words of its sentences, and long sentences and label tails that are lists."""
+    loose, fixed, listed = [], 0, []
+
+    def settle(piece: str) -> None:
+        nonlocal fixed
+        n = words(piece)
+        if n >= LONG and is_list(terms(piece), sentence=True):
+            listed.append(piece)
+        else:
+            fixed += n
+
     for line in _STAMP.sub("\n", text).split("\n"):
         speaker = _SPEAKER.match(line)
         rest = line[speaker.end() :] if speaker else line
@@ -97,30 +108,31 @@ def loose_and_fixed(text: str) -> tuple[list[str], int]:
             if _ANCHOR.search(piece) or words(plain) < 0.5 * words(piece):
                 loose.append(piece)
             else:
-                fixed += words(piece)
+                settle(piece)
         tail = rest[start:]
         if not tail.strip():
             continue
         if speaker and not _LINK.search(tail) and not _TAG.search(tail):
-            fixed += words(tail)
+            settle(tail)
         else:
             loose.append(tail)
-    return loose, fixed
+    return loose, fixed, listed
 
 
 def stuffed_share(text: str | None) -> tuple[float, float, float]:
-    """Share of words in lists, and recurrence and autocorrelation of the loose terms."""
-    loose, fixed = loose_and_fixed(text or "")
-    total = fixed + sum(map(words, loose))
-    found = terms("\n".join(loose))
+    """Share of words in lists, and recurrence and autocorrelation of the loose terms and of listed sentences."""
+    loose, fixed, listed = loose_and_fixed(text or "")
+    known = sum(map(words, listed))
+    total = fixed + known + sum(map(words, loose))
+    found = terms("\n".join([*loose, *listed]))
     if not total or not found:
         return 0.0, 0.0, 0.0
     recurs, regular = recurrence(found), autocorrelation(found)
-    if is_list(found):
+    if is_list(terms("\n".join(loose))):
         return (total - fixed) / total, recurs, regular
     # a list may stand among lines that aren't one: judge runs of lines on their own
-    listed = sum(words(s) for s in loose if is_list(terms(s)))
-    return listed / total, recurs, regular
+    known += sum(words(s) for s in loose if is_list(terms(s)))
+    return known / total, recurs, regular
 
 
 def stuffing(df: DataFrame, key: str, text: str) -> DataFrame:
