@@ -153,6 +153,21 @@ def test_stuffing_of_long_sentences_and_label_tails():
     assert 0.5 < mixed[0] < 1 and mixed[1] > stuffing.RECURS
 
 
+def test_stuffing_of_long_cycles_and_lists_of_lines():
+    r = random.Random(8)
+    keywords = [f"{a}{b}" for a in ("loan", "card", "policy", "credit", "broker", "fund") for b in "abcdefghij"]
+    shuffled = [w for _ in range(10) for w in r.sample(keywords, len(keywords))]
+    nouns = ["Loan Mumbai", "Card Delhi", "Insurance", "Mortgage", "Savings Pune", "Deposit", "Credit", "Broker Goa", "Fund", "Bond", "Share", "Pension"]
+    lists = [" ".join(keywords * 10), "\n".join(keywords * 10), "\n".join(" ".join(keywords[i : i + 5]) for i in range(0, 60, 5)) + "\n" + " ".join(keywords * 2), " ".join(shuffled), "\n".join(nouns), " ".join(keywords * 2000)]
+    assert [t[:50] for t in lists if stuffing.stuffed_share(t)[0] <= stuffing.SHARE] == []
+    assert stuffing.autocorrelation(keywords * 10) == 1.0 == stuffing.autocorrelation(keywords * 2)
+    # long texts without a sentence mark: words as frequent as in prose, by rank
+    common = "the of to and in a is that for it".split()
+    ranks = r.choices(range(20_000), [1 / (k + 2.7) for k in range(20_000)], k=5000)
+    prose = [" ".join(common[k] if k < len(common) else f"w{chr(97 + k % 26)}{'x' * (k // 26)}" for k in ranks[:n]) for n in (100, 500, 5000)]
+    assert [t[:50] for t in prose if stuffing.stuffed_share(t)[0]] == []
+
+
 REDACTED = {
     "my email is asha.k [at] example [dot] org okay": "my email is [EMAIL] okay", "write r underscore tallis at the rate example dot com now": "write [EMAIL] now", "call me back on double five one two three four five six seven eight please": "call me back on [PHONE] please",
     "WhatsApp +91-531-337-4533, thanks": "WhatsApp [PHONE], thanks", "my aadhaar is 0402 5946 4928": "my aadhaar is [IDENTITY]", "passport H P Y Q C three three three nine O expires soon": "passport [IDENTITY] expires soon",

@@ -2,9 +2,10 @@
 
 A text is cut into sentences, ended by a sentence mark, and loose stretches, which have none. Sentences
 and tails of labels of ``LONG`` words or more are tested as loose stretches are. In these, terms are compared by class: every link counts as the same term, every tag too, and
-numbers are equal. Two statistics tell lists from prose: the share of terms that recur within a lag
-window, and the autocorrelation of the positions of equal terms at its best lag. Lists of distinct
-nouns recur little; they are told by marks between short phrases and missing function words.
+numbers are equal. Two statistics tell lists from prose: the share of terms that recur, nearby or
+anywhere in the stretch, and the autocorrelation of the positions of equal terms at its best lag, up to
+half the stretch. Lists of distinct nouns recur little; they are told by marks or line breaks between
+short phrases and missing function words.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms within which a recurrence counts, and lags at which positions are correlated.
+#: Terms within which a recurrence is near, and lags that are tried in any stretch.
 LAG = 40
 LAGS = range(1, 25)
+#: Terms up to which each lag is tried; random signs of a term by which the lags of longer stretches are found.
+DIRECT, ROUNDS = 128, 8
 #: Least share of recurring terms; least autocorrelation and recurrence together; least share of marks in a list.
 RECURS, REGULAR, REGULAR_RECURS, MARKS = 0.62, 0.45, 0.45, 0.16
+#: Share of marks in which line breaks count; shares of function words and of terms that stand once below which far recurrence counts.
+BREAKS, FAR_NEEDED, ONCE = 0.25, 0.12, 0.2
 #: Words from which a sentence or the tail of a label is tested too, and least share of its commonest mark.
 LONG, SENTENCE_MARKS = 12, 0.2
 #: Share of a text's words beyond which it is stuffed.
@@ -44,50 +51,102 @@ _WORD = re.compile(r"\w")
 _DIGITS = re.compile(r"\d+")
 
 
-def terms(text: str) -> list[str]:
-    """The terms of a stretch, by class."""
-    text = _LINK.sub(" \uE000 ", text)
-    text = _TAG.sub(" \uE001 ", _MARKUP.sub(" \uE000 ", text))
-    return [_DIGITS.sub("0", t).lower() for t in _TERM.findall(text)]
+def replace_links(text: str, by: str) -> str:
+    """A text with ``by`` in place of its links."""
+    return _LINK.sub(by, text) if "/" in text or "www." in text.lower() else text
 
 
-def recurrence(found: list[str]) -> float:
-    """Share of terms that stood already within the last LAG terms."""
+def terms(text: str) -> list[str]:
+    """The terms of a stretch, by class."""
+    text = replace_links(text, " \uE000 ")
+    if "<" in text:
+        text = _MARKUP.sub(" \uE000 ", text)
+    if "#" in text:
+        text = _TAG.sub(" \uE001 ", text)
+    return [t.lower() for t in _TERM.findall(_DIGITS.sub("0", text))]
+
+
+def recurrence(found: list[str], lag: int | None = None) -> float:
+    """Share of terms that stood already, within the last ``lag`` terms or anywhere before."""
+    if lag is None:
+        return 1 - len(set(found)) / len(found)
     last: dict[str, int] = {}
     hits = 0
     for i, t in enumerate(found):
-        hits += i - last.get(t, -LAG - 1) <= LAG
+        hits += i - last.get(t, -lag - 1) <= lag
         last[t] = i
     return hits / len(found)
 
 
+@cache
+def _signs(size: int) -> np.ndarray:
+    return np.random.default_rng(7).choice(np.array([-1.0, 1.0]), (ROUNDS, size))
+
+
+def _lags(codes: np.ndarray, distinct: int) -> list[int]:
+    """Lags to try: all of a short stretch, else those of the largest estimates from transforms of random signs of the terms."""
+    n = len(codes)
+    near = [k for k in LAGS if n - k >= 8]
+    if n <= DIRECT:
+        return [*near, *(k for k in range(LAGS.stop, n // 2 + 1) if n - k >= 8)]
+    size = 1 << (2 * n - 1).bit_length()
+    power = np.zeros(size // 2 + 1)
+    for signs in _signs(1 << distinct.bit_length()):
+        power += np.abs(np.fft.rfft(signs[codes], size)) ** 2
+    share = np.fft.irfft(power, size)[: n // 2 + 1] / (n - np.arange(n // 2 + 1))
+    share[: LAGS.stop] = -1
+    return [*near, *np.argsort(share)[-8:].tolist()]
+
+
 def autocorrelation(found: list[str]) -> float:
-    """Largest share, over LAGS, of places whose term stands again that many places on."""
-    n = len(found)
-    return max((sum(a == b for a, b in zip(found, found[k:])) / (n - k) for k in LAGS if n - k >= 8), default=0.0)
+    """Largest share, over lags up to half the length, of places whose term stands again that many places on."""
+    known: dict[str, int] = {}
+    codes = np.array([known.setdefault(t, len(known)) for t in found])
+    if len(known) == len(found):
+        return 0.0
+    n = len(codes)
+    return max((float(np.count_nonzero(codes[:-k] == codes[k:])) / (n - k) for k in _lags(codes, len(known))), default=0.0)
+
 
+def is_list(found: list[str], sentence: bool = False, breaks: int = 0) -> bool:
+    """Whether the terms of a stretch are a list or keyword string.
 
-def is_list(found: list[str], sentence: bool = False) -> bool:
-    """Whether the terms of a stretch are a list or keyword string. Marks of a ``sentence`` count if one kind alone parts it."""
-    if len(found) < 8:
+    Marks of a ``sentence`` count if one kind alone parts it. ``breaks`` are the line breaks between
+    the lines of the stretch, marks too if lines are short.
+    """
+    n = len(found)
+    if n < 8:
         return bool(found) and all(t in "\uE000\uE001" for t in found)
     count = Counter(found)
-    recurs = recurrence(found)
-    if recurs >= RECURS or (recurs >= REGULAR_RECURS and autocorrelation(found) >= REGULAR):
+    far, near = recurrence(found), recurrence(found, LAG)
+    if near >= RECURS:
+        return True
+    regular = autocorrelation(found) if far >= REGULAR_RECURS else 0.0
+    needed = sum(c for w, c in count.items() if w in FUNCTION_WORDS) / n
+    if needed < FAR_NEEDED:
+        if far >= REGULAR_RECURS and regular >= REGULAR:
+            return True
+        # long prose recurs too, but half of its words stand once
+        if far >= RECURS and n > 2 * LAG and sum(c == 1 for c in count.values()) <= ONCE * len(count):
+            return True
+    elif near >= REGULAR_RECURS and regular >= REGULAR:
         return True
-    kinds = [count[m] / len(found) for m in ">|/•,;-\uE000\uE001"]
-    needed = sum(count[w] for w in FUNCTION_WORDS) / len(found)
-    return (max(kinds) >= SENTENCE_MARKS if sentence else sum(kinds) >= MARKS) and needed < 0.04
+    kinds = [count[m] for m in ">|/•,;-\uE000\uE001"]
+    if needed >= 0.04:
+        return False
+    if sentence:
+        return max(kinds) >= SENTENCE_MARKS * n
+    return sum(kinds) >= MARKS * n or sum(kinds) + breaks >= BREAKS * (n + breaks)
 
 
 def words(text: str) -> int:
     """Words by blanks that hold a letter or digit."""
-    return sum(bool(_WORD.search(w)) for w in text.split())
+    return sum(1 for w in text.split() if w[0].isalnum() or _WORD.search(w))
 
 
-def loose_and_fixed(text: str) -> tuple[list[str], int, list[str]]:
-    """Loose stretches of a text, the words of its sentences, and long sentences and label tails that are lists."""
-    loose, fixed, listed = [], 0, []
+def loose_and_fixed(text: str) -> tuple[list[list[str]], int, list[str]]:
+    """Runs of loose stretches that no sentence parts, the words of its sentences, and long sentences and label tails that are lists."""
+    loose, fixed, listed = [[]], 0, []
 
     def settle(piece: str) -> None:
         nonlocal fixed
@@ -96,6 +155,8 @@ def loose_and_fixed(text: str) -> tuple[list[str], int, list[str]]:
             listed.append(piece)
         else:
             fixed += n
+            if loose[-1]:
+                loose.append([])
 
     for line in _STAMP.sub("\n", text).split("\n"):
         speaker = _SPEAKER.match(line)
@@ -104,9 +165,9 @@ def loose_and_fixed(text: str) -> tuple[list[str], int, list[str]]:
         for end in _END.finditer(rest):
             piece = rest[start : end.end()]
             start = end.end()
-            plain = _LINK.sub("", piece)
-            if _ANCHOR.search(piece) or words(plain) < 0.5 * words(piece):
-                loose.append(piece)
+            plain = replace_links(piece, "")
+            if _ANCHOR.search(piece) or (plain != piece and words(plain) < 0.5 * words(piece)):
+                loose[-1].append(piece)
             else:
                 settle(piece)
         tail = rest[start:]
@@ -115,13 +176,14 @@ def loose_and_fixed(text: str) -> tuple[list[str], int, list[str]]:
         if speaker and not _LINK.search(tail) and not _TAG.search(tail):
             settle(tail)
         else:
-            loose.append(tail)
-    return loose, fixed, listed
+            loose[-1].append(tail)
+    return [r for r in loose if r], fixed, listed
 
 
 def stuffed_share(text: str | None) -> tuple[float, float, float]:
     """Share of words in lists, and recurrence and autocorrelation of the loose terms and of listed sentences."""
-    loose, fixed, listed = loose_and_fixed(text or "")
+    runs, fixed, listed = loose_and_fixed(text or "")
+    loose = [s for run in runs for s in run]
     known = sum(map(words, listed))
     total = fixed + known + sum(map(words, loose))
     found = terms("\n".join([*loose, *listed]))
@@ -130,8 +192,12 @@ def stuffed_share(text: str | None) -> tuple[float, float, float]:
     recurs, regular = recurrence(found), autocorrelation(found)
     if is_list(terms("\n".join(loose))):
         return (total - fixed) / total, recurs, regular
-    # a list may stand among lines that aren't one: judge runs of lines on their own
-    known += sum(words(s) for s in loose if is_list(terms(s)))
+    # a list may stand among lines that aren't one: judge runs of lines on their own, and lines of other runs
+    for run in runs:
+        if is_list(terms("\n".join(run)), breaks=len(run) - 1):
+            known += sum(map(words, run))
+        elif len(run) > 1:
+            known += sum(words(s) for s in run if is_list(terms(s)))
     return known / total, recurs, regular
 
 
@@ -140,7 +206,7 @@ def stuffing(df: DataFrame, key: str, text: str) -> DataFrame:
 
     ``share`` is the part of a text's words, 0 to 1, that belongs to keyword strings, lists of links
     or tags. Null, empty and blank texts have 0. Repeated rows stay. The work is linear in the
-    length of a text and needs no shuffle.
+    length of a text but for a transform's logarithm, and needs no shuffle.
     """
     kind = dict(df.dtypes)[key]
 
