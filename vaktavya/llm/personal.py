@@ -5,7 +5,8 @@ a phone number, an identity number, a street address or a name; each has feature
 and of the words around it, and a score, the weighted sum of them. A labelling is a set of spans that
 don't overlap; its weight is exp of the sum of their scores, tokens outside have 0. Dynamic programming over
 token positions, with spans of bounded length, finds the best labelling: boundaries and types at once.
-A text without a candidate has one labelling, so leaving the programme out for it changes nothing.
+A text without a candidate has one labelling, so leaving the programme out for it changes nothing. A kind
+is looked for only where the words and signs that each of its candidates has stand in the text.
 
 Weights are trained by maximum likelihood on examples that this module writes with a fixed seed; no
 text of the tables is used for them. Names are known by two lists, given names and surnames, counted
@@ -84,13 +85,13 @@ _EDGE = ".,;:?!।॥\"'”’“‘()"
 
 
 class Token(NamedTuple):
-    """A token: without looks, outer punctuation and case; whether punctuation ends it; whether it may be of a number or e-mail address."""
+    """A token: without looks, outer punctuation and case; whether punctuation ends it; what it may be part of."""
 
     form: str
     bare: str
     low: str
     stop: bool
-    signs: bool
+    uses: int
 
 
 class Span(NamedTuple):
@@ -121,7 +122,7 @@ def _token_of(raw: str) -> Token:
     form = plain_form(raw)
     bare = form.strip(".,;:?!।॥\"'”’“‘")
     low = bare.lower()
-    return Token(form, bare, low, form[-1:] in ".,;:?!।॥", low in DIGITS or any(c.isdigit() or c == "@" for c in form) or "at)" in low or "at]" in low)
+    return Token(form, bare, low, form[-1:] in ".,;:?!।॥", _uses(form, bare, low))
 
 
 class Tokens(dict):
@@ -531,13 +532,46 @@ def trained() -> dict[str, float]:
     return train([examples.sentence() for _ in range(900)], frozenset(Examples.GIVEN), frozenset(Examples.SURNAMES))
 
 
-#: Words that make a text worth the search for candidates; without them and without signs of a number or e-mail address it has none.
-_TRIGGERS = frozenset(
-    {w for p in (*NAME_PHRASES, *HOME_PHRASES) for w in p} | HOUSE | IDENTITY_WORDS | {"rate", "dot"}
-) - {"is", "this", "my", "for", "no", "at", "to", "i", "we", "it", "from", "read", "please", "with", "am", "en", "na", "mera", "number", "block", *"मेरा माझं আমার મારું என் నా ನನ್ನ എന്റെ".split()}
-_SIGNS = re.compile(
-    r"@|\(at\)|\[at\]|\d[\d ().+-]{6,}\d|[A-Z]{2,5}\d{4}|\d[/-]\d|(?i:\b(?:zero|one|two|three|four|five|six|seven|eight|nine) (?:zero|one|two|three|four|five|six|seven|eight|nine)\b)"
-)
+#: What a token may begin or lead to; generators of candidates that lack a needed one have none in a text.
+_AT, _SAID_AT, _DOT, _NUMBER, _OPENS, _STREET, _HOUSE, _LEADS = (1 << k for k in range(8))
+#: Characters of the shortest number that is a candidate.
+LEAST_NUMBER = 7
+
+
+def _uses(form: str, bare: str, low: str) -> int:
+    """What a token may be part of, as bits."""
+    uses = 0
+    if "@" in form or "(at)" in low or "[at]" in form:
+        uses |= _AT
+    if low in ("at", "rate"):
+        uses |= _SAID_AT
+    if "." in form[:-1] or "dot" in low:
+        uses |= _DOT
+    if low in DIGITS or low in REPEATS or _NUMBERISH.match(bare) or _ALNUM.match(bare) or (len(bare) == 1 and "A" <= bare <= "Z"):
+        uses |= _NUMBER
+    if _HOUSE_NO.match(bare):
+        uses |= _HOUSE | (_OPENS if "/" in bare or "-" in bare else 0)
+    if low in HOUSE:
+        uses |= _OPENS
+    if low in STREET or low.endswith("nagar"):
+        uses |= _STREET
+    if low in _NAME_PHRASES:
+        uses |= _LEADS
+    return uses
+
+
+def _long_number(tokens: list[Token]) -> bool:
+    """Whether a run of number tokens may give LEAST_NUMBER characters."""
+    size = 0
+    for t in tokens:
+        if t.uses & _NUMBER:
+            part = _number_at(t)
+            size += 2 if part.startswith("*") else len(part)
+            if size >= LEAST_NUMBER:
+                return True
+        else:
+            size = 0
+    return False
 
 
 class Finder:
@@ -546,20 +580,35 @@ class Finder:
     def __init__(self, weights: dict[str, float], given: frozenset[str], surnames: frozenset[str]) -> None:
         self.weights, self.given, self.surnames = weights, given, surnames
         self.tokens = Tokens()
-        self.words = frozenset(_TRIGGERS) | given | surnames
+        self.words = given | surnames
+
+    def spans(self, tokens: list[Token], more: tuple[frozenset[str], frozenset[str]] | None = None) -> list[Span]:
+        """The candidates, without the search for kinds that lack a word or sign that each of their spans has."""
+        given, surnames, names = self.given, self.surnames, self.words
+        if more:
+            given, surnames, names = given | more[0], surnames | more[1], names | more[0] | more[1]
+        uses = 0
+        for t in tokens:
+            uses |= t.uses
+        found: list[Span] = []
+        if uses & _AT or (uses & _SAID_AT and uses & _DOT):
+            found += _emails(tokens)
+        if uses & _NUMBER and _long_number(tokens):
+            found += _numbers(tokens)
+        if uses & _OPENS and uses & _STREET and uses & _HOUSE:
+            found += _addresses(tokens)
+        if uses & _LEADS or not names.isdisjoint([t.low for t in tokens]):
+            found += _names(tokens, given, surnames)
+        return found
 
-    def find(self, text: str | None) -> tuple[list[str], list[Span]]:
-        """The text's raw tokens and the spans found."""
+    def find(self, text: str | None, more: tuple[frozenset[str], frozenset[str]] | None = None) -> tuple[list[str], list[Span]]:
+        """The text's raw tokens and the spans found; ``more``: given names and surnames of this text beside the lists."""
         raw = (text or "").split()
         if not raw:
             return raw, []
         known = self.tokens
         tokens = [known[r] for r in raw]
-        if self.words.isdisjoint([t.low for t in tokens]) and not (
-            any([t.signs for t in tokens]) and _SIGNS.search(" ".join([t.form for t in tokens]))
-        ):
-            return raw, []
-        spans = candidates(tokens, self.given, self.surnames)
+        spans = self.spans(tokens, more)
         return raw, best_labels(len(tokens), spans, self.weights) if spans else []
 
     def redact(self, text: str | None) -> tuple[str | None, list[str]]:
@@ -587,7 +636,7 @@ def name_lists(df: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]
 
     Counted in one pass with partial aggregation; at most ``NAMES`` of each come to the driver.
     """
-    lead = r"(?:[Mm]y name is|[Aa]ccount is under|[Pp]lease ask for|nominee should read|calling for M[rs]|mera nam|majhan nav|aamar nam|marun nam|en peyar|na peru|nanna hesaru|আমার নাম|મારું નામ|என் பெயர்|నా పేరు|ನನ್ನ ಹೆಸರು|എന്റെ പേര്|^M[rs]) "
+    lead = r"(?:[Mm]y name is|[Aa]ccount is under|[Pp]lease ask for|nominee should read|calling for M[rs]|[Tt]his is(?= [A-Z]\w+(?: [A-Z])? [A-Z])|mera nam|majhan nav|aamar nam|marun nam|en peyar|na peru|nanna hesaru|আমার নাম|મારું નામ|என் பெயர்|నా పేరు|ನನ್ನ ಹೆಸರು|എന്റെ പേര്|^M[rs]) "
     pattern = lead + r"([A-Z][A-Za-z]{2,14})( [A-Z])?[ ]([A-Za-z]{3,14})(?:[ .,?!]|$)"
     rows = df.where(F.col(text).rlike(pattern)).select(
         F.regexp_extract(text, pattern, 1).alias("a"), F.regexp_extract(text, pattern, 3).alias("b")
