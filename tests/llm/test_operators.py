@@ -207,6 +207,20 @@ def test_the_filter_of_candidates_changes_nothing():
             assert finder.spans(tokens) == personal.candidates(tokens, finder.given, finder.surnames), text
 
 
+@pytest.mark.parametrize("bound", [personal.NAMES, 2, 0])
+def test_names_beyond_the_bound_and_later_ones_of_a_text_are_known(spark, monkeypatch, bound):
+    names = [("Zubin", "Marwah"), ("Talia", "Orvane"), ("Keshav", "Dunmore"), ("Ilsa", "Pembry"), ("Roshan", "Quillon"), ("Anvi", "Strade")]
+    first, others = names[0], names[1:]
+    led = [f"my name is {g} {s} and please ask for {a} {b} only" for g, s in [first] for a, b in others for _ in range(2)]
+    bare = [f"send it to {g.lower()} {s.lower()} today" for g, s in names] + [f"{s.upper()} {g.upper()} wrote" for g, s in names] + [None, "", "send it to green table today"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*led, *bare, *bare])], "k int, text string").repartition(3)
+    monkeypatch.setattr(personal, "NAMES", bound)
+    found = {r.k: r.redacted for r in personal.redact(df, "text", ["k"]).collect()}
+    wanted = ["send it to [NAME] today"] * 6 + ["[NAME] wrote"] * 6 + [None, "", "send it to green table today"]
+    assert [found[i] for i in range(len(led), len(led) + 2 * len(bare))] == wanted * 2
+    assert (personal.name_lists(df, "text")[2] is None) == (bound > 2)
+
+
 def test_personal_information_in_very_long_texts():
     finder = personal.Finder(personal.trained(), frozenset(), frozenset())
     text = "please wait " * 20_000 + "my number is 5192834751 " + "thank you " * 1000

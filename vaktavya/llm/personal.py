@@ -10,7 +10,7 @@ is looked for only where the words and signs that each of its candidates has sta
 
 Weights are trained by maximum likelihood on examples that this module writes with a fixed seed; no
 text of the tables is used for them. Names are known by two lists, given names and surnames, counted
-over the whole input where a phrase introduces a name; their length is bounded by ``NAMES``.
+over the whole input where a phrase introduces a name; the most frequent ones are sent to all executors, others joined to texts.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from vaktavya.llm.leakage import Folder
 TYPES = ("email", "phone", "identity", "address", "name")
 #: Tokens of the longest segment, by type.
 LONGEST = {"email": 14, "phone": 16, "identity": 14, "address": 14, "name": 4}
-#: Names kept from the input, the most frequent ones, and the least count of one.
+#: Half the names of the input that every executor holds, the most frequent ones (others are joined to their texts), and the least count of one.
 NAMES, NAME_COUNT = 20_000, 2
 
 #: Spoken digits and the words that repeat one.
@@ -611,9 +611,9 @@ class Finder:
         spans = self.spans(tokens, more)
         return raw, best_labels(len(tokens), spans, self.weights) if spans else []
 
-    def redact(self, text: str | None) -> tuple[str | None, list[str]]:
+    def redact(self, text: str | None, more: tuple[frozenset[str], frozenset[str]] | None = None) -> tuple[str | None, list[str]]:
         """The text with a placeholder for each find, and the types found. Blanks and outer punctuation stay."""
-        raw, spans = self.find(text)
+        raw, spans = self.find(text, more)
         if not spans:
             return text, []
         places, at = [], 0
@@ -631,25 +631,51 @@ class Finder:
         return "".join([*out, text[at:]]), sorted({s.kind for s in spans})
 
 
-def name_lists(df: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names and surnames that phrases introduce anywhere in ``text``, the most frequent ones.
+def name_counts(df: DataFrame, text: str) -> DataFrame:
+    """Rows (w, n, is_given) of all names that phrases introduce anywhere in ``text``, ``NAME_COUNT`` times at least.
 
-    Counted in one pass with partial aggregation; at most ``NAMES`` of each come to the driver.
+    Counted in one pass with partial aggregation; a word is a given name if it stands more often as one.
     """
     lead = r"(?:[Mm]y name is|[Aa]ccount is under|[Pp]lease ask for|nominee should read|calling for M[rs]|[Tt]his is(?= [A-Z]\w+(?: [A-Z])? [A-Z])|mera nam|majhan nav|aamar nam|marun nam|en peyar|na peru|nanna hesaru|আমার নাম|મારું નામ|என் பெயர்|నా పేరు|ನನ್ನ ಹೆಸರು|എന്റെ പേര്|^M[rs]) "
     pattern = lead + r"([A-Z][A-Za-z]{2,14})( [A-Z])?[ ]([A-Za-z]{3,14})(?:[ .,?!]|$)"
-    rows = df.where(F.col(text).rlike(pattern)).select(
-        F.regexp_extract(text, pattern, 1).alias("a"), F.regexp_extract(text, pattern, 3).alias("b")
-    )
+    every = lambda group: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    rows = df.where(F.col(text).rlike(pattern)).select(F.explode(F.arrays_zip(every(1).alias("a"), every(3).alias("b"))).alias("x")).select("x.a", "x.b")
     # names in capitals come surname first
     turned = (F.upper("a") == F.col("a")) & (F.upper("b") == F.col("b"))
     pairs = rows.select(F.lower(F.when(turned, F.col("b")).otherwise(F.col("a"))).alias("g"), F.lower(F.when(turned, F.col("a")).otherwise(F.col("b"))).alias("s"))
     named = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("g").alias("w")), F.struct(F.lit(1).alias("k"), F.col("s").alias("w")))).alias("x")).select("x.*")
-    counts = named.groupBy("k", "w").count().where(F.col("count") >= NAME_COUNT).orderBy(F.col("count").desc(), "w").limit(2 * NAMES).collect()
-    lists = [{r["w"]: r["count"] for r in counts if r["k"] == k and r["w"] not in NOT_NAMES} for k in (0, 1)]
-    given = frozenset(w for w, c in lists[0].items() if c > lists[1].get(w, 0))
-    surnames = frozenset(w for w, c in lists[1].items() if c >= lists[0].get(w, 0)) - given
-    return given, surnames
+    kept = lambda k: F.expr(f"if(count_if(k = {k}) >= {NAME_COUNT}, count_if(k = {k}), 0)")
+    counts = named.groupBy("w").agg(kept(0).alias("g"), kept(1).alias("s")).where(F.greatest("g", "s") > 0)
+    return counts.where(~F.col("w").isin(*NOT_NAMES)).select("w", F.greatest("g", "s").alias("n"), (F.col("g") > F.col("s")).alias("is_given"))
+
+
+def name_lists(df: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str], DataFrame | None]:
+    """Given names and surnames of ``name_counts``, the ``2 * NAMES`` most frequent ones, and the others if there are any."""
+    counts = name_counts(df, text)
+    top = counts.orderBy(F.col("n").desc(), "w").limit(2 * NAMES + 1).collect()
+    rest = None
+    if len(top) > 2 * NAMES:
+        top = top[:-1]
+        n, w = (top[-1]["n"], top[-1]["w"]) if top else (1 << 62, "")
+        rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("w") > w)))
+    return frozenset(r["w"] for r in top if r["is_given"]), frozenset(r["w"] for r in top if not r["is_given"]), rest
+
+
+def _with_rare_names(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """``rows`` with the names of ``rest`` that stand in each text, as _given and _surnames; null where there are none."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Tokens()
+        for pdf in batches:
+            found = [(h, w) for h, t in zip(pdf["_h"], pdf["_text"], strict=True) for w in {x.low for x in map(known.__getitem__, t.split()) if _name_like(x)}]
+            yield pd.DataFrame(found, columns=["_h", "w"])
+
+    # texts are known by 128 bits of them, so that only words are shuffled
+    hashed = rows.withColumn("_h", F.md5("_text"))
+    words = hashed.where("_text IS NOT NULL").select("_h", "_text").mapInPandas(cut, "_h string, w string")
+    listed = lambda given: F.expr(f"collect_set(if(is_given = {given}, w, null))")
+    hits = words.join(rest.select("w", "is_given"), "w").groupBy("_h").agg(listed("true").alias("_given"), listed("false").alias("_surnames"))
+    return hashed.join(hits, "_h", "left").drop("_h")
 
 
 def redact(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -660,17 +686,23 @@ def redact(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     Null stays null with no types; empty and blank texts stay. Repeated rows stay. Time is linear in
     the text's length for a bounded segment length.
     """
-    given, surnames = name_lists(df, text)
+    given, surnames, rest = name_lists(df, text)
+    beyond = rest is not None
     shared = df.sparkSession.sparkContext.broadcast((trained(), given, surnames))
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(*shared.value)
         for pdf in batches:
-            found = [finder.redact(t) for t in pdf["_text"]]
+            more = [None] * len(pdf)
+            if beyond:
+                more = [None if g is None else (frozenset(g), frozenset(s)) for g, s in zip(pdf["_given"], pdf["_surnames"], strict=True)]
+            found = [finder.redact(t, m) for t, m in zip(pdf["_text"], more, strict=True)]
             yield pdf[inner].assign(redacted=[f[0] for f in found], pii_types=[f[1] for f in found])
 
     inner = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, inner, strict=True)), F.col(text).alias("_text"))
+    if beyond:
+        rows = _with_rare_names(rows, rest)
     schema = ", ".join(f"{n} {types[k]}" for k, n in zip(keys, inner, strict=True)) + ", redacted string, pii_types array<string>"
     return rows.mapInPandas(run, schema).withColumnsRenamed(dict(zip(inner, keys, strict=True)))
