@@ -121,6 +121,19 @@ def test_leaks(spark, limit):
     assert leakage.leaks(df.limit(0), "doc_id", "text", items, "item_id", "text", broadcast_windows=limit).count() == 0
 
 
+def test_leaks_are_cut_out_however_many_items_there_are(spark):
+    words = [f"word{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[10:30])), (3, " ".join(words[:12])), (4, None), (1, " ".join(words[:20]))], "item_id int, text string")
+    docs = [
+        ("a", "x " + " ".join(words[5:15]) + " y, " + ", ".join(words[10:24]) + "! z"), ("b", "wo​rd20 " + "  ".join(words[21:40]) + " end"), ("a", "other " + " ".join(words[:12]) + " text"),
+        ("c", " ".join(words[:9])), ("d", None), ("e", ""), ("b", "wo​rd20 " + "  ".join(words[21:40]) + " end"), ("f", "p " + " ".join(words[:10] * 3) + " q"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    few, many = (leakage.leaks(df, "doc_id", "text", items, "item_id", "text", broadcast_windows=b).collect() for b in (1_000_000, 0))
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many)) and len(many) == 10
+    assert {r.clean_text for r in many if r.doc_id == "a"} == {"x  y, ! z", "other  text"}
+
+
 SENTENCES = "The branch near the park handles parcels between nine and five. Callers told us that the page loads slowly since Friday. We wait for the tone and then read the terms."
 LISTS = [
     "cheap loan near me " * 40, "\n".join(f"http://deals{i}.example/tag/loan-{i}" for i in range(30)), " ".join(f"#loanOffer{i}" for i in range(40)), "\n".join(f"SKU-{i * 37} / loan / sale / Rs {i * 91}" for i in range(1, 25)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,6 +69,21 @@ def _grams(items: list[tuple[int, str | None]], n: int) -> dict[str, tuple[int,
     return {g: tuple(sorted(i)) for g, i in found.items()}
 
 
+def without_spans(text: str, places: list[tuple[int, int]], starts: Iterable[int], n: int) -> str:
+    """A text without the windows of n words that begin at the words ``starts``, in order."""
+    spans: list[list[int]] = []
+    for i in starts:
+        if spans and spans[-1][1] >= i:
+            spans[-1][1] = i + n
+        else:
+            spans.append([i, i + n])
+    clean, at = [], 0
+    for a, b in spans:
+        clean.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*clean, text[at:]])
+
+
 def leaks(
     documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = WORDS,
     broadcast_windows: int = BROADCAST_WINDOWS,
@@ -80,7 +95,7 @@ def leaks(
     up in it by its whole words, so a hit is verified as it is found. ``n_windows`` counts the
     document's windows that the item has. ``clean_text`` is the document without the spans of any
     item. If the items have more than ``broadcast_windows`` windows, 64-bit hashes of windows are
-    joined instead and verified by their words.
+    joined instead and verified by their words; the rows are the same.
 
     Null, empty and short texts hold nothing and leak nothing. Repeated documents each come out;
     an item that repeats another comes out beside it. If both keys have one name, the item's is
@@ -103,41 +118,47 @@ def leaks(
                 for doc, body in zip(pdf["_key"], pdf["_text"], strict=True):
                     words, places, plain = fold.places(body)
                     hits: dict[int, int] = defaultdict(int)
-                    spans: list[list[int]] = []
+                    starts = []
                     for i, gram in enumerate(windows(words, n)):
                         if gram in grams:
+                            starts.append(i)
                             for item in grams[gram]:
                                 hits[item] += 1
-                            if spans and spans[-1][1] >= i:
-                                spans[-1][1] = i + n
-                            else:
-                                spans.append([i, i + n])
                     if hits:
-                        clean, at = [], 0
-                        for a, b in spans:
-                            clean.append(plain[at : places[a][0]])
-                            at = places[b - 1][1]
-                        left = "".join([*clean, plain[at:]])
+                        left = without_spans(plain, places, starts, n)
                         rows += [(doc, item, count, left) for item, count in sorted(hits.items())]
                 yield pd.DataFrame(rows, columns=[key, item_key, "n_windows", "clean_text"])
 
         return docs.mapInPandas(run, schema)
-    return _joined(docs, wanted, key, item_key, n, kind, item_kind)
+    return _joined(docs, wanted, key, item_key, n, schema, item_kind)
 
 
-def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int, kind: str, item_kind: str) -> DataFrame:
-    def cut(name: str):
+def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int, schema: str, item_kind: str) -> DataFrame:
+    def cut(name: str, placed: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fold = Folder()
             for pdf in batches:
-                rows = [(k, g) for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) for g in windows(fold.places(t)[0], n)]
-                yield pd.DataFrame(rows, columns=[name, "_gram"])
+                rows = [(k, i, g) for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) for i, g in enumerate(windows(fold.places(t)[0], n))]
+                found = pd.DataFrame(rows, columns=[name, "_place", "_gram"])
+                yield found if placed else found.drop(columns="_place")
 
         return run
 
-    of_items = wanted.mapInPandas(cut("_item"), f"_item {item_kind}, _gram string").distinct()
-    of_docs = docs.mapInPandas(cut("_key"), f"_key {kind}, _gram string").groupBy("_key", "_gram").count()
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = Folder()
+        for pdf in batches:
+            rows = []
+            for doc, body, hits in zip(pdf["_key"], pdf["_text"], pdf["_hits"], strict=True):
+                _, places, plain = fold.places(body)
+                left = without_spans(plain, places, sorted({i for h in hits for i in h["places"]}), n)
+                rows += [(doc, h["_item"], len(h["places"]), left) for h in hits]
+            yield pd.DataFrame(rows, columns=[key, item_key, "n_windows", "clean_text"])
+
+    # texts are known by 128 bits of them, so repeated documents share their hits and each come out
+    docs = docs.withColumn("_id", F.md5("_text"))
     hashed = lambda df: df.withColumn("_h", F.xxhash64("_gram"))
-    hits = hashed(of_docs).join(hashed(of_items), ["_h", "_gram"])
-    found = hits.groupBy("_key", "_item").agg(F.sum("count").cast("int").alias("n_windows"))
-    return found.select(F.col("_key").alias(key), F.col("_item").alias(item_key), "n_windows", F.lit(None).cast("string").alias("clean_text"))
+    of_items = wanted.mapInPandas(cut("_item", False), f"_item {item_kind}, _gram string").distinct()
+    of_docs = docs.select("_id", "_text").mapInPandas(cut("_id", True), "_id string, _place int, _gram string")
+    hits = hashed(of_docs).join(hashed(of_items), ["_h", "_gram"]).groupBy("_id", "_item").agg(F.collect_set("_place").alias("places"))
+    found = hits.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_item", "places"))).alias("_hits"))
+    return docs.join(found, "_id").select("_key", "_text", "_hits").mapInPandas(clean, schema)
