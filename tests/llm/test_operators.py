@@ -265,6 +265,16 @@ def test_languages(spark, data):
     assert sum([x.language for x in found[r.utterance_id].languages] == ["ta"] for r in held) / len(held) > 0.9
 
 
+def test_languages_of_capitalized_texts(spark, data):
+    release = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/release.parquet")
+    said = "please send the receipt for the parcel again"
+    texts = {"upper": said.upper(), "title": said.title(), "plain": said, "name": "मेरा बिल अभी तक नहीं आया है Kestrel Gold Plan Card"}
+    names = ["utterance_id", "transcription", "language", "language_tag", "is_code_mixed"]
+    more = spark.createDataFrame([(k, t, None, None, None) for k, t in texts.items()], "utterance_id string, transcription string, language string, language_tag string, is_code_mixed boolean")
+    found = {r.utterance_id: r for r in languages.detect(release.select(*names).unionByName(more), *names).where(F.col("utterance_id").isin(*texts)).collect()}
+    assert {k: ([x.language for x in r.languages], r.wrong) for k, r in found.items()} == {"upper": (["en"], True), "title": (["en"], True), "plain": (["en"], True), "name": (["hi"], True)}
+
+
 def test_forward_backward_is_that_of_all_paths():
     import itertools
 

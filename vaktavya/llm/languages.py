@@ -334,6 +334,10 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int,
 
 def _stretches(words: list[str], row: list[tuple[int, float, bool]]) -> list[tuple[int, int, str, float, int]]:
     out, i, n = [], 0, len(row)
+    capital = [w[0].isupper() and len(w.strip(_EDGES)) > 1 for w in words]
+    # where most words have a capital, it tells no name
+    if 2 * sum(capital) > n:
+        capital = [False] * n
     while i < n:
         if not row[i][2]:
             i += 1
@@ -343,7 +347,7 @@ def _stretches(words: list[str], row: list[tuple[int, float, bool]]) -> list[tup
             if row[j][2]:
                 last = j
                 # a capital inside of a text may begin a name
-                if not (words[j][0].isupper() and j and len(words[j].strip(_EDGES)) > 1):
+                if not (capital[j] and j):
                     total, told = total + row[j][1], told + 1
             j += 1
         out.append((i, last + 1, LANGUAGES[row[i][0]], total / told if told else row[i][1], told))
