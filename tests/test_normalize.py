@@ -1,8 +1,11 @@
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vaktavya import queries
 from vaktavya.functions.normalize import with_normal_forms
 from vaktavya.functions.plain import compose, plain_normalize
 
@@ -84,3 +87,11 @@ def test_variants(spark):
     rows = spark.createDataFrame([("twenty six okay",)], "t string")
     assert with_normal_forms(rows, {"t": "n"}, numbers=False).first().n == "twenty six ok"
     assert with_normal_forms(rows, {"t": "n"}, whole_numbers=True, spellings=False).select(F.col("n")).first().n == "26 okay"
+
+
+def test_number_forms_of_whole_tables(spark, data):
+    rows = [("release", r.utterance_id, r.transcription) for r in spark.read.parquet(f"{data}/release.parquet").collect()]
+    rows += [("predictions", str(r.row_id), r.prediction) for r in spark.read.parquet(f"{data}/predictions.parquet").collect()]
+    found = Counter(map(tuple, queries.QUERIES["number_forms"](spark, data).collect()))
+    assert found == Counter((s, k, plain_normalize(t, spellings=False)) for s, k, t in rows)
+    assert sum(plain_normalize(t, numbers=False, spellings=False) != plain_normalize(t, spellings=False) for _, _, t in rows) > 20

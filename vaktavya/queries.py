@@ -146,6 +146,14 @@ def number_words_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("n", normalize(F.concat(F.col("said"), F.lit(" thousand rupees"))).alias("digits"))
 
 
+def number_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every transcription and prediction with its numbers composed; spellings stay."""
+    release = table(spark, folder, "release").select(F.lit("release").alias("source_table"), F.col("utterance_id").alias("record_id"), F.col("transcription").alias("t"))
+    predictions = table(spark, folder, "predictions").select(F.lit("predictions").alias("source_table"), F.col("row_id").cast("string").alias("record_id"), F.col("prediction").alias("t"))
+    rows = release.unionAll(predictions).withColumn("t", nfkc(F.col("t")))
+    return rows.select("source_table", "record_id", normalize(F.col("t"), spellings=False).alias("form"))
+
+
 def ordinals(spark: SparkSession, folder: str) -> DataFrame:
     """Ordinals with figures become cardinals."""
     rows = table(spark, folder, "lineitem").select("l_linenumber").distinct()
@@ -325,7 +333,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p4_found, p7_found, p7_reasons, p7_rows, scan_project, dedupe_last_success, repeated_ids, missing_predictions, align_left, tag_codes,
-        without_languages, first_rows, batch_sizes, folded_texts, settled_spellings, number_words_roundtrip, ordinals, decimal_points,
+        without_languages, first_rows, batch_sizes, folded_texts, settled_spellings, number_words_roundtrip, number_forms, ordinals, decimal_points,
         plain_word_counts, plain_wer_sets, row_counts, score_overall, score_by_provider, score_sets, call_totals, bootstrap_ci, paired_delta_ci,
         corpus_facts, normal_form_drift, sampled_in, question_keys, latest_answers, pending_rows, semantic_rows, semantic_score, routes,
         status_counts, run_tallies, unfinished, transcribed, streamed_status_days,
