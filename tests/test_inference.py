@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vaktavya import cli
 from vaktavya.functions.sql import register_functions
 from vaktavya.inference import recognisers as R
+from vaktavya.inference import cli as runner
 from vaktavya.inference import routing
 from vaktavya.plans.settings import Settings, read_dotenv, settings_from
 from vaktavya.sources import speech
@@ -88,11 +89,45 @@ def test_command_line(spark, tmp_path, capsys):
     base = ["--release", str(tmp_path / "r"), "--predictions", str(tmp_path / "p.csv")]
     result = cli.main([*base, "--by", "language", "--ci", "--n-boot", "20", "--json", str(tmp_path / "o.json")])
     assert result["overall"]["wer"] == 0.5 and result["by_language"]["en"]["wer"] == 1.0 and json.loads((tmp_path / "o.json").read_text()) == result
-    assert "overall" in capsys.readouterr().out
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0].split() == ["rows", "scored", "WER", "CER", "MER", "KWER", "utterances", "words"] and shown[2].split()[:3] == ["all", "rows", "50.00%"] and shown[3].startswith("language en")
+    part = cli.main([*base, "--provider", "gemini_realtime", "--without", "en"])
+    assert part["provider"] == "gemini_realtime" and part["overall"]["utterances"] == 1 and "2 of 2" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main([*base, "--by", "nothing"])
 
 
+def test_runner_command_line(spark, tmp_path, capsys):
+    release = [("u1", "c1", "hi", "hi", False, 1.0, "d", "a", "", None), ("u2", "c2", "ml", "ml", False, 1.0, None, "d", "", None)]
+    spark.createDataFrame(release, speech.RELEASE).write.parquet(str(tmp_path / "r" / "hindi" / "test-0.parquet"))
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "audio" / "u1.wav").write_bytes(b"abc")
+    base = ["--provider", "echo", "--release", str(tmp_path / "r"), "--audio-dir", str(tmp_path / "audio"), "--concurrency", "2", "--out", str(tmp_path / "out")]
+    assert runner.main([*base, "--limit", "1"]) == (1, 0)
+    assert runner.main(base) == (1, 1) and "without success" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        runner.main(["--provider", "nobody", *base[2:]])
+
+
+def test_package_names():
+    import vaktavya
+
+    assert all(callable(getattr(vaktavya, n)) for n in vaktavya.__all__ if n != "LANGUAGES") and vaktavya.LANGUAGES["tamil"] == "ta"
+    with pytest.raises(AttributeError):
+        vaktavya.nothing  # noqa: B018
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from vaktavya.plans import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(RuntimeError):
+        session.settled(df)
+
+
 def test_sql_functions(spark):
     register_functions(spark)
     assert spark.sql("SELECT speech_normal_form('Twenty six, okay'), speech_word_edits('a b', 'a')").first()[:] == ("2 6 ok", 1)

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vaktavya.functions.distance import mixed_units, sequence_edits, syllables
+from vaktavya.functions.distance import char_counts, keyword_counts, mixed_counts, mixed_units, sequence_edits, syllables, word_counts
+from vaktavya.functions.normalize import with_normal_forms
 from vaktavya.functions.plain import edits
 from vaktavya.operators import scoring
 from vaktavya.sources import speech
@@ -53,14 +54,32 @@ def test_intervals(counts):
         scoring.bootstrap_ci(counts, "bleu")
 
 
-def test_interval_is_that_of_numpy(spark, counts):
+def test_interval_is_that_of_one_matrix_of_draws(spark, counts):
     import numpy as np
 
-    totals = {r.call_id: (r.w_edits, r.w_units) for r in scoring.call_totals(counts).collect()}
+    many = counts.crossJoin(spark.range(9).withColumnRenamed("id", "copy")).withColumn("call_id", F.concat("call_id", F.col("copy").cast("string"))).withColumn("w_edits", F.col("w_edits") + F.col("copy"))
+    totals = {r.call_id: (r.w_edits, r.w_units) for r in scoring.call_totals(many).collect()}
     e, u = (np.array([totals[c][k] for c in sorted(totals)]) for k in (0, 1))
-    values = [e[d].sum() / u[d].sum() for d in (np.random.default_rng([7, b]).integers(0, len(e), len(e)) for b in range(60))]
-    found = scoring.bootstrap_ci(counts, n_boot=60, seed=7).first()
-    assert np.allclose(tuple(found), np.percentile(values, [2.5, 97.5]))
+    draws = np.random.default_rng(7).integers(0, len(e), size=(60, len(e)))
+    values = [e[d].sum() / u[d].sum() for d in draws]
+    found = scoring.bootstrap_ci(many, n_boot=60, seed=7).first()
+    assert tuple(found) == tuple(np.percentile(values, [2.5, 97.5]))
+    delta = scoring.paired_delta_ci(many, many.withColumn("w_edits", F.col("w_edits") * 2), n_boot=60, seed=7).first()
+    assert np.allclose(tuple(delta), (e.sum() / u.sum(), *np.percentile(values, [2.5, 97.5])))
+
+
+def test_weights_are_those_of_a_poisson_variable_and_give_like_intervals(spark, counts):
+    import numpy as np
+
+    w = scoring.poisson_weights(np.random.default_rng(1).integers(0, 2**32, 3000), 200, 5)
+    shares = np.bincount(w.ravel(), minlength=4)[:4] / w.size
+    assert np.allclose(shares, np.exp(-1) / np.array([1, 1, 2, 6]), atol=2e-3) and abs(w.sum(0) - 3000).max() < 300
+    many = counts.crossJoin(spark.range(60).withColumnRenamed("id", "copy")).withColumn("call_id", F.concat("call_id", F.col("copy").cast("string")))
+    drawn, weighed = (scoring.bootstrap_ci(many, n_boot=300, drawn_calls=n).first() for n in (100_000, 0))
+    assert abs(drawn.low - weighed.low) < 0.02 and abs(drawn.high - weighed.high) < 0.02
+    same = scoring.paired_delta_ci(many, many, n_boot=20, drawn_calls=0).first()
+    assert tuple(same) == (0.0, 0.0, 0.0)
+    assert tuple(scoring.bootstrap_ci(counts.limit(0), n_boot=20, drawn_calls=0).first()) == (None, None)
 
 
 def test_paired_difference(counts):
@@ -93,6 +112,27 @@ def test_paired_difference(counts):
 def test_keywords(spark, keywords, prediction, reference, expected):
     rows = spark.createDataFrame([(keywords, reference or prediction, prediction)], "keywords string, transcription string, prediction string")
     assert tuple(scoring.row_counts(rows).select("kw_hits", "kw_total").first()) == expected
+    hits, scored = expected
+    counted = lambda r: tuple(rows.select(keyword_counts(F.col("keywords"), F.col("prediction"), r).alias("k")).select("k.rate", "k.hits", "k.scored").first())
+    assert counted(F.col("transcription")) == ((1 - hits / scored) if scored else None, hits, scored)
+    assert counted(None)[2] >= scored
+
+
+def test_a_full_width_comma_parts_nothing(spark):
+    rows = spark.createDataFrame([("marg，tax", "marg tax", "marg tax")], "keywords string, transcription string, prediction string")
+    assert tuple(scoring.row_counts(rows).select("kw_hits", "kw_total").first()) == (1, 1)
+
+
+def test_expressions_give_the_counts_of_the_kernel(spark, data):
+    from vaktavya import queries
+
+    rows = queries.systems(spark, data)
+    whole = scoring.row_counts(rows).select("provider", "utterance_id", "w_edits", "w_units", "c_edits", "c_units", "m_edits", "m_units")
+    forms = with_normal_forms(rows, {"transcription": "r", "prediction": "h"})
+    columns = [F.col("r"), F.col("h")]
+    parts = forms.select("provider", "utterance_id", word_counts(*columns).alias("w"), char_counts(*columns).alias("c"), mixed_counts(*columns).alias("m"))
+    parts = parts.select("provider", "utterance_id", "w.edits", "w.units", "c.edits", "c.units", "m.edits", "m.units")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
 def test_rows(spark):

@@ -1,7 +1,10 @@
+import json
+
 import pytest
 
 from vaktavya.functions.plain import edits
 from vaktavya.functions.plain import plain_normalize as form
+from vaktavya.plans.settings import Settings
 from vaktavya.semantic import judge, pipeline, sounds
 from vaktavya.semantic.pairs import apply_pairs, deletions, verify_pair
 
@@ -88,15 +91,41 @@ def test_pipeline(spark, tmp_path):
     prepared = pipeline.prepare(rows, "id", "r", "h", "l")
     asked = pipeline.questions(prepared)
     assert asked.count() == 2
-    answers = judge.answer_into(asked, str(tmp_path / "cache"), "m", echo_judge, parallel=2, attempts=1)
+    answers, failures = judge.answer_into(asked, str(tmp_path / "cache"), "m", echo_judge, parallel=2, attempts=1)
+    assert failures == 1
     found = {r.row_key: r for r in pipeline.judged(prepared, answers).collect()}
-    assert {k: r.status for k, r in found.items()} == {1: "success", 2: "exact", 3: "empty_reference", 4: "empty_hypothesis", 5: "unanswered", 6: "success", 7: "empty_reference"}
+    assert {k: r.status for k, r in found.items()} == {1: "success", 2: "exact", 3: "empty_reference", 4: "empty_hypothesis", 5: "judge_error", 6: "success", 7: "empty_reference"}
     assert found[1].semantic_word_edits == 0 and found[1].word_edits == 1 and found[5].semantic_wer is None and found[4].semantic_wer == 1.0
     total = pipeline.semantic_score(pipeline.judged(prepared, answers)).first()
     assert total.semantic_wer == 2 / 7 and total.semantic_wer_or_lexical == 3 / 8
     assert judge.pending_questions(asked, answers).count() == 1
 
 
+def test_whole_pipeline(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def answers(text):
+        calls.add(1)
+        asked = json.loads(text.rpartition("\n")[2])
+        if "boom" in asked["hypothesis"]:
+            return "no JSON"
+        return json.dumps({"equivalences": [{"hypothesis_span": "कार", "reference_span": "car", "type": "script"}, {"type": "script"}]})
+
+    rows = spark.createDataFrame([(1, "my car", "my कार", "hi"), (2, "a", "boom", "en"), (3, "same", "same", "en")], "id int, r string, h string, l string")
+    options = Settings(cache_dir=str(tmp_path), judge_attempts=1, parallel=2)
+    run = lambda who: pipeline.evaluate(rows, "id", "r", "h", "l", who, "m", options)
+    statuses = lambda df: {r.row_key: r.status for r in df.collect()}
+    before, _ = run(None)
+    assert statuses(before) == {1: "no_judge", 2: "no_judge", 3: "exact"}
+    found, failures = run(judge.text_judge(answers))
+    assert statuses(found) == {1: "success", 2: "judge_error", 3: "exact"} and failures == 1 and calls.value == 2
+    audit = {r.row_key: (r.accepted, r.rejected) for r in pipeline.audited(found).collect()}
+    assert json.loads(audit[1][0])[0]["reference_span"] == "car" and audit[1][1] == "" == audit[3][0]
+    again, failures = run(judge.text_judge(answers))
+    assert failures == 1 and calls.value == 3 and statuses(again)[1] == "success"
+    assert pipeline.evaluate(rows, "id", "r", "h", "l", options=options)[1] == 0
+
+
 def test_cache_and_sample(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"key":"a","model":"m","response":{"equivalences":[]}}\n\n{"key":"a","model":"m","response":{"equivalences":[{"type":"script"}]}}\n{"key":"b","resp\n')
     found = judge.load_json_cache(spark, str(tmp_path / "c.jsonl")).collect()

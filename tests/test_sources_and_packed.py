@@ -1,9 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vaktavya.operators.packed import parses, unpack
-from vaktavya.sources.records import damaged_records, parse_records, sound_records
+from vaktavya.sources.records import CASTS, damaged_records, invalid_values, parse_records, sound_records
 
 CELLS = {
     "a, b,c": ["a", "b", "c"], "EMI 2,400; x": ["EMI 2,400", "x"], "tax/GST / y": ["tax/GST", "y"], "customer's copy|z": ["customer's copy", "z"],
@@ -55,6 +56,28 @@ def test_records(spark):
     assert parse_records(rows.limit(0)).count() == 0
 
 
+def test_each_distinct_value_is_cast_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def cast(v):
+        seen.add(len(v))
+        return v.where(v != "bad")
+
+    rows = spark.createDataFrame([(i, f"c1_t1,text {i},{'bad' if i % 4 == 0 else i % 4},ok,") for i in range(400)], "line_id int, raw_line string").repartition(6)
+    found = parse_records(rows, casts={"latency_ms": ("not_cast", cast)}).collect()
+    assert sum(r.reason == "not_cast" for r in found) == 100 and len(found) == 400
+    # the values are bad, 1, 2 and 3
+    assert seen.value == 4
+
+
+def test_casts_stay_above_the_invalid_values(spark):
+    rows = spark.createDataFrame([(1, "c1_t1,a,1,ok,")], "line_id int, raw_line string")
+    parsed = rows.select(F.lit(None).cast("string").alias("_fault"), *(F.col("raw_line").alias(f"_{c}") for c in CASTS))
+    plan = invalid_values(parsed, CASTS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate") and "RLIKE" not in plan[plan.index("Aggregate") :] and "try_cast" in plan.lower()
+
+
 def test_long_and_repeated_records(spark):
     text = '"' + '""'.join(["x" * 20] * 20_000) + '"'
     rows = spark.createDataFrame([(1, f"c1_t1,{text},1,ok,"), (1, f"c1_t1,{text},1,ok,"), (2, "c1_t1,a\x1fb,1,ok,")], "line_id int, raw_line string")

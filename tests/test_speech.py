@@ -14,6 +14,7 @@ def test_release_scan(spark, release, tmp_path):
     release.withColumn("audio", F.lit(b"x")).write.parquet(str(tmp_path / "hindi" / "test-0.parquet"))
     assert speech.load_release(spark, str(tmp_path), "hindi").columns == speech.RELEASE.fieldNames()
     assert "audio" in speech.load_release(spark, str(tmp_path), with_audio=True).columns
+    assert speech.load_release(spark, str(tmp_path.parent), revision=tmp_path.name).count() == 2
     with pytest.raises(ValueError):
         speech.load_release(spark, str(tmp_path), "klingon")
     with pytest.raises(FileNotFoundError):
@@ -28,6 +29,44 @@ def test_predictions_scan(spark, tmp_path):
         speech.load_predictions(spark, str(tmp_path / "p.csv"), text_column="hypothesis")
 
 
+def test_predictions_in_parquet_keep_their_place_in_the_file(spark, tmp_path):
+    rows = [("u1", "zzz", "success"), ("u1", "aaa", "success"), ("u1", "bbb", "error"), ("u2", "first", "error"), ("u2", "last", None)]
+    spark.createDataFrame(rows, "utterance_id string, prediction string, status string").coalesce(1).write.parquet(str(tmp_path / "p.parquet"))
+    found = {r.utterance_id: r.prediction for r in speech.load_predictions(spark, str(tmp_path / "p.parquet")).collect()}
+    assert found == {"u1": "aaa", "u2": "last"}
+    # an own order column wins over the place
+    spark.createDataFrame([(*r, 9 - i) for i, r in enumerate(rows)], "utterance_id string, prediction string, status string, attempt int").write.parquet(str(tmp_path / "q.parquet"))
+    assert {r.prediction for r in speech.load_predictions(spark, str(tmp_path / "q.parquet")).collect()} == {"zzz", "first"}
+
+
+def test_a_csv_without_breaks_in_quotes_is_read_in_parts(spark, tmp_path):
+    lines = ["utterance_id,prediction,status", *(f'u{i % 500},"text ""{i}""",{"ok" if i < 3000 else "error"}' for i in range(4000))]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert speech.scan_predictions(spark, str(tmp_path / "p.csv")).rdd.getNumPartitions() > 3
+        found = {r.utterance_id: r.prediction for r in speech.load_predictions(spark, str(tmp_path / "p.csv")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {f"u{i}": f'text "{2500 + i}"' for i in range(500)}
+
+
+def test_best_attempts_by_a_number_alone(spark):
+    rows = spark.createDataFrame([("u1", "p", "error", 1), ("u1", "p", "OK", 2), ("u1", "p", None, 3), ("u1", "q", None, 4), (None, "q", "ok", 5)], "utterance_id string, provider string, status string, row_id long")
+    best = speech.best_attempts(rows, ["provider", "utterance_id"], "row_id", ["row_id"])
+    assert sorted(map(tuple, best.collect()), key=str) == [("p", "u1", 2), ("q", "u1", 4), ("q", None, 5)]
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+    wide = speech.best_attempts(rows, ["provider", "utterance_id"], "row_id").collect()
+    assert {r.status for r in wide} == {"OK", None, "ok"} and len(wide) == 3
+
+
+def test_supported_rows(spark, release, tmp_path):
+    assert [r.utterance_id for r in speech.supported_rows(release, " Deepgram").collect()] == ["u1"]
+    assert speech.supported_rows(release, "unheard").count() == speech.supported_rows(release, None).count() == 2
+    (tmp_path / "rules.json").write_text('{"x": {"exactly": [["en", "hi"]]}}')
+    assert [r.utterance_id for r in speech.supported_rows(release, "x", speech.load_unsupported(tmp_path / "rules.json")).collect()] == ["u2"]
+
+
 def test_best_attempts(spark):
     rows = spark.createDataFrame([("u1", "bad", "error", 1), ("u1", "good", "OK", 2), ("u1", "later", "timeout", 3), ("u2", "only", None, 4)], "utterance_id string, prediction string, status string, attempt int")
     assert {r.utterance_id: r.prediction for r in speech.best_attempts(rows).collect()} == {"u1": "good", "u2": "only"}

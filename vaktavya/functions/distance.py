@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vaktavya.functions.bind import let
+from vaktavya.functions.kernel import row_forms
 from vaktavya.functions.normalize import tokens
+from vaktavya.functions.plain import JOINERS, VIRAMAS
 
 #: Code points that stand for units: from here up none is a surrogate.
 _FIRST = 0xE000
-#: Signs that join Indic letters (combining class 9), and the zero-width joiners.
-VIRAMAS = "".join(c for c in map(chr, range(0x0900, 0x1100)) if unicodedata.combining(c) == 9)
-JOINERS = "‌‍"
 
 
 def _spelled(units: Column, vocabulary: Column) -> Column:
@@ -80,3 +77,13 @@ def mixed_units(text: Column) -> Column:
 def mixed_counts(reference: Column, hypothesis: Column) -> Column:
     """Counts of mixed units of two normal forms."""
     return _unit_counts(mixed_units(reference), mixed_units(hypothesis))
+
+
+def keyword_counts(keywords: Column, hypothesis: Column, reference: Column | None = None) -> Column:
+    """(rate, hits, scored) of raw texts: keywords that the hypothesis says, of those that the reference says, or of all without one.
+
+    The rate is one minus hits over scored keywords, null where none is scored.
+    """
+    hypothesis = F.coalesce(hypothesis, F.lit(""))
+    found = row_forms(keywords if reference is None else F.coalesce(reference, F.lit("")), hypothesis, keywords, reference is None)
+    return let(found, lambda n: F.struct((1 - F.try_divide(n["hits"].cast("double"), n["scored"].cast("double"))).alias("rate"), n["hits"].alias("hits"), n["scored"].alias("scored")))

@@ -1,80 +1,22 @@
-"""Keywords of an utterance and whether a text says them."""
+"""Cells of keywords. Whether a text says them is found in the visit that normalizes it (``kernel``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vaktavya.functions.bind import let
-from vaktavya.functions.normalize import tokens
-
 #: Fixed value: line breaks, and commas that don't stand between two digits, part keywords.
 SEPARATORS = r"\n+|(?<!\p{Nd}),|,(?!\p{Nd})"
 #: Characters that become a comma in NFKC but don't part keywords.
-_LATER_COMMAS = "，﹐︐"
+LATER_COMMAS = "，﹐︐"
+#: Cells without a keyword, ignoring case and outer blanks.
+NO_KEYWORDS = ("", "nan", "none")
 #: Letters of a keyword from which a suffix is allowed, and characters of a suffix in another script.
 STEM, SUFFIX = 3, 6
 
 
 def raw_items(keywords: Column) -> Column:
     """The items of a cell before normalization; none for null, blank, ``nan`` and ``none``."""
-    missing = keywords.isNull() | F.lower(F.regexp_replace(keywords, r"^\s+|\s+$", "")).isin("", "nan", "none")
-    parts = F.split(F.translate(keywords, _LATER_COMMAS, " " * len(_LATER_COMMAS)), SEPARATORS)
+    missing = keywords.isNull() | F.lower(F.regexp_replace(keywords, r"^\s+|\s+$", "")).isin(*NO_KEYWORDS)
+    parts = F.split(F.translate(keywords, LATER_COMMAS, " " * len(LATER_COMMAS)), SEPARATORS)
     return F.when(missing, F.array().cast("array<string>")).otherwise(parts)
-
-
-def keyword_forms(composed: Column, spoken: Column) -> Column:
-    """Per distinct keyword, its word rows: with numbers composed, and as spoken if that differs.
-
-    The two arrays hold the items' normal forms. Items alike after normalization count once, the first one stays.
-    """
-    both = F.zip_with(composed, spoken, lambda a, b: F.struct(a.alias("full"), b.alias("spoken")))
-    named = let(
-        F.filter(both, lambda b: b["full"] != ""),
-        lambda pairs: let(
-            F.transform(pairs, lambda b: b["full"]),
-            lambda full: F.filter(pairs, lambda b, i: F.array_position(full, b["full"]) == i + 1),
-        ),
-    )
-    return F.transform(named, lambda b: F.array_distinct(F.array(tokens(b["full"]), tokens(b["spoken"]))))
-
-
-def _ends_alike(keyword: Column, token: Column) -> Column:
-    """The last word: equal, or a stem of three letters with a plural ending, or with a short suffix in another script."""
-    rest = F.substring(token, F.length(keyword) + 1, F.length(token))
-    plain = rest.rlike(r"^[\x00-\x7F]*$")
-    suffix = F.when(plain, rest.isin("s", "es")).otherwise((F.length(rest) <= SUFFIX) & ~rest.rlike("[A-Za-z]"))
-    return (token == keyword) | ((F.length(keyword) >= STEM) & F.startswith(token, keyword) & suffix)
-
-
-def says(keyword: Column, text: Column) -> Column:
-    """Whether a row of words contains a keyword's words, the last one perhaps inflected."""
-    k, n = F.size(keyword), F.size(text)
-    places = F.when((k > 0) & (n >= k), F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-
-    def at(i: Column) -> Column:
-        alike = _ends_alike(F.element_at(keyword, -1), F.get(text, i + k - 2))
-        return alike & ((k == 1) | (F.slice(text, i, k - 1) == F.slice(keyword, 1, k - 1)))
-
-    return F.exists(places, at)
-
-
-def said(forms: Column, texts: Column) -> Column:
-    """Whether any form of a keyword stands in any form of a text."""
-    return F.exists(texts, lambda t: F.exists(forms, lambda k: says(k, t)))
-
-
-def text_forms(normal: Column, spoken: Column) -> Column:
-    """Word rows of a text with numbers composed and as spoken."""
-    return F.array_distinct(F.array(tokens(normal), tokens(spoken)))
-
-
-def keyword_counts(forms: Column, hypothesis: Column, reference: Column | None = None) -> Column:
-    """(hits, scored): keywords that the hypothesis says, of those that the reference says."""
-    def counted(s: Column) -> Column:
-        kept = s["k"] if reference is None else F.filter(s["k"], lambda k: said(k, s["r"]))
-        hits = let(kept, lambda x: F.struct(F.size(F.filter(x, lambda k: said(k, s["h"]))).cast("bigint").alias("hits"), F.size(x).cast("bigint").alias("scored")))
-        return hits
-
-    texts = [forms.alias("k"), hypothesis.alias("h"), *([] if reference is None else [reference.alias("r")])]
-    return let(F.struct(*texts), counted)

@@ -1,8 +1,8 @@
 """The text normalizer that every metric shares.
 
 Order matters: compatibility composition, characters, case, punctuation, blanks, ordinals, decimal
-point, cardinals, fillers and spellings. Only the first step leaves the JVM, in one Arrow stage for
-all texts of a row; everything else is made of built-in expressions.
+point, cardinals, fillers and spellings. The whole of it is one visit to Python (``kernel``); the steps that look at one
+character or one word are here as built-in expressions too.
 """
 
 from __future__ import annotations
@@ -14,24 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaktavya.functions.vocabulary import (
-    BEFORE_SECOND,
-    JOINER,
-    ORDINALS,
-    SCALES,
-    SPELLINGS,
-    SPOKEN_SYMBOLS,
-    TENS,
-    UNITS,
-    VANISH,
-    ZEROS,
-    words,
-)
-
-_UNITS, _TENS, _SCALES = words(UNITS), words(TENS), words(SCALES)
-_VALUES = {**_UNITS, **_TENS, **_SCALES}
-_DIGITS = r"^\p{Nd}+$"
-_NUMBER = "decimal(38,0)"
+from vaktavya.functions.kernel import normal_texts
+from vaktavya.functions.vocabulary import SPELLINGS, SPOKEN_SYMBOLS, VANISH, ZEROS
 
 
 @F.pandas_udf(T.StringType())
@@ -81,146 +65,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
-def cardinal_ordinals(toks: Column) -> Column:
-    """``27th`` to ``27``, ordinal words to cardinal ones, ``second`` to ``two`` unless a count stands before it."""
-    table = {ordinal: word for word, ordinal in ORDINALS.items()}
-    counts = (*_UNITS, *BEFORE_SECOND)
-
-    def one(t: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(toks, i - 1), F.lit(""))
-        time = _among(before, counts) | before.rlike(_DIGITS)
-        return (
-            F.when(t.rlike(r"^[0-9]+(st|nd|rd|th)$"), F.regexp_extract(t, r"^([0-9]+)", 1))
-            .when((t == "second") & ~time, F.lit("two"))
-            .otherwise(_lookup(t, table, t))
-        )
-
-    return F.transform(toks, one)
-
-
-def without_point(toks: Column) -> Column:
-    """Without ``point`` between two numeric words; neighbours are those of the original row of words."""
-    numeric = lambda t: F.coalesce(t.rlike(_DIGITS) | _among(t, _VALUES), F.lit(False))
-    return F.filter(toks, lambda t, i: ~((t == "point") & numeric(F.get(toks, i - 1)) & numeric(F.get(toks, i + 1))))
-
-
-def compose_cardinals(toks: Column, digits: bool = True) -> Column:
-    """Cardinal phrases as numbers, one digit a word, or whole if ``digits`` is false.
-
-    One pass with an open number: a scale always continues it, anything may follow a scale, a unit
-    may follow tens, and digits only follow a scale. Digits open a number only before a scale. The joiner
-    waits until the next word decides. A number beyond 38 digits leaves its words as they are.
-    """
-    kind = lambda t: (
-        F.when(t.rlike(_DIGITS), "D")
-        .when(_among(t, (w for w, v in _UNITS.items() if v <= 9)), "U")
-        .when(_among(t, (w for w, v in _UNITS.items() if v > 9)), "N")
-        .when(_among(t, _TENS), "X")
-        .when(_among(t, _SCALES), "S")
-        .when(t == JOINER, "A")
-        .otherwise("O")
-    )
-    values = _table(_VALUES)
-    zero = F.lit(0).cast(_NUMBER)
-    none = F.array().cast("array<string>")
-
-    def state(out: Column, total: Column, current: Column, prev: Column, ands: Column, raw: Column) -> Column:
-        return F.struct(
-            out.cast("array<string>").alias("out"), total.cast(_NUMBER).alias("total"), current.cast(_NUMBER).alias("current"),
-            prev.cast("string").alias("prev"), ands.cast("int").alias("ands"), raw.cast("array<string>").alias("raw"),
-        )
-
-    def joiners(s: Column) -> Column:
-        return F.array_repeat(F.lit(JOINER), s["ands"])
-
-    def closed(s: Column) -> Column:
-        number = (s["total"] + s["current"]).cast(_NUMBER).cast("string")
-        shown = F.regexp_extract_all(number, F.lit("."), F.lit(0)) if digits else F.array(number)
-        return F.when(s["prev"] == "", s["out"]).otherwise(F.concat(s["out"], F.coalesce(shown, s["raw"]), joiners(s)))
-
-    def added(total: Column, current: Column, value: Column, cls: Column) -> tuple[Column, Column]:
-        times = F.when(current == 0, F.lit(1).cast(_NUMBER)).otherwise(current)
-        product = F.try_multiply(times, value).cast(_NUMBER)
-        big = (cls == "S") & (value != 100)
-        return (
-            F.when(big, F.try_add(total, product)).otherwise(total),
-            F.when(big, zero).when(cls == "S", product).otherwise(F.try_add(current, value)),
-        )
-
-    def word(t: Column, i: Column) -> Column:
-        """A word with its class and value and whether a scale follows: looked up once, not at each use."""
-        digit_value = F.when(F.length(t) <= 30, t.try_cast(_NUMBER))
-        named = F.when(_among(t, _VALUES), F.element_at(values, t).cast(_NUMBER))
-        return F.struct(
-            t.alias("t"),
-            kind(t).alias("c"),
-            F.when(t.rlike(_DIGITS), digit_value).otherwise(named).alias("v"),
-            F.coalesce(_among(F.get(toks, i + 1), _SCALES), F.lit(False)).alias("scale_next"),
-        )
-
-    def step(s: Column, x: Column) -> Column:
-        t, cls, value = x["t"], x["c"], x["v"]
-        opened = s["prev"] != ""
-        follows = (
-            F.when(cls == "S", True)
-            .when(cls == "D", s["prev"] == "S")
-            .when(cls.isin("U", "N", "X"), (s["prev"] == "S") | ((s["prev"] == "X") & (cls == "U")))
-            .otherwise(False)
-        )
-        total, current = added(s["total"], s["current"], value, cls)
-        more = state(s["out"], total, current, cls, F.lit(0), F.concat(s["raw"], joiners(s), F.array(t)))
-        waits = state(s["out"], s["total"], s["current"], s["prev"], s["ands"] + 1, s["raw"])
-        first_total, first_current = added(zero, zero, value, cls)
-        starts = state(closed(s), first_total, first_current, cls, F.lit(0), F.array(t))
-        literal = F.regexp_extract_all(t, F.lit("."), F.lit(0)) if digits else F.array(t)
-        shown = F.when(cls == "D", literal).otherwise(F.array(t))
-        passed = state(F.concat(closed(s), shown), zero, zero, F.lit(""), F.lit(0), none)
-        begins = cls.isin("U", "N", "X", "S") | ((cls == "D") & x["scale_next"])
-        return F.when(opened & (cls == "A"), waits).when(opened & follows, more).when(begins, starts).otherwise(passed)
-
-    start = state(none, zero, zero, F.lit(""), F.lit(0), none)
-    numeric = F.exists(toks, lambda t: t.rlike(_DIGITS) | _among(t, _VALUES))
-    return F.when(numeric, F.aggregate(F.transform(toks, word), start, step, closed)).otherwise(toks)
-
-
 def settle_spellings(toks: Column) -> Column:
     """Fillers with a stretched sound in one form, then words with several spellings."""
-    table = {w: kept for kept, others in SPELLINGS.items() for w in others.split()}
-
     def one(t: Column) -> Column:
         sound = F.when(t.rlike("^h*m{2,}$"), "hmm").when(t.rlike("^a+h+$"), "ah").when(t.rlike("^h+a+$"), "ha").otherwise(t)
-        return _lookup(sound, table, sound)
+        return _lookup(sound, SPELLINGS, sound)
 
     return F.transform(toks, one)
 
 
-def normalize_all(texts: Column, numbers: bool = True, spellings: bool = True, whole_numbers: bool = False) -> Column:
-    """The normal form of each text of an array.
-
-    Each step is a transform of its own, whose variable binds the result of the step before: a step
-    that looks at its words many times doesn't repeat what made them.
-    """
-    out = F.transform(texts, lambda x: tokens(fold(x)))
-    if numbers:
-        out = F.transform(out, cardinal_ordinals)
-        out = F.transform(out, without_point)
-        out = F.transform(out, lambda x: compose_cardinals(x, digits=not whole_numbers))
-    if spellings:
-        out = F.transform(out, settle_spellings)
-    return F.transform(out, lambda x: F.array_join(x, " "))
-
-
 def normalize(text: Column, numbers: bool = True, spellings: bool = True, whole_numbers: bool = False) -> Column:
-    """The normal form of a text in NFKC. Null becomes empty.
+    """The normal form of a text. Null becomes empty.
 
     ``numbers``: compose ordinals, decimals and cardinals, one digit a word, or whole ones with
     ``whole_numbers``. ``spellings``: settle fillers and spellings.
     """
-    return F.get(normalize_all(F.array(text), numbers, spellings, whole_numbers), F.lit(0))
+    return normal_texts(text, numbers=numbers, spellings=spellings, whole_numbers=whole_numbers)["n0"]
 
 
 def with_normal_forms(df: DataFrame, columns: dict[str, str], **options: bool) -> DataFrame:
-    """``df`` with the normal form of each column of ``columns`` under the name given."""
-    out = df.withColumn("_nfkc", F.array(*(nfkc(F.col(old)) for old in columns)))
-    out = out.withColumn("_forms", normalize_all(F.col("_nfkc"), **options))
-    return out.withColumns({new: F.get("_forms", F.lit(i)) for i, new in enumerate(columns.values())}).drop("_nfkc", "_forms")
+    """``df`` with the normal form of each column of ``columns`` under the name given; one visit to Python for all."""
+    out = df.withColumn("_forms", normal_texts(*(F.col(old) for old in columns), **options))
+    return out.withColumns({new: F.col(f"_forms.n{i}") for i, new in enumerate(columns.values())}).drop("_forms")

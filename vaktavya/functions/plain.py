@@ -9,18 +9,33 @@ from vaktavya.functions.vocabulary import BEFORE_SECOND, JOINER, ORDINALS, SCALE
 
 _UNITS, _TENS, _SCALES = words(UNITS), words(TENS), words(SCALES)
 _VALUES = {**_UNITS, **_TENS, **_SCALES}
-_CHARS = {ord(c): None for c in VANISH} | {z + d: str(d) for z in ZEROS for d in range(10)}
-_CARDINAL = {o: w for w, o in ORDINALS.items()}
-_KEPT = {w: kept for kept, others in SPELLINGS.items() for w in others.split()}
 _COUNTS = {*_UNITS, *BEFORE_SECOND}
+#: Words without which, and without digits, the number rules change nothing.
+_NUMERIC = frozenset({*_VALUES, *ORDINALS, "second"})
 _SOUNDS = ((re.compile(r"h*m{2,}"), "hmm"), (re.compile(r"a+h+"), "ah"), (re.compile(r"h+a+"), "ha"))
+_ORDINAL = re.compile(r"([0-9]+)(?:st|nd|rd|th)")
+_DIGIT = re.compile(r"\d")
 
 
-def _sign(c: str) -> str:
-    if c in SPOKEN_SYMBOLS:
-        return f" {SPOKEN_SYMBOLS[c]} "
-    kind = unicodedata.category(c)
-    return " " if kind[0] in "PZ" else f" {c} " if kind == "Sc" else c
+class _Folded(dict):
+    """What a character becomes, found out when it is first met."""
+
+    def __missing__(self, point: int) -> str | None:
+        c = chr(point)
+        if c in VANISH:
+            found = None
+        elif c in SPOKEN_SYMBOLS:
+            found = f" {SPOKEN_SYMBOLS[c]} "
+        elif zero := next((z for z in ZEROS if z <= point < z + 10), None):
+            found = str(point - zero)
+        else:
+            kind = unicodedata.category(c)
+            found = " " if kind[0] in "PZ" else f" {c} " if kind == "Sc" else c
+        self[point] = found
+        return found
+
+
+_FOLDED = _Folded()
 
 
 def _numeral(t: str) -> bool:
@@ -86,26 +101,64 @@ def compose(toks: list[str], digits: bool = True) -> list[str]:
     return out
 
 
+def folded_words(text: str | None) -> list[str]:
+    """The words of a text with characters, case, punctuation and blanks folded."""
+    if not text:
+        return []
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().translate(_FOLDED).split()
+
+
+def numbers_composed(toks: list[str], digits: bool = True) -> list[str]:
+    """Ordinals as cardinals, no spoken points, cardinal phrases digit by digit or whole; the same list where there is no number."""
+    if _NUMERIC.isdisjoint(toks) and not _DIGIT.search(" ".join(toks)):
+        return toks
+    before = ["", *toks]
+    toks = [
+        m[1] if (m := _ORDINAL.fullmatch(t)) else "two" if t == "second" and not (before[i] in _COUNTS or before[i].isdigit()) else ORDINALS.get(t, t)
+        for i, t in enumerate(toks)
+    ]
+    toks = [t for i, t in enumerate(toks) if not (t == "point" and 0 < i < len(toks) - 1 and _numeral(toks[i - 1]) and _numeral(toks[i + 1]))]
+    return compose(toks, digits)
+
+
+def _settled_word(t: str) -> str:
+    sound = t
+    if t[0] in "hma":
+        sound = next((kept for p, kept in _SOUNDS if p.fullmatch(t)), t)
+    return SPELLINGS.get(sound, sound)
+
+
+def spellings_settled(toks: list[str]) -> list[str]:
+    """Fillers and spellings of one word in one form."""
+    return " ".join(map(_settled_word, toks)).split()
+
+
 def plain_normalize(text: str | None, numbers: bool = True, spellings: bool = True) -> str:
     """The normal form of one text; null is empty."""
-    folded = unicodedata.normalize("NFKC", text or "").translate(_CHARS).lower()
-    toks = "".join(map(_sign, folded)).split()
+    toks = folded_words(text)
     if numbers:
-        before = ["", *toks]
-        toks = [
-            m[1] if (m := re.fullmatch(r"([0-9]+)(?:st|nd|rd|th)", t))
-            else "two" if t == "second" and not (before[i] in _COUNTS or before[i].isdigit())
-            else _CARDINAL.get(t, t)
-            for i, t in enumerate(toks)
-        ]
-        toks = [t for i, t in enumerate(toks) if not (t == "point" and 0 < i < len(toks) - 1 and _numeral(toks[i - 1]) and _numeral(toks[i + 1]))]
-        toks = compose(toks)
+        toks = numbers_composed(toks)
     if spellings:
-        toks = [next((kept for p, kept in _SOUNDS if p.fullmatch(t)), t) for t in toks]
-        toks = [_KEPT.get(t, t) for t in toks]
+        toks = spellings_settled(toks)
     return " ".join(toks)
 
 
+#: Signs that join Indic letters (combining class 9), and the zero-width joiners.
+VIRAMAS = "".join(c for c in map(chr, range(0x0900, 0x1100)) if unicodedata.combining(c) == 9)
+JOINERS = "\u200c\u200d"
+
+
+def syllables(token: str) -> list[str]:
+    """Written syllables of a word: a letter with its marks, and what follows a virama or joiner."""
+    out: list[str] = []
+    for c, before in zip(token, ["", *token], strict=False):
+        if out and (before in VIRAMAS or before in JOINERS or c in JOINERS or unicodedata.category(c)[0] == "M"):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
 def edits(a: list[str], b: list[str]) -> int:
     """Levenshtein distance of two rows of words."""
     row = list(range(len(b) + 1))

@@ -6,16 +6,16 @@ empty hypothesis is a full deletion and is never dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaktavya.functions.bind import let
-from vaktavya.functions.distance import char_counts, mixed_counts, word_counts
-from vaktavya.functions.keywords import keyword_counts, keyword_forms, raw_items, text_forms
-from vaktavya.functions.normalize import nfkc, normalize_all, tokens, with_normal_forms
+from vaktavya.functions.kernel import row_forms
+from vaktavya.functions.keywords import raw_items
+from vaktavya.functions.normalize import with_normal_forms
 from vaktavya.sources.speech import need
 
 COUNTS = ("w_edits", "w_units", "c_edits", "c_units", "m_edits", "m_units", "kw_hits", "kw_total", "empty_hyp")
@@ -23,51 +23,26 @@ COUNTS = ("w_edits", "w_units", "c_edits", "c_units", "m_edits", "m_units", "kw_
 METRICS = {"wer": ("w_edits", "w_units"), "cer": ("c_edits", "c_units"), "mer": ("m_edits", "m_units"), "kwer": ("kw_hits", "kw_total")}
 #: Defaults of the intervals.
 SEED, RESAMPLES, ALPHA = 20260916, 1000, 0.05
+#: Calls up to which resamples are drawn on the driver.
+DRAWN_CALLS = 100_000
 
 
 def row_counts(df: DataFrame, keywords: bool = True) -> DataFrame:
     """``df`` (transcription, prediction, keywords) with the nine counts of each row.
 
-    Normal forms are computed once and shared by all metrics. Null texts count as empty ones; a
+    Texts visit Python once and come back as normal forms and as one character a unit; all metrics share them, and the built-in
+    distance counts edits. Null texts count as empty ones; a
     reference that normalizes to nothing has no units and leaves the rates. ``empty_hyp`` counts predictions
     that are blank before normalization. Without ``keywords`` the keyword counts are 0.
     """
     need(df, "transcription", "prediction", *(["keywords"] if keywords else []))
-    kept = df.columns
-    composed = df.withColumns({"_t": F.array(nfkc(F.col("transcription")), nfkc(F.col("prediction"))), **({"_k": nfkc(F.col("keywords"))} if keywords else {})})
-    # reference, hypothesis and keywords go through one expression, for composed numbers and for spoken ones
-    texts = F.concat("_t", raw_items(F.col("_k"))) if keywords else F.col("_t")
-    forms = F.struct(normalize_all(texts).alias("n"), *([normalize_all(texts, numbers=False).alias("s")] if keywords else []))
-
-    def parts(x: Column) -> Column:
-        r, h = F.get(x["n"], F.lit(0)), F.get(x["n"], F.lit(1))
-        if not keywords:
-            return F.struct(r.alias("r"), h.alias("h"))
-        rest = lambda a: F.slice(a, 3, F.greatest(F.size(a) - 2, F.lit(0)))
-        return F.struct(
-            r.alias("r"),
-            h.alias("h"),
-            text_forms(r, F.get(x["s"], F.lit(0))).alias("rf"),
-            text_forms(h, F.get(x["s"], F.lit(1))).alias("hf"),
-            keyword_forms(rest(x["n"]), rest(x["s"])).alias("k"),
-        )
-
-    def counted(s: Column) -> Column:
-        found = [word_counts(s["r"], s["h"]).alias("w"), char_counts(s["r"], s["h"]).alias("c"), mixed_counts(s["r"], s["h"]).alias("m")]
-        if keywords:
-            found.append(keyword_counts(s["k"], s["hf"], s["rf"]).alias("k"))
-        return F.struct(*found)
-
-    staged = composed.withColumn("_n", let(let(forms, parts), counted))
+    staged = df.withColumn("_n", row_forms(F.col("transcription"), F.col("prediction"), F.col("keywords") if keywords else None))
+    edits = lambda r, h: F.when(F.length(f"_n.{r}") == 0, 0).otherwise(F.levenshtein(f"_n.{r}", f"_n.{h}")).cast("bigint")
     blank = F.coalesce(F.col("prediction").rlike(r"^[\s\p{Z}]*$"), F.lit(True))
-    none = F.lit(0).cast("bigint")
-    return staged.select(
-        *kept,
-        *(F.col(f"_n.{m}.{part}").alias(f"{m}_{part}") for m in "wcm" for part in ("edits", "units")),
-        (F.col("_n.k.hits") if keywords else none).alias("kw_hits"),
-        (F.col("_n.k.scored") if keywords else none).alias("kw_total"),
-        blank.cast("bigint").alias("empty_hyp"),
-    )
+    found = []
+    for metric, (r, h) in {"w": ("rw", "hw"), "c": ("r", "h"), "m": ("rm", "hm")}.items():
+        found += [edits(r, h).alias(f"{metric}_edits"), F.length(f"_n.{r}").cast("bigint").alias(f"{metric}_units")]
+    return staged.select(*df.columns, *found, F.col("_n.hits").alias("kw_hits"), F.col("_n.scored").alias("kw_total"), blank.cast("bigint").alias("empty_hyp"))
 
 
 def rate(metric: str) -> Column:
@@ -127,33 +102,43 @@ def call_totals(counts: DataFrame) -> DataFrame:
     return counts.where("call_id IS NOT NULL").groupBy("call_id").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def draws(spark, n: int, resamples: int, seed: int) -> DataFrame:
-    """(boot_id, place, times): how often each of n calls stands in each resample.
+def poisson_weights(call_hashes: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Weights (calls, resamples): how often a call stands in a resample, by a hash of both.
+
+    The hash mixes 32 bits by shifts and products; where it falls among the cumulated probabilities of a Poisson
+    variable of mean 1 is the weight.
+    """
+    mask = np.uint64(0xFFFFFFFF)
+    boots = (np.arange(n_boot, dtype=np.uint64) * np.uint64(0x9E3779B9) + np.uint64(seed)) & mask
+    h = call_hashes.astype(np.uint64)[:, None] ^ boots[None, :]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & mask
+    return np.searchsorted(POISSON_BOUNDS, h, side="right").astype(np.int64)
+
+
+#: Cumulated probabilities of a Poisson variable of mean 1, times 2^32; a weight beyond 12 is less likely than the hash can tell.
+POISSON_BOUNDS = np.array([int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)], dtype=np.uint64)
+
 
-    A resample draws n calls with replacement. Each boot_id seeds a generator of its own on the executors, so the
-    draws don't depend on partitions and nothing of size n x resamples passes through the driver.
+def weighted_sums(totals: DataFrame, columns: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """(boot_id, columns): the sums of each resample, each call weighed by ``poisson_weights``.
+
+    A task adds up its calls for all resamples at once and sends ``n_boot`` rows, however many calls it has.
     """
     import pandas as pd
 
+    hashed = totals.select(F.conv(F.substring(F.sha1(F.col("call_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint").alias("_h"), *columns)
+
     def run(batches):
+        sums = np.zeros((n_boot, len(columns)), np.int64)
         for pdf in batches:
-            for boot in pdf["id"]:
-                place, times = np.unique(np.random.default_rng([seed, int(boot)]).integers(0, n, n), return_counts=True)
-                yield pd.DataFrame({"boot_id": boot, "place": place, "times": times})
-
-    return spark.range(resamples).mapInPandas(run, "boot_id bigint, place bigint, times bigint")
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at : at + 2048]
+                sums += poisson_weights(part["_h"].to_numpy(), n_boot, seed).T @ part[list(columns)].to_numpy(np.int64)
+        yield pd.DataFrame({"boot_id": np.arange(n_boot), **{c: sums[:, i] for i, c in enumerate(columns)}})
 
-
-def _numbered(totals: DataFrame) -> tuple[DataFrame, int]:
-    """Calls in order of their id, numbered from 0, without gathering them in one task."""
-    spread_out = totals.repartitionByRange("call_id").sortWithinPartitions("call_id").withColumn("_p", F.spark_partition_id())
-    spread_out = spread_out.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).persist()
-    sizes = {r["_p"]: r["count"] for r in spread_out.groupBy("_p").count().collect()}
-    before, offset = 0, F.lit(0).cast("bigint")
-    for p in sorted(sizes):
-        offset = F.when(F.col("_p") == p, F.lit(before)).otherwise(offset)
-        before += sizes[p]
-    return spread_out.withColumn("place", F.col("_i") + offset).drop("_p", "_i"), before
+    parts = hashed.mapInPandas(run, ", ".join(["boot_id bigint", *(f"{c} bigint" for c in columns)]))
+    return parts.groupBy("boot_id").agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def _percentiles(values: DataFrame, alpha: float) -> DataFrame:
@@ -161,45 +146,74 @@ def _percentiles(values: DataFrame, alpha: float) -> DataFrame:
     return values.agg(both.alias("_p")).select(F.get("_p", F.lit(0)).alias("low"), F.get("_p", F.lit(1)).alias("high"))
 
 
-def bootstrap_ci(counts: DataFrame, metric: str = "wer", n_boot: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
+def _few(totals: DataFrame, columns: Sequence[str], calls: int) -> np.ndarray | None:
+    """The sums of each call, in order of its id, if there are at most ``calls``."""
+    rows = totals.select("call_id", *columns).limit(calls + 1).collect()
+    return None if len(rows) > calls else np.array([r[1:] for r in sorted(rows, key=lambda r: str(r[0]))], np.int64).reshape(-1, len(columns))
+
+
+def _resampled(sums: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Sums (resamples, columns): every resample draws as many calls as there are, with replacement, from one seeded generator."""
+    draw = np.random.default_rng(seed)
+    return np.array([sums[draw.integers(0, len(sums), len(sums))].sum(0) for _ in range(n_boot)])
+
+
+def _limits(values: np.ndarray, alpha: float) -> tuple[float | None, float | None]:
+    known = values[np.isfinite(values)]
+    return tuple(np.percentile(known, [100 * alpha / 2, 100 - 100 * alpha / 2]).tolist()) if len(known) else (None, None)
+
+
+def bootstrap_ci(
+    counts: DataFrame, metric: str = "wer", n_boot: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA, drawn_calls: int = DRAWN_CALLS
+) -> DataFrame:
     """(low, high): percentile interval of a corpus rate under resampling of whole calls; nulls if there is nothing to rate.
 
-    Calls are summed once; a resample then only weighs those sums. Resamples without units are skipped.
+    Calls are summed once. Sums of at most ``drawn_calls`` calls are resampled on the driver from one seeded generator, in order of
+    the calls' ids, so that an interval equals one that is published with its seed. More calls, or all with
+    ``drawn_calls`` 0, are weighed by Poisson variables where they are; the sum of weights then varies, which changes a rate's
+    interval by less than the draw of another seed does. Resamples without units are skipped.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; there are {', '.join(METRICS)}")
     edits, units = METRICS[metric]
-    totals, n = _numbered(call_totals(counts).select("call_id", F.col(edits).alias("e"), F.col(units).alias("u")))
-    if not n:
-        return _percentiles(counts.sparkSession.createDataFrame([], "value double"), alpha)
-    drawn = draws(counts.sparkSession, n, n_boot, seed).join(totals, "place")
-    ratio = F.try_divide(F.sum(F.col("e") * F.col("times")).cast("double"), F.sum(F.col("u") * F.col("times")).cast("double"))
-    return _percentiles(drawn.groupBy("boot_id").agg((1 - ratio if metric == "kwer" else ratio).alias("value")), alpha)
+    totals = call_totals(counts).select("call_id", F.col(edits).alias("e"), F.col(units).alias("u"))
+    few = _few(totals, ("e", "u"), drawn_calls) if drawn_calls else None
+    if few is not None:
+        with np.errstate(all="ignore"):
+            e, u = _resampled(few, n_boot, seed).T if len(few) else np.zeros((2, 1))
+            values = e / u
+        low, high = _limits(1 - values if metric == "kwer" else values, alpha)
+        return counts.sparkSession.createDataFrame([(low, high)], "low double, high double")
+    ratio = F.try_divide(F.col("e").cast("double"), F.col("u").cast("double"))
+    return _percentiles(weighted_sums(totals, ("e", "u"), n_boot, seed).select((1 - ratio if metric == "kwer" else ratio).alias("value")), alpha)
 
 
 def paired_delta_ci(
-    counts_a: DataFrame, counts_b: DataFrame, metric: str = "wer", n_boot: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA
-) -> DataFrame:
+    counts_a: DataFrame, counts_b: DataFrame, metric: str = "wer", n_boot: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA,
+    drawn_calls: int = DRAWN_CALLS,
+) -> DataFrame:
     """(delta, low, high): rate of B minus rate of A over the calls of both, and its interval on the same resamples for both.
 
-    Nulls where there is no common call or no unit.
+    Resamples are drawn or weighed as in ``bootstrap_ci``. Nulls where there is no common call or no unit.
     """
     if metric not in METRICS or metric == "kwer":
         raise ValueError(f"unknown metric {metric!r}; there are wer, cer, mer")
     edits, units = METRICS[metric]
+    columns = ("ea", "ua", "eb", "ub")
     side = lambda df, x: call_totals(df).select("call_id", F.col(edits).alias(f"e{x}"), F.col(units).alias(f"u{x}"))
-    totals, n = _numbered(side(counts_a, "a").join(side(counts_b, "b"), "call_id"))
-
-    def delta(weight: Column) -> Column:
-        part = lambda x: F.try_divide(F.sum(F.col(f"e{x}") * weight).cast("double"), F.sum(F.col(f"u{x}") * weight).cast("double"))
-        return part("b") - part("a")
-
-    observed = totals.agg(delta(F.lit(1)).alias("delta"))
-    if not n:
-        return observed.select("delta", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    resampled = draws(counts_a.sparkSession, n, n_boot, seed).join(totals, "place").groupBy("boot_id").agg(delta(F.col("times")).alias("value"))
-    interval = _percentiles(resampled, alpha)
-    return observed.select("delta", interval.select("low").scalar().alias("low"), interval.select("high").scalar().alias("high"))
+    totals = side(counts_a, "a").join(side(counts_b, "b"), "call_id")
+    few = _few(totals, columns, drawn_calls) if drawn_calls else None
+    if few is not None:
+        with np.errstate(all="ignore"):
+            both = np.vstack([few.sum(0), *(_resampled(few, n_boot, seed) if len(few) else ())]).T
+            delta, *values = both[2] / both[3] - both[0] / both[1]
+        row = (float(delta) if np.isfinite(delta) else None, *_limits(np.array(values), alpha))
+        return counts_a.sparkSession.createDataFrame([row], "delta double, low double, high double")
+    ratio = lambda x: F.try_divide(F.col(f"e{x}").cast("double"), F.col(f"u{x}").cast("double"))
+    observed = totals.agg(*(F.sum(c).alias(c) for c in columns)).select((ratio("b") - ratio("a")).alias("delta"))
+    interval = _percentiles(weighted_sums(totals, columns, n_boot, seed).select((ratio("b") - ratio("a")).alias("value")), alpha)
+    both = interval.select(F.struct("low", "high")).scalar()
+    return observed.select("delta", both.alias("_b")).select("delta", "_b.low", "_b.high")
 
 
 def corpus_facts(release: DataFrame, short: float = 2.0) -> DataFrame:
@@ -218,13 +232,3 @@ def normal_form_drift(release: DataFrame) -> DataFrame:
     """Utterances whose stored normal form isn't what the normalizer gives."""
     checked = with_normal_forms(release.select("utterance_id", "transcription", "transcription_normalized"), {"transcription": "expected"})
     return checked.where(F.col("transcription_normalized").isNotNull() & (F.col("transcription_normalized") != F.col("expected")))
-
-
-def mapped_vocabulary(df: DataFrame, text: str, *by: str) -> DataFrame:
-    """Words of a normal form with the number of their occurrences."""
-    return df.select(*by, F.explode(tokens(F.col(text))).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def by_columns(columns: Sequence[str]) -> list[str]:
-    """Breakdown columns without repeats, in order."""
-    return list(dict.fromkeys(columns))

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
             # scoring costs far more per byte than a shuffle: don't merge small partitions into one task
             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.sql.session.timeZone": "UTC",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("VAKTAVYA_DRIVER_MEMORY", "8g"),
@@ -44,11 +45,16 @@ def ship(spark: SparkSession) -> None:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the session's checkpoint folder, which all executors share.
 
-    The folder is that of spark.checkpoint.dir; only where none is set, as in tests, a temporary one is.
+    The folder is that of spark.checkpoint.dir. Only a local session, as in tests, gets a temporary one where none is set; on
+    a cluster that would be a folder of one host, so a missing setting raises. The session's cleaner removes the files
+    with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaktavya"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vaktavya"))
     return df.checkpoint()
 
 

@@ -5,21 +5,25 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaktavya.functions.distance import word_counts
+from vaktavya.functions.distance import keyword_counts, mixed_counts, word_counts
 from vaktavya.functions.ids import plain_id
-from vaktavya.functions.normalize import fold, nfkc, normalize, with_normal_forms
+from vaktavya.functions.normalize import fold, nfkc, normalize, settle_spellings, tokens, with_normal_forms
 from vaktavya.inference import recognisers, routing
 from vaktavya.operators import scoring
 from vaktavya.operators.packed import unpack
+from vaktavya.plans.session import spread
 from vaktavya.semantic import judge, pipeline
 from vaktavya.sources import speech
 from vaktavya.sources.records import damaged_records, sound_records
 from vaktavya.sources.tables import table
+from vaktavya.sql import SQL
 from vaktavya.streaming import live
 
+__all__ = ["QUERIES", "SQL"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -46,7 +50,7 @@ def p7_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def release_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The release, rows that are repeated whole once."""
-    return table(spark, folder, "release", *speech.RELEASE.fieldNames()).distinct()
+    return speech.load_release(spark, f"{folder.rstrip('/')}/release.parquet").distinct()
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,13 +61,12 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 def system(spark: SparkSession, folder: str, provider: str) -> DataFrame:
     """Best attempts of one recogniser."""
-    return speech.best_attempts(attempts(spark, folder).where(F.col("provider") == provider)).select("utterance_id", "prediction")
+    return speech.best_attempts(attempts(spark, folder).where(F.col("provider") == provider), columns=["prediction"])
 
 
 def systems(spark: SparkSession, folder: str) -> DataFrame:
     """Best attempt of every recogniser for each released utterance that it has one for."""
-    keyed = attempts(spark, folder).withColumn("_key", F.concat_ws("\x1f", "provider", "utterance_id"))
-    best = speech.best_attempts(keyed, "_key").select("provider", "utterance_id", "prediction")
+    best = speech.best_attempts(attempts(spark, folder), ["provider", "utterance_id"], columns=["prediction"])
     wanted = release_rows(spark, folder).select("utterance_id", "call_id", "language", "domain", "transcription", "keywords")
     return best.join(wanted, "utterance_id").withColumn("prediction", F.coalesce("prediction", F.lit("")))
 
@@ -75,8 +78,7 @@ def scan_project(spark: SparkSession, folder: str) -> DataFrame:
 
 def dedupe_last_success(spark: SparkSession, folder: str) -> DataFrame:
     """Row of the best attempt of each utterance and recogniser: the last successful one, or else the last."""
-    keyed = attempts(spark, folder).withColumn("_key", F.concat_ws("\x1f", "provider", "utterance_id"))
-    return speech.best_attempts(keyed, "_key").select("provider", "utterance_id", "row_id")
+    return speech.best_attempts(attempts(spark, folder), ["provider", "utterance_id"], "row_id", ["row_id"])
 
 
 def repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +110,7 @@ def without_languages(spark: SparkSession, folder: str) -> DataFrame:
 def first_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred longest utterances: a top-k report."""
     rows = release_rows(spark, folder).select("utterance_id", F.coalesce("duration_sec", F.lit(-1.0)).alias("seconds"))
-    return rows.orderBy(F.col("seconds").desc(), "utterance_id").limit(100)
+    return speech.first_rows(rows, 100, F.col("seconds").desc(), "utterance_id")
 
 
 def batch_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,46 +128,60 @@ def folded_texts(spark: SparkSession, folder: str) -> DataFrame:
 def settled_spellings(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions, folded, with fillers and spellings settled."""
     rows = table(spark, folder, "predictions").select("row_id", nfkc(F.col("prediction")).alias("t"))
-    return rows.select("row_id", normalize(F.col("t"), numbers=False).alias("settled"))
-
-
-def _spelled_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes and quantities below a thousand, and the words that say them."""
-    numbers = table(spark, folder, "lineitem").select(F.pmod(F.col("l_orderkey") * 31 + F.col("l_partkey"), F.lit(1000)).cast("int").alias("n")).distinct()
-    small = F.array(*(F.lit(w) for w in "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()))
-    tens = F.array(*(F.lit(w) for w in "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()))
-    hundreds, rest = F.floor(F.col("n") / 100).cast("int"), F.pmod("n", F.lit(100)).cast("int")
-    two = F.when(rest < 20, F.get(small, rest)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(rest / 10).cast("int")), F.when(rest % 10 > 0, F.get(small, rest % 10))))
-    said = F.when(hundreds == 0, two).when(rest == 0, F.concat(F.get(small, hundreds), F.lit(" hundred"))).otherwise(F.concat_ws(" ", F.get(small, hundreds), F.lit("hundred and"), two))
-    return numbers.select("n", said.alias("said"))
+    return rows.select("row_id", F.array_join(settle_spellings(tokens(fold(F.col("t")))), " ").alias("settled"))
+
+
+def _said(number: Column) -> Column:
+    """English words of a number below a thousand."""
+    small = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
+    below = lambda n: small[n] if n < 20 else tens[n // 10] + (f" {small[n % 10]}" if n % 10 else "")
+    named = [below(n) if n < 100 else f"{small[n // 100]} hundred" + (f" and {below(n % 100)}" if n % 100 else "") for n in range(1000)]
+    return F.get(F.lit(named), number.cast("int"))
+
+
+def _said_whole(number: Column, scales: dict[int, str]) -> Column:
+    """Words of a number by scales, the largest first."""
+    parts, rest = [], number
+    for size, name in scales.items():
+        parts.append(F.when(F.floor(rest / size) > 0, F.concat(_said(F.floor(rest / size)), F.lit(f" {name}"))))
+        rest = F.pmod(rest, F.lit(size))
+    return F.concat_ws(" ", *parts, F.when((rest > 0) | (number == 0), _said(rest)))
+
+
+def spoken_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line item said in words, English, Indian and with ordinals, decimals and two Indian languages, and normalized."""
+    rows = spread(table(spark, folder, "lineitem"))
+    key, price, hundredths = F.col("l_orderkey"), F.floor("l_extendedprice"), F.round(F.col("l_discount") * 100).cast("int")
+    ordinals = F.lit(["zeroth", "first", "second", "third", "fourth", "fifth", "sixth", "seventh"])
+    ordinal = F.when(key % 2 == 0, F.get(ordinals, F.col("l_linenumber"))).otherwise(
+        F.concat("l_linenumber", F.when(F.col("l_linenumber") == 1, "st").when(F.col("l_linenumber") == 2, "nd").when(F.col("l_linenumber") == 3, "rd").otherwise("th"))
+    )
+    units = {"hi": "शून्य एक दो तीन चार पांच छह सात आठ नौ दस ग्यारह बारह तेरह चौदह पंद्रह सोलह सत्रह अठारह उन्नीस", "mr": "शून्य एक दोन तीन चार पाच सहा सात आठ नऊ दहा अकरा बारा तेरा चौदा पंधरा सोळा सतरा अठरा एकोणीस"}
+    tens = {"hi": "- - बीस तीस चालीस पचास", "mr": "- - वीस तीस चाळीस पन्नास"}
 
+    def pieces(language: str) -> Column:
+        u, t = units[language].split(), tens[language].split()
+        return F.get(F.lit([u[n] if n < 20 else t[n // 10] + (f" {u[n % 10]}" if n % 10 else "") for n in range(60)]), F.col("l_quantity").cast("int"))
 
-def number_words_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers that were spelled out come back digit by digit."""
-    rows = _spelled_numbers(spark, folder)
-    return rows.select("n", normalize(F.concat(F.col("said"), F.lit(" thousand rupees"))).alias("digits"))
+    said = F.concat_ws(
+        " ", _said_whole(key, {1_000_000: "million", 1000: "thousand"}), F.lit("line"), ordinal, F.lit("part"), _said_whole(F.col("l_partkey"), {1000: "thousand"}),
+        F.lit("Rs."), _said_whole(price, {10_000_000: "crore", 100_000: "lakh", 1000: "thousand"}), F.lit("less zero point"),
+        _said(F.floor(hundredths / 10)), _said(F.pmod(hundredths, F.lit(10))), F.lit("%"), F.when(key % 3 == 0, pieces("mr")).otherwise(pieces("hi")), F.lit("नग"),
+    )
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", normalize(said).alias("form"))
 
 
 def number_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every transcription and prediction with its numbers composed; spellings stay."""
     release = table(spark, folder, "release").select(F.lit("release").alias("source_table"), F.col("utterance_id").alias("record_id"), F.col("transcription").alias("t"))
     predictions = table(spark, folder, "predictions").select(F.lit("predictions").alias("source_table"), F.col("row_id").cast("string").alias("record_id"), F.col("prediction").alias("t"))
-    rows = release.unionAll(predictions).withColumn("t", nfkc(F.col("t")))
-    return rows.select("source_table", "record_id", normalize(F.col("t"), spellings=False).alias("form"))
+    return spread(release.unionAll(predictions)).select("source_table", "record_id", normalize(F.col("t"), spellings=False).alias("form"))
 
 
-def ordinals(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordinals with figures become cardinals."""
-    rows = table(spark, folder, "lineitem").select("l_linenumber").distinct()
-    ending = F.when(F.col("l_linenumber") == 1, "st").when(F.col("l_linenumber") == 2, "nd").when(F.col("l_linenumber") == 3, "rd").otherwise("th")
-    return rows.select("l_linenumber", normalize(F.concat(F.lit("the "), F.col("l_linenumber"), ending, F.lit(" item, second time"))).alias("cardinal"))
-
-
-def decimal_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Spoken points between numbers vanish, so that spoken and written decimals agree."""
-    rows = table(spark, folder, "lineitem").select(F.round("l_discount", 2).alias("d")).distinct()
-    spoken = F.concat(F.lit("zero point "), F.array_join(F.split(F.format_string("%02d", F.round(F.col("d") * 100).cast("int")), ""), " "))
-    return rows.select("d", normalize(F.trim(spoken)).alias("spoken"))
+def loaded_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The predictions file as a scoring run reads it: the last good attempt of each id as it is spelled, by place in the file."""
+    return speech.load_predictions(spark, f"{folder.rstrip('/')}/predictions.parquet")
 
 
 def plain_word_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,6 +245,25 @@ def paired_delta_ci(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.paired_delta_ci(a, b)
 
 
+def weighted_ci(spark: SparkSession, folder: str) -> DataFrame:
+    """Interval of one recogniser's word error rate over the utterances that it answered, by weights instead of draws."""
+    counts = counts_of_systems(spark, folder).where(F.col("provider") == "brooktalk")
+    interval = scoring.bootstrap_ci(counts, n_boot=200, drawn_calls=0)
+    return interval.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def mixed_unit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Edits of mixed units of every recogniser, by expressions over normal forms."""
+    rows = with_normal_forms(systems(spark, folder), {"transcription": "r", "prediction": "h"}).withColumn("c", mixed_counts(F.col("r"), F.col("h")))
+    return rows.select("provider", "utterance_id", "c.edits", "c.units")
+
+
+def keyword_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword hits and the miss rate of each row."""
+    found = keyword_counts(F.col("keywords"), F.col("prediction"), F.col("transcription"))
+    return systems(spark, folder).withColumn("k", found).select("provider", "utterance_id", "k.hits", "k.scored", "k.rate")
+
+
 def corpus_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of the release."""
     facts = scoring.corpus_facts(release_rows(spark, folder))
@@ -260,8 +295,9 @@ def latest_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def pending_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions without a judge's answer."""
-    answered = table(spark, folder, "judge_cache").where("response IS NOT NULL").select("row_id")
-    return table(spark, folder, "predictions", "row_id").join(answered, "row_id", "left_anti")
+    questions = table(spark, folder, "predictions", "row_id").withColumn("cache_key", F.col("row_id").cast("string"))
+    answers = judge.latest_answers(table(spark, folder, "judge_cache").where("response IS NOT NULL"), "row_id")
+    return judge.pending_questions(questions, answers.withColumn("cache_key", F.col("cache_key").cast("string"))).select("row_id")
 
 
 def semantic_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,9 +305,8 @@ def semantic_rows(spark: SparkSession, folder: str) -> DataFrame:
     release = release_rows(spark, folder).select("utterance_id", "language", "transcription")
     rows = attempts(spark, folder).select("row_id", "utterance_id", "prediction").join(release, "utterance_id")
     prepared = pipeline.prepare(rows, "row_id", "transcription", "prediction", "language")
-    cache = table(spark, folder, "judge_cache").where("row_id IS NOT NULL AND response IS NOT NULL")
     # this cache is keyed by prediction; a row's last answer counts
-    answers = cache.groupBy("row_id").agg(F.max_by("response", "cached_at").alias("response")).select(F.col("row_id").cast("string").alias("cache_key"), "response")
+    answers = judge.latest_answers(table(spark, folder, "judge_cache"), "row_id").where("response IS NOT NULL").withColumn("cache_key", F.col("cache_key").cast("string"))
     keyed = prepared.withColumn("cache_key", F.when(F.col("status").isNull(), F.col("row_key").cast("string")))
     return pipeline.judged(keyed, answers)
 
@@ -333,168 +368,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p4_found, p7_found, p7_reasons, p7_rows, scan_project, dedupe_last_success, repeated_ids, missing_predictions, align_left, tag_codes,
-        without_languages, first_rows, batch_sizes, folded_texts, settled_spellings, number_words_roundtrip, number_forms, ordinals, decimal_points,
+        without_languages, first_rows, batch_sizes, folded_texts, settled_spellings, spoken_numbers, number_forms, loaded_predictions,
         plain_word_counts, plain_wer_sets, row_counts, score_overall, score_by_provider, score_sets, call_totals, bootstrap_ci, paired_delta_ci,
+        weighted_ci, mixed_unit_counts, keyword_misses,
         corpus_facts, normal_form_drift, sampled_in, question_keys, latest_answers, pending_rows, semantic_rows, semantic_score, routes,
         status_counts, run_tallies, unfinished, transcribed, streamed_status_days,
     )
 }
-
-_TEXT = r"""("([^"]|"")*"|[^",\r\n]*)"""
-_SOUND = ",".join(
-    [
-        r"""("c[0-9]+_t[0-9]+"|c[0-9]+_t[0-9]+)""",
-        _TEXT,
-        r"""("([0-9]+(\.[0-9]+)?)?"|([0-9]+(\.[0-9]+)?)?)""",
-        r"""(?i:"(success|ok|error|timeout|rate_limited|missing_audio)"|(success|ok|error|timeout|rate_limited|missing_audio))""",
-        _TEXT,
-    ]
-)
-
-_RELEASE = "(SELECT DISTINCT * FROM release)"
-_CLEAN = r"regexp_replace(utterance_id, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g')"
-_IS_ID = rf"regexp_matches({_CLEAN}, '(?i)(^|[/\\])c[0-9]+[_ -]t[0-9]+([.][a-z0-9]+)?$')"
-
-
-def _pad(group: int, width: int) -> str:
-    digits = rf"regexp_replace(regexp_extract({_CLEAN}, '(?i)c([0-9]+)[_ -]t([0-9]+)([.][a-z0-9]+)?$', {group}), '^0+([0-9])', '\1')"
-    return f"lpad({digits}, CAST(greatest(length({digits}), {width}) AS INTEGER), '0')"
-
-
-_ID = f"CASE WHEN {_IS_ID} THEN 'c' || {_pad(1, 8)} || '_t' || {_pad(2, 4)} ELSE {_CLEAN} END"
-_ATTEMPTS = f"""(
-    SELECT row_id, provider, prediction, {_ID} AS utterance_id, trim(status) AS status,
-        coalesce(lower(trim(status)) IN ('success', 'ok'), false) AS good
-    FROM predictions
-)"""
-_BEST = f"""(
-    SELECT * FROM {_ATTEMPTS}
-    QUALIFY row_number() OVER (PARTITION BY coalesce(provider || chr(31), '') || coalesce(utterance_id, '') ORDER BY good DESC, row_id DESC) = 1
-)"""
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-
-
-def _folded(text: str) -> str:
-    """SQL of the folded text; of the compatibility forms, those that the tables hold."""
-    ascii_ = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
-    digits = "".join(chr(z + d) for z in (0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66) for d in range(10))
-    plain = f"nfc_normalize(replace(replace(translate(coalesce({text}, ''), '{_WIDE}', '{ascii_}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'))"
-    spoken = f"lower(translate({plain}, '{digits}''’ʼ´`' || chr(8204) || chr(8205), '{'0123456789' * 9}'))"
-    spoken = f"replace(replace(replace({spoken}, '%', ' percent '), '₹', ' rupees '), '$', ' dollars ')"
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace({spoken}, '[\p{{P}}\p{{Z}}]', ' ', 'g'), '(\p{{Sc}})', ' \1 ', 'g'), '[\s\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))"
-
-
-def _words(text: str) -> str:
-    return f"list_filter(string_split({_folded(text)}, ' '), lambda w: w <> '')"
-
-
-_DISTANCE = """list_reduce(r, lambda prev, t: list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(range(1, j + 1),
-    lambda k: j - k + CASE WHEN k = 1 THEN prev[1] + 1 ELSE least(prev[k] + 1, prev[k - 1] + CASE WHEN h[k - 1] = t THEN 0 ELSE 1 END) END))),
-    range(0, len(h) + 1))"""
-_COUNTED = f"""(
-    SELECT provider, utterance_id, language, domain,
-        CAST(CASE WHEN len(r) = 0 THEN 0 ELSE list_extract({_DISTANCE}, -1) END AS BIGINT) AS edits, CAST(len(r) AS BIGINT) AS units
-    FROM (
-        SELECT provider, utterance_id, language, domain, {_words('transcription')} AS r, {_words('prediction')} AS h
-        FROM {_BEST} JOIN {_RELEASE} USING (utterance_id)
-    )
-)"""
-_CODES = "list_sort(list_distinct(list_filter(string_split(translate(lower(trim(coalesce(language_tag, ''))), '_', '-'), '-'), lambda c: c <> '')))"
-_CODE = "lower(trim(coalesce(language, '')))"
-_SETTLED = r"""regexp_replace(regexp_replace(regexp_replace(w, '^h*m{2,}$', 'hmm'), '^a+h+$', 'ah'), '^h+a+$', 'ha')"""
-
-SQL: dict[str, str] = {
-    "p7_found": f"""
-        SELECT DISTINCT line_id FROM raw_predictions
-        WHERE raw_line IS NULL OR NOT regexp_full_match(raw_line, '{_SOUND}')
-    """,
-    "scan_project": f"SELECT utterance_id, call_id, transcription, keywords FROM {_RELEASE}",
-    "dedupe_last_success": f"SELECT provider, utterance_id, row_id FROM {_BEST}",
-    "repeated_ids": f"SELECT utterance_id, count(*) AS n_rows FROM {_ATTEMPTS} GROUP BY utterance_id HAVING count(*) > 1",
-    "missing_predictions": f"SELECT utterance_id FROM {_RELEASE} r WHERE NOT EXISTS (SELECT 1 FROM {_ATTEMPTS} a WHERE a.utterance_id = r.utterance_id)",
-    "align_left": f"""
-        SELECT r.utterance_id, transcription, coalesce(b.prediction, '') AS prediction
-        FROM {_RELEASE} r LEFT JOIN (SELECT * FROM {_BEST} WHERE provider = 'aldervox') b USING (utterance_id)
-    """,
-    "tag_codes": f"SELECT utterance_id, array_to_string({_CODES}, ',') AS codes FROM {_RELEASE}",
-    "without_languages": f"""
-        SELECT utterance_id FROM (
-            SELECT utterance_id, list_sort(list_distinct(CASE WHEN {_CODE} = '' THEN {_CODES} ELSE list_append({_CODES}, {_CODE}) END)) AS codes FROM {_RELEASE}
-        ) WHERE NOT list_contains(codes, 'ml') AND codes <> ['hi', 'mr']
-    """,
-    "first_rows": f"SELECT utterance_id, coalesce(duration_sec, -1.0) AS seconds FROM {_RELEASE} ORDER BY seconds DESC, utterance_id LIMIT 100",
-    "batch_sizes": f"""
-        SELECT lane, batch, count(*) AS n FROM (
-            SELECT concat_ws('/', language, domain) AS lane,
-                CAST((row_number() OVER (PARTITION BY concat_ws('/', language, domain) ORDER BY utterance_id) - 1) // 16 AS BIGINT) AS batch
-            FROM {_RELEASE}
-        ) GROUP BY lane, batch
-    """,
-    "folded_texts": f"SELECT utterance_id, {_folded('transcription')} AS folded FROM {_RELEASE}",
-    "settled_spellings": f"""
-        SELECT row_id, array_to_string(list_transform(list_transform({_words('prediction')}, lambda w: {_SETTLED}), lambda w: CASE
-            WHEN w IN ('okay', 'okey', 'okie', 'oke', 'okk', 'okok') THEN 'ok' WHEN w = 'maam' THEN 'mam' WHEN w = 'rs' THEN 'rupees'
-            WHEN w = 'oclock' THEN 'o clock' WHEN w = 'colour' THEN 'color' WHEN w = 'hm' THEN 'hmm' WHEN w = 'aa' THEN 'ah' WHEN w = 'haan' THEN 'han'
-            ELSE w END), ' ') AS settled
-        FROM predictions
-    """,
-    "number_words_roundtrip": """
-        SELECT n, array_to_string(regexp_extract_all(CAST(greatest(n, 1) * 1000 AS VARCHAR), '.'), ' ') || ' rupees' AS digits
-        FROM (SELECT DISTINCT CAST((l_orderkey * 31 + l_partkey) % 1000 AS INTEGER) AS n FROM lineitem)
-    """,
-    "ordinals": "SELECT DISTINCT l_linenumber, 'the ' || l_linenumber || ' item 2 time' AS cardinal FROM lineitem",
-    "decimal_points": """
-        SELECT DISTINCT round(l_discount, 2) AS d,
-            '0 ' || array_to_string(regexp_extract_all(lpad(CAST(CAST(round(round(l_discount, 2) * 100) AS INTEGER) AS VARCHAR), 2, '0'), '.'), ' ') AS spoken
-        FROM lineitem
-    """,
-    "plain_word_counts": f"SELECT provider, utterance_id, edits, units FROM {_COUNTED}",
-    "plain_wer_sets": f"""
-        SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(domain) = 0 THEN 'domain' END AS breakdown,
-            CASE WHEN grouping(provider) = 0 THEN provider WHEN grouping(language) = 0 THEN language WHEN grouping(domain) = 0 THEN domain END AS value,
-            count(*) AS utterances, CAST(sum(units) AS BIGINT) AS reference_words,
-            CASE WHEN sum(units) > 0 THEN CAST(sum(edits) AS DOUBLE) / CAST(sum(units) AS DOUBLE) END AS wer
-        FROM {_COUNTED} GROUP BY GROUPING SETS ((), (provider), (language), (domain))
-        HAVING breakdown IS NULL OR value IS NOT NULL
-    """,
-    "corpus_facts": f"""
-        SELECT count(*) AS utterances, round(sum(duration_sec) / 3600, 6) AS hours, count(DISTINCT call_id) AS calls,
-            round(avg(CAST(is_code_mixed AS INTEGER)), 9) AS mixed_share, round(avg(CAST(duration_sec < 2 AS INTEGER)), 9) AS short_share,
-            round(avg(CAST(keywords IS NOT NULL AND lower(regexp_replace(keywords, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'nan', 'none') AS INTEGER)), 9) AS keyword_share
-        FROM {_RELEASE}
-    """,
-    "sampled_in": "SELECT row_id FROM predictions WHERE CAST(('0x' || substr(sha1(CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967295 < 0.1",
-    "question_keys": "SELECT row_id, sha1(coalesce(utterance_id, '') || chr(31) || coalesce(prediction, '') || chr(31) || coalesce(provider, '')) AS cache_key FROM predictions",
-    "latest_answers": """
-        SELECT cache_key, CAST(coalesce(len(response.equivalences), -1) AS BIGINT) AS n_pairs FROM judge_cache WHERE cache_key IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY response IS NOT NULL DESC, cached_at DESC NULLS LAST) = 1
-    """,
-    "pending_rows": "SELECT row_id FROM predictions WHERE row_id NOT IN (SELECT row_id FROM judge_cache WHERE response IS NOT NULL AND row_id IS NOT NULL)",
-    "routes": f"""
-        SELECT utterance_id,
-            CASE WHEN {_CODE} IN ('hi', 'en', 'bn', 'ta', 'te', 'kn', 'mr', 'gu') AND NOT (coalesce(is_code_mixed, false) AND {_CODE} IN ('hi', 'en')) THEN {_CODE} ELSE 'multi' END AS one_or_many,
-            CASE WHEN {_CODE} IN ('hi', 'bn', 'ta', 'te', 'kn', 'ml', 'mr', 'gu', 'pa', 'od', 'en') THEN {_CODE} || '-IN' ELSE 'unknown' END AS regional,
-            CASE WHEN {_CODE} IN ('', 'other', 'unknown') THEN '-' ELSE {_CODE} END AS code,
-            CASE WHEN lower(trim(coalesce(language_tag, ''))) IN ('bn', 'en', 'gu', 'hi', 'kn', 'ml', 'mr', 'ta', 'te') THEN lower(trim(language_tag)) ELSE 'multi' END AS supported,
-            coalesce(nullif(array_to_string(list_filter(hints, lambda c, i: list_position(hints, c) = i), ','), ''), '-') AS hints,
-            CASE {_CODE} WHEN 'hi' THEN 'Hindi' WHEN 'bn' THEN 'Bengali' WHEN 'ta' THEN 'Tamil' WHEN 'te' THEN 'Telugu' WHEN 'kn' THEN 'Kannada' WHEN 'ml' THEN 'Malayalam'
-                WHEN 'mr' THEN 'Marathi' WHEN 'gu' THEN 'Gujarati' WHEN 'pa' THEN 'Punjabi' WHEN 'od' THEN 'Odia' WHEN 'or' THEN 'Odia' WHEN 'as' THEN 'Assamese' WHEN 'en' THEN 'English' ELSE '' END AS name
-        FROM (SELECT *, list_filter(list_append(string_split(translate(lower(trim(coalesce(language_tag, ''))), '_', '-'), '-'), {_CODE}),
-            lambda c: c IN ('bn', 'en', 'gu', 'hi', 'kn', 'ml', 'mr', 'ta', 'te')) AS hints FROM {_RELEASE})
-    """,
-    "status_counts": "SELECT coalesce(lower(trim(status)), '') AS status, count(*) AS n FROM predictions GROUP BY 1",
-    "run_tallies": f"""
-        SELECT count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed
-        FROM (SELECT utterance_id, bool_or(coalesce(lower(status) = 'success', false)) AS ok FROM {_ATTEMPTS} WHERE utterance_id <> '' GROUP BY utterance_id)
-    """,
-    "unfinished": f"SELECT utterance_id FROM {_RELEASE} WHERE utterance_id NOT IN (SELECT utterance_id FROM {_ATTEMPTS} WHERE lower(status) = 'success' AND utterance_id IS NOT NULL)",
-    "transcribed": f"""
-        SELECT utterance_id, CASE WHEN transcription IS NULL THEN '' ELSE coalesce(nullif(language, ''), 'und') || ' ' || substr(sha1(transcription), 1, 8) END AS prediction,
-            CASE WHEN transcription IS NULL THEN 'missing_audio' ELSE 'success' END AS status
-        FROM {_RELEASE}
-    """,
-    "streamed_status_days": """
-        SELECT strftime(written_at, '%Y-%m-%d') AS day, lower(trim(coalesce(status, ''))) AS status, count(*) AS n
-        FROM predictions WHERE written_at IS NOT NULL GROUP BY 1, 2
-    """,
-}

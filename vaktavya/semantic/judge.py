@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Version of the question: part of every key, so that answers to another question are never reused.
@@ -19,6 +21,26 @@ PROMPT = (
     "side lacks. List nothing that was misheard. Answer with equivalences of hypothesis_span, reference_span and type."
 )
 
+
+def question_text(reference: str, hypothesis: str, language: str) -> str:
+    """The question as a text, for judges that read one: the task, then the two transcripts as JSON."""
+    return f"{PROMPT}\n\n{json.dumps({'language': language, 'reference': reference, 'hypothesis': hypothesis}, ensure_ascii=False)}"
+
+
+def text_judge(complete: Callable[[str], str]) -> Judge:
+    """A judge from a function that answers a text with a JSON object; pairs without the three texts are left out.
+
+    An answer that isn't such an object raises, and so counts as a failure.
+    """
+
+    def judge(reference: str, hypothesis: str, language: str) -> list[dict[str, str]]:
+        pairs = json.loads(complete(question_text(reference, hypothesis, language)))["equivalences"]
+        names = ("hypothesis_span", "reference_span", "type")
+        return [{n: p[n] for n in names} for p in pairs if all(isinstance(p.get(n), str) for n in names)]
+
+    return judge
+
+
 #: A judge takes (reference, hypothesis, language) and returns pairs; it may raise.
 Judge = Callable[[str, str, str], list[dict[str, str]]]
 _JUDGES: dict[str, Judge] = {}
@@ -107,24 +129,33 @@ def pending_questions(questions: DataFrame, cache: DataFrame) -> DataFrame:
     return questions.dropDuplicates(["cache_key"]).join(cache.where("response IS NOT NULL").select("cache_key"), "cache_key", "left_anti")
 
 
-def answer_into(questions: DataFrame, cache_path: str, model: str, judge: Judge, parallel: int = 8, **retry: float) -> DataFrame:
-    """Ask what the table at ``cache_path`` lacks, append the answers there, and return the whole cache.
+def answer_into(questions: DataFrame, cache_path: str, model: str, judge: Judge | str | None, parallel: int = 8, **retry: float) -> tuple[DataFrame, int]:
+    """Ask what the table at ``cache_path`` lacks, append the answers there; the whole cache, and the number of questions that failed.
 
-    Answers are written before they are used, so a later failure doesn't ask again. Failures aren't kept.
+    ``judge`` is one, its name, or None to use what is there only. Answers are written before they are used, so a later failure
+    doesn't ask again. Failures are written beside them, without a response and with their text, and are asked again next time.
     """
     spark = questions.sparkSession
-    try:
-        known = latest_answers(spark.read.parquet(cache_path).where(F.col("model") == model))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        known = spark.createDataFrame([], f"cache_key string, response struct<equivalences: {PAIRS}>")
-    asked = ask(pending_questions(questions, known), judge, parallel, **retry)
-    fresh = asked.where("response IS NOT NULL").select("cache_key", F.lit(model).alias("model"), "response", F.current_timestamp().alias("cached_at"))
-    fresh.write.mode("append").parquet(cache_path)
-    return latest_answers(spark.read.parquet(cache_path).where(F.col("model") == model))
-
-
-def ranked_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_r = 1").drop("_r")
+    schema = f"cache_key string, model string, response struct<equivalences: {PAIRS}>, failure string, cached_at timestamp"
+    run = uuid.uuid4().hex
+
+    def known() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{cache_path}/run=*").where(F.col("model") == model)
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return spark.createDataFrame([], schema)
+
+    def answered() -> DataFrame:
+        return latest_answers(known().where("response IS NOT NULL"))
+
+    if judge is not None:
+        judge = get_judge(judge) if isinstance(judge, str) else judge
+        asked = ask(pending_questions(questions, answered()), judge, parallel, **retry)
+        fresh = asked.select("cache_key", F.lit(model).alias("model"), "response", "failure", F.current_timestamp().alias("cached_at"))
+        # a folder for each run: a run that is started again after a crash finds what was answered before
+        fresh.write.parquet(f"{cache_path}/run={run}")
+        failures = spark.read.schema(schema).parquet(f"{cache_path}/run={run}").where("response IS NULL").count()
+        return answered(), failures
+    return answered(), 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from vaktavya.functions.distance import char_counts, word_counts
 from vaktavya.functions.normalize import with_normal_forms
-from vaktavya.semantic.judge import QUESTION, identity, sampled_in
+from vaktavya.plans.settings import Settings, settings
+from vaktavya.semantic.judge import QUESTION, Judge, answer_into, identity, sampled_in
 from vaktavya.semantic.pairs import LEAST_LIKENESS, apply_pairs
 
 _RECORD = "struct<hypothesis_span: string, reference_span: string, type: string>"
@@ -44,11 +45,13 @@ def questions(prepared: DataFrame) -> DataFrame:
     return prepared.where("cache_key IS NOT NULL").select("cache_key", "reference", "hypothesis", "language").dropDuplicates(["cache_key"])
 
 
-def judged(prepared: DataFrame, answers: DataFrame, least: float = LEAST_LIKENESS, allow_unverified_numbers: bool = False) -> DataFrame:
+def judged(
+    prepared: DataFrame, answers: DataFrame, least: float = LEAST_LIKENESS, allow_unverified_numbers: bool = False, asked: bool = True
+) -> DataFrame:
     """One row for each prepared row with semantic edits, rates, status, and the pairs accepted and rejected.
 
-    Rows whose question has no answer have status ``unanswered`` and null semantic figures; so have rows that
-    were sampled out.
+    Rows whose question has no answer have null semantic figures and the status ``judge_error``, or ``no_judge`` if none was
+    ``asked``; rows that were sampled out have null figures too.
     An empty hypothesis has its lexical edits. Only the texts of rows with an answer visit Python.
     """
     known = answers.select("cache_key", F.col("response.equivalences").alias("pairs"), F.lit(True).alias("_answered"))
@@ -64,16 +67,16 @@ def judged(prepared: DataFrame, answers: DataFrame, least: float = LEAST_LIKENES
             yield pd.DataFrame([dict.fromkeys(names) if f is None else f for f in found], columns=list(names))
 
     @F.pandas_udf(f"hypothesis string, word_edits bigint, accepted array<{_RECORD}>, rejected array<{_REJECTED}>")
-    def applied(asked: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from run(asked)
+    def applied(sent: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(sent)
 
     # rows that no answer concerns pass nulls to Python, and nothing is computed twice for two branches
-    asked = F.col("_answered") & F.col("status").isNull()
-    sent = F.struct(F.when(asked, F.col("reference")).alias("r"), F.when(asked, F.col("hypothesis")).alias("h"), F.when(asked, F.col("pairs")).alias("p"))
-    done = rows.withColumns({"_a": applied.asNondeterministic()(sent), "_asked": F.coalesce(asked, F.lit(False))})
+    open_ = F.col("_answered") & F.col("status").isNull()
+    sent = F.struct(F.when(open_, F.col("reference")).alias("r"), F.when(open_, F.col("hypothesis")).alias("h"), F.when(open_, F.col("pairs")).alias("p"))
+    done = rows.withColumns({"_a": applied.asNondeterministic()(sent), "_asked": F.coalesce(open_, F.lit(False))})
     settled = F.col("status").isin("exact", "empty_hypothesis")
     accepted = F.coalesce("_a.accepted", F.array().cast(f"array<{_RECORD}>"))
-    status = F.when(~F.col("_asked"), F.coalesce("status", F.lit("unanswered"))).when(F.size(accepted) > 0, "success").otherwise("no_equivalences")
+    status = F.when(~F.col("_asked"), F.coalesce("status", F.lit("judge_error" if asked else "no_judge"))).when(F.size(accepted) > 0, "success").otherwise("no_equivalences")
     characters = F.least(F.levenshtein("reference", "_a.hypothesis").cast("bigint"), F.col("char_edits"))
     out = done.select(
         "row_key", "language", "word_edits", "words", "char_edits", "chars", status.alias("status"),
@@ -90,6 +93,30 @@ def judged(prepared: DataFrame, answers: DataFrame, least: float = LEAST_LIKENES
     )
 
 
+def evaluate(
+    df: DataFrame, key: str, reference: str, hypothesis: str, language: str, judge: Judge | str | None = "", model: str = "", options: Settings | None = None
+) -> tuple[DataFrame, int]:
+    """The whole pipeline: the rows of ``judged``, and the number of questions that the judge failed to answer.
+
+    Which judge (by default the one that the settings name; None asks nobody and uses what is cached), the share that is
+    judged, the tolerance of verification and the cache's folder come from the settings. The cache belongs to one model and
+    one version of the question.
+    """
+    options = options or settings()
+    judge = options.judge if judge == "" else judge
+    model = model or (judge if isinstance(judge, str) else options.judge)
+    prepared = prepare(df, key, reference, hypothesis, language, options.judged_share)
+    path = options.cache_path("equivalences", model, QUESTION)
+    answers, failures = answer_into(questions(prepared), path, model, judge, options.parallel, attempts=options.judge_attempts)
+    return judged(prepared, answers, options.least_likeness, options.allow_unverified_numbers, judge is not None), failures
+
+
+def audited(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``judged`` with the pairs accepted and rejected as JSON texts, empty where there are none."""
+    shown = {c: F.when(F.size(c) > 0, F.to_json(c)).otherwise("") for c in ("accepted", "rejected")}
+    return rows.withColumns(shown)
+
+
 def semantic_score(rows: DataFrame, *by: str) -> DataFrame:
     """Corpus rates: over answered rows only, and over all rows with the lexical edits where there is no answer; and the coverage."""
     answered = F.col("semantic_word_edits").isNotNull()

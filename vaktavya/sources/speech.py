@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,15 +50,18 @@ def need(df: DataFrame, *columns: str) -> None:
         raise MissingColumn(f"no column {', '.join(lost)}; there are {', '.join(df.columns)}")
 
 
-def load_release(spark: SparkSession, folder: str, config: str = "all", with_audio: bool = False) -> DataFrame:
-    """The shards ``<language>/test-*.parquet`` below ``folder``, of one language or all.
+def load_release(spark: SparkSession, folder: str, config: str = "all", with_audio: bool = False, revision: str | None = None) -> DataFrame:
+    """The shards ``<language>/test-*.parquet`` below ``folder``, of one language or all; a name that ends with .parquet is read as it is.
+
+    ``revision`` names a folder between: a release that is kept in several versions.
 
     Only the columns of RELEASE are read, and ``audio`` if asked for. An unknown config raises ValueError,
     a folder without shards FileNotFoundError.
     """
     if config != "all" and config not in LANGUAGES:
         raise ValueError(f"unknown config {config!r}; there are all, {', '.join(LANGUAGES)}")
-    pattern = f"{folder.rstrip('/')}/{'*' if config == 'all' else config}/test-*.parquet"
+    root = folder.rstrip("/") + (f"/{revision}" if revision else "")
+    pattern = root if root.endswith(".parquet") else f"{root}/{'*' if config == 'all' else config}/test-*.parquet"
     try:
         df = spark.read.parquet(pattern)
     except Exception as error:
@@ -65,15 +72,28 @@ def load_release(spark: SparkSession, folder: str, config: str = "all", with_aud
     return df.select(*RELEASE.fieldNames(), *(["audio"] if with_audio else []))
 
 
+def _breaks_inside_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line of a CSV file holds an odd number of quotes, so that a record goes on in the next line."""
+    lines = spark.read.text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return bool(lines.where(odd).limit(1).count())
+
+
 def scan_predictions(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A predictions file: parquet by suffix, else CSV with a header, all text unless ``schema`` is given.
 
-    Text such as ``nan`` or ``NA`` stays text. CSV rows carry ``attempt``, their order in the file.
+    Text such as ``nan`` or ``NA`` stays text. A file without a column ``attempt`` gets one: the place of each row
+    by file name and position in the file. Only a CSV with line breaks inside of quotes is read by one task a file.
     """
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False, schema=schema)
-    return df.withColumn("attempt", F.monotonically_increasing_id())
+        df = spark.read.parquet(path)
+        # the file's metadata isn't to be had after a projection, so it is taken here
+        return df if "attempt" in df.columns else df.withColumn("attempt", F.struct("_metadata.file_path", "_metadata.row_index"))
+    whole = _breaks_inside_quotes(spark, path)
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=whole, inferSchema=False, schema=schema)
+    if "attempt" in df.columns:
+        return df
+    return df.withColumn("attempt", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
 
 
 def succeeded(status: Column) -> Column:
@@ -81,19 +101,27 @@ def succeeded(status: Column) -> Column:
     return F.coalesce(F.lower(status).isin(*SUCCESS), F.lit(False))
 
 
-def best_attempts(df: DataFrame, id_column: str = "utterance_id", order: str = "attempt") -> DataFrame:
+def best_attempts(df: DataFrame, id_column: str | Sequence[str] = "utterance_id", order: str = "attempt", columns: Sequence[str] | None = None) -> DataFrame:
     """One row for each id: the last successful attempt, or else the last one. Without a ``status`` column, ``df`` itself.
 
-    ``order`` is a column that tells attempts apart by time. Kept as a maximum of (success, order, row),
-    which combines rows before the shuffle: a hot id sends one row a task.
+    ``id_column`` names one column or several; ``order`` one that tells attempts apart by time, null before all others. Rows are
+    combined before the shuffle, so a hot id sends one a task, and only the id and ``columns`` (all unless given) travel. Where
+    the order is the only one of these and a number, two maxima do and hashing takes the place of sorting.
     """
-    need(df, id_column)
+    ids = [id_column] if isinstance(id_column, str) else list(id_column)
+    need(df, *ids)
     if "status" not in df.columns:
-        return df
-    need(df, order)
-    whole = F.struct(succeeded(F.col("status")).alias("_ok"), F.col(order).alias("_order"), *(F.col(c) for c in df.columns))
-    best = df.groupBy(F.col(id_column).alias("_id")).agg(F.max_by(F.struct(*df.columns), F.struct(whole["_ok"], whole["_order"])).alias("_best"))
-    return best.select("_best.*")
+        return df if columns is None else df.select(*dict.fromkeys([*ids, *columns]))
+    need(df, order, *(columns or ()))
+    wanted = [c for c in (df.columns if columns is None else columns) if c not in ids]
+    ok = succeeded(F.col("status"))
+    if wanted == [order] and isinstance(df.schema[order].dataType, T.IntegralType):
+        last = F.coalesce(F.max(F.when(ok, F.col(order))), F.max(order))
+        return df.groupBy(*ids).agg(last.alias(order))
+    best = F.max_by(F.struct(*wanted), F.struct(ok, F.col(order))) if wanted else F.max(ok)
+    out = df.groupBy(*ids).agg(best.alias("_best"))
+    names = [c for c in (df.columns if columns is None else dict.fromkeys([*ids, *columns]))]
+    return out.select(*(F.col(c) if c in ids else F.col(f"_best.{c}") for c in names))
 
 
 def repeated_ids(df: DataFrame, id_column: str = "utterance_id") -> DataFrame:
@@ -111,10 +139,13 @@ def check_unique(df: DataFrame, id_column: str = "utterance_id") -> DataFrame:
 def load_predictions(
     spark: SparkSession, path: str, id_column: str = "utterance_id", text_column: str = "prediction"
 ) -> DataFrame:
-    """(utterance_id, prediction): the best attempt of each utterance; missing text is empty. Repeats without a status raise."""
+    """(utterance_id, prediction): the best attempt of each utterance, the last of equal ones by ``attempt`` or place in the file.
+
+    Missing text is empty. Repeats without a status raise.
+    """
     raw = scan_predictions(spark, path)
     need(raw, id_column, text_column)
-    best = check_unique(best_attempts(raw, id_column, "attempt" if "attempt" in raw.columns else text_column), id_column)
+    best = check_unique(best_attempts(raw, id_column, columns=[text_column]), id_column)
     return best.select(F.col(id_column).alias("utterance_id"), F.coalesce(F.col(text_column), F.lit("")).alias("prediction"))
 
 
@@ -155,7 +186,25 @@ def without_languages(df: DataFrame, any_of: tuple[str, ...] = (), exactly: tupl
     return df.where(keep)
 
 
-def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+#: Languages that a recogniser can't do, by its id: any of these codes, or exactly one of these sets.
+UNSUPPORTED: dict[str, dict[str, tuple]] = {
+    "deepgram": {"any_of": ("ml",)},
+    "gemini_realtime": {"exactly": (("hi", "mr"),)},
+}
+
+
+def load_unsupported(path: str | Path) -> dict[str, dict[str, tuple]]:
+    """A table like UNSUPPORTED from a JSON file."""
+    rules = json.loads(Path(path).read_text(encoding="utf-8"))
+    return {name: {"any_of": tuple(r.get("any_of", ())), "exactly": tuple(map(tuple, r.get("exactly", ())))} for name, r in rules.items()}
+
+
+def supported_rows(df: DataFrame, provider: str, rules: dict[str, dict[str, tuple]] | None = None) -> DataFrame:
+    """The rows whose languages a recogniser can do; a recogniser without an entry in ``rules`` keeps all."""
+    return without_languages(df, **(UNSUPPORTED if rules is None else rules).get((provider or "").strip().lower(), {}))
+
+
+def first_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """The first n rows in an order: a top-k, not a sort of everything."""
     return df.orderBy(*order).limit(n)
 
