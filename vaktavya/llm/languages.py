@@ -22,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Languages, and the scripts of their own.
@@ -30,13 +30,14 @@ LANGUAGES = ("en", "bn", "gu", "hi", "kn", "ml", "mr", "ta", "te")
 SCRIPTS = {0x0900: ("hi", "mr"), 0x0980: ("bn",), 0x0A80: ("gu",), 0x0B80: ("ta",), 0x0C00: ("te",), 0x0C80: ("kn",), 0x0D00: ("ml",)}
 #: Utterances of each label that the model is fitted on; passes, rate and penalty of the fit.
 SAMPLE, PASSES, RATE, PENALTY, BATCH = 500, 5, 0.5, 1e-3, 400
-#: Hashed features; words of the longest stretch that the chain sees at once; words in a row that make a language present.
+#: Start of the sums of squared slopes.
 SMOOTH = 1.0
 #: Passes after which labelled texts are left out whose words get less than this share of probability on the label.
-TRUSTING_PASSES, DOUBT = 2, 0.4
-BUCKETS, WINDOW, RUN = 1 << 16, 400, 3
-#: What a word pays for a second language beside English in one text.
-RIVAL = 3.0
+TRUSTING_PASSES, DOUBT = 2, 0.7
+#: Hashed features; words that are labelled at a time in a longer text, with as many on each side as context; words in a row that make a language present.
+BUCKETS, WINDOW, CONTEXT, RUN = 1 << 16, 2000, 100, 3
+#: Places of a padded matrix that are labelled at a time.
+CELLS = 400_000
 _INDEX = {c: i for i, c in enumerate(LANGUAGES)}
 _N = len(LANGUAGES)
 _HIDDEN = -1e4
@@ -95,8 +96,8 @@ def feature_ids(word: str) -> list[int]:
 class Model:
     """Weights of the field."""
 
-    def __init__(self, theta: np.ndarray, moves: np.ndarray, starts: np.ndarray, lexicon: dict[str, np.ndarray], trust: np.ndarray) -> None:
-        self.theta, self.moves, self.starts, self.lexicon, self.trust = theta, moves, starts, lexicon, trust
+    def __init__(self, theta: np.ndarray, moves: np.ndarray, starts: np.ndarray, lexicon: dict[str, np.ndarray], trust: np.ndarray, rival: float = 0.0) -> None:
+        self.theta, self.moves, self.starts, self.lexicon, self.trust, self.rival = theta, moves, starts, lexicon, trust, rival
         self.kept: dict[str, int] = {}
         self.rows: list[np.ndarray] = [np.zeros(_N, np.float32)]
         self.table: np.ndarray | None = None
@@ -129,8 +130,8 @@ class Model:
     def posteriors(self, ids: np.ndarray) -> np.ndarray:
         """Probabilities (texts, words, languages) for a padded matrix of places, -1 beyond the end.
 
-        A text in which several languages beside English come out is read once more, with all but
-        the likeliest of them held back by ``RIVAL`` a word: near languages of one script then don't
+        If ``rival`` is set, a text in which several languages beside English come out is read once more, with all but
+        the likeliest of them held back by that much a word: near languages of one script then don't
         share it, while words whose script leaves no choice keep theirs.
         """
         if self.table is None:
@@ -138,13 +139,15 @@ class Model:
         real = ids >= 0
         emit = np.where(real[:, :, None], self.table[ids], 0.0)
         post = forward_backward(emit, real, self.moves, self.starts)[0]
+        if not self.rival:
+            return post
         tells = ids > 0
         mass = (post * tells[:, :, None]).sum(1)
         mass[:, 0] = 0
         label = np.where(tells, post.argmax(2), 0)
         rivals = np.array([(label == c).any(1) for c in range(1, _N)]).sum(0) > 1
         if rivals.any():
-            held = np.full((int(rivals.sum()), _N), -RIVAL)
+            held = np.full((int(rivals.sum()), _N), -self.rival)
             held[:, 0] = 0
             held[np.arange(len(held)), mass[rivals].argmax(1)] = 0
             longest = int(real[rivals].sum(1).max())
@@ -191,23 +194,31 @@ def label_codes(tag: str | None) -> tuple[str, ...] | None:
     return tuple(codes) if codes and all(c in _INDEX for c in codes) else None
 
 
+def _pieces(text: str, size: int = 400) -> Iterator[list[str]]:
+    """A text's words, in pieces that fit side by side into one batch."""
+    words = text.split()
+    for a in range(0, len(words), size):
+        yield words[a : a + size]
+
+
 def fit(rows: list[tuple[str, tuple[str, ...]]]) -> Model:
     """Fit on (text, codes of the label). Texts whose script contradicts the codes, or leaves the words' languages open, are left out."""
     words: dict[str, int] = {}
     texts: list[tuple[list[int], np.ndarray]] = []
     counts: Counter[tuple[str, int]] = Counter()
-    for text, codes in rows:
+    for text, codes in ((piece, codes) for text, codes in rows for piece in _pieces(text)):
         label = np.zeros(_N, bool)
         label[[_INDEX[c] for c in codes]] = True
         english = np.arange(_N) == 0
-        known = [(w, script_of(w)) if tells else None for w, tells in map(bare_word, text.split()[:WINDOW])]
+        known = [(w, script_of(w)) if tells else None for w, tells in map(bare_word, text)]
         if len(codes) > 1 and not any(k and k[1] for k in known):
             continue
-        masks = [label if k is None else allowed_by_script(k[1]) & label & (english if len(codes) > 1 and not k[1] else True) for k in known]
+        # English may stand in a text of one label whose other words are in its language's script
+        latin = english if len(codes) > 1 else label | english if any(k and k[1] for k in known) else label
+        masks = [label if k is None else allowed_by_script(k[1]) & (label if k[1] else latin) for k in known]
         if known and all(m.any() for m in masks):
             texts.append(([words.setdefault(k[0], len(words)) if k else -1 for k in known], np.array(masks)))
-            if len(codes) == 1:
-                counts.update((k[0], _INDEX[codes[0]]) for k in known if k)
+            counts.update((k[0], int(m.argmax())) for k, m in zip(known, masks, strict=True) if k and m.sum() == 1)
     totals = np.ones(_N)
     for (_, c), k in counts.items():
         totals[c] += k
@@ -270,21 +281,25 @@ def fit(rows: list[tuple[str, tuple[str, ...]]]) -> Model:
 
 
 def labelled_sample(df: DataFrame, text: str, language: str, tag: str, mixed: str, sample: int = SAMPLE) -> list[tuple[str, tuple[str, ...]]]:
-    """At most ``sample`` utterances for each label whose three parts agree, chosen by a hash of the text."""
+    """At most ``sample`` texts for each label whose three parts agree: those of the smallest hashes.
+
+    How many different texts a label has is estimated in one pass; twice the share that is wanted passes by its hash, and
+    only those texts are told apart and ranked. How often a text stands in the table changes nothing.
+    """
     codes = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.trim(tag)), "[^a-z]+"), lambda c: c != "")))
     spoken = F.lower(F.trim(language))
     agree = (F.array_contains(codes, spoken)) & (F.size(codes) == F.when(F.col(mixed), 2).otherwise(1))
     rows = df.where(F.col(text).isNotNull() & F.col(mixed).isNotNull()).select(F.col(text).alias("t"), F.array_join(codes, "-").alias("c"), agree.alias("a")).where("a")
     rows = rows.where(F.col("c").isin(*LANGUAGES, *("-".join(sorted(("en", c))) for c in LANGUAGES[1:])))
-    total = {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()}
+    rows = rows.select("c", "t", F.xxhash64("t").alias("h"))
+    total = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.approx_count_distinct("h").alias("n")).collect()}
     share = F.lit(0.0)
     for c, n in total.items():
-        share = F.when(F.col("c") == c, min(1.0, 1.5 * sample / n)).otherwise(share)
-    hashed = (F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003.0) < share
-    out: dict[str, dict[str, None]] = {}
-    for r in rows.where(hashed).select("t", "c").limit(3 * sample * 17).collect():
-        out.setdefault(r["c"], {}).setdefault(r["t"])
-    return [(t, tuple(c.split("-"))) for c, texts in sorted(out.items()) for t in sorted(texts)[:sample]]
+        share = F.when(F.col("c") == c, min(1.0, 2 * sample / n)).otherwise(share)
+    near = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share).dropDuplicates(["c", "t"])
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.pmod("h", F.lit(1_000_003)), "t"))
+    kept = near.withColumn("place", place).where(F.col("place") <= sample).select("c", "t").collect()
+    return [(r["t"], tuple(r["c"].split("-"))) for r in sorted(kept)]
 
 
 _MAIL = re.compile(r"(?i)\bdot\b|\brate\b|\bunderscore\b|[(\[]at[)\]]")
@@ -306,29 +321,33 @@ def without_addresses(words: list[str]) -> list[str]:
 
 def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
     """Per text, stretches of one language: first word, word after the last, language, confidence, words that tell it."""
-    ids, owner = [], []
+    ids, kept = [], []
     split = [without_addresses(t.split()) if t and _MAIL.search(t) else (t or "").split() for t in texts]
     for k, words in enumerate(split):
+        rows = [model.row(w) for w in words]
         for a in range(0, len(words), WINDOW):
-            ids.append([model.row(w) for w in words[a : a + WINDOW]])
-            owner.append(k)
-    best: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
+            # words far away say nothing about a word: a window with context labels as the whole text does
+            left = max(0, a - CONTEXT)
+            ids.append(rows[left : a + WINDOW + CONTEXT])
+            kept.append((k, a - left, min(len(words), a + WINDOW) - left))
     order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
-    found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for cut in range(0, len(order), 512):
-        part = order[cut : cut + 512]
-        longest = len(ids[part[-1]])
-        matrix = np.full((len(part), longest), -1)
+    found: dict[int, list[tuple[int, float, bool]]] = {}
+    at = 0
+    while at < len(order):
+        size = max(1, min(512, CELLS // len(ids[order[min(at + 511, len(order) - 1)]])))
+        part = order[at : at + size]
+        at += size
+        matrix = np.full((len(part), len(ids[part[-1]])), -1)
         for r, i in enumerate(part):
             matrix[r, : len(ids[i])] = ids[i]
         post = model.posteriors(matrix)
         label, sure = post.argmax(2), post.max(2)
         for r, i in enumerate(part):
-            n = len(ids[i])
-            found[i] = (label[r, :n], sure[r, :n], matrix[r, :n] > 0)
-    for i in range(len(ids)):
-        label, sure, tells = found[i]
-        best[owner[i]] += zip(label.tolist(), sure.tolist(), tells.tolist(), strict=True)
+            _, first, end = kept[i]
+            found[i] = list(zip(label[r, first:end].tolist(), sure[r, first:end].tolist(), (matrix[r, first:end] > 0).tolist(), strict=True))
+    best: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
+    for i, (k, _, _) in enumerate(kept):
+        best[k] += found[i]
     return [_stretches(words, row) for words, row in zip(split, best, strict=True)]
 
 
@@ -375,14 +394,15 @@ def contradicts(codes: set[str], language: str | None, tag: str | None, mixed: b
     return not (len(named) == 1 and named[0] in right) or set(label_codes(tag)) != codes or bool(mixed) != (len(codes) > 1)
 
 
-def detect(df: DataFrame, key: str, text: str, language: str, tag: str, mixed: str) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, language: str, tag: str, mixed: str, rival: float = 0.0) -> DataFrame:
     """Rows (``key``, languages, segments, wrong) of every utterance.
 
     ``languages`` lists (language, confidence) of the languages with three words or more in a row;
     ``segments`` lists (first, last, language, confidence) of all stretches, words counted from 0.
     ``wrong`` is true for utterances of five words or more whose labels are missing or contradict the text.
     Null, empty and blank texts have empty lists and aren't wrong. Repeated rows stay. Very
-    long texts are labelled whole, in windows of ``WINDOW`` words.
+    long texts are labelled whole, ``WINDOW`` words at a time with context on both sides. ``rival`` is what a word pays for a
+    further language beside English and the likeliest one; 0 lets texts hold any number of languages.
     """
     model = fit(labelled_sample(df, text, language, tag, mixed))
     shared = df.sparkSession.sparkContext.broadcast((model.theta, model.moves, model.starts, model.lexicon, model.trust))
@@ -390,7 +410,7 @@ def detect(df: DataFrame, key: str, text: str, language: str, tag: str, mixed: s
     names = [F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(language).alias("_l"), F.col(tag).alias("_t"), F.col(mixed).alias("_m")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Model(*shared.value)
+        field = Model(*shared.value, rival)
         for pdf in batches:
             field.forget()
             found = segments(field, list(pdf["_text"]))

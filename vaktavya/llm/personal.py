@@ -74,7 +74,7 @@ _SPOKEN_LINE = re.compile(r" ?\bunderscore\b ?")
 _SPOKEN_DOT = re.compile(r" ?(?:\bdot\b|\(dot\)|\[dot\]) ?")
 _SPOKEN_AT = re.compile(r" ?(?:\bat the rate(?: of)?\b|\(at\)|\[at\]|@|\bat\b) ?")
 _SPOKEN_MARK = re.compile(r" ?([_-]|\bdash\b|\bplus\b) ?")
-_DOMAIN = re.compile(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)+$")
+_DOMAIN = re.compile(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z][a-z0-9-]*$")
 #: Last parts of domains that are common or reserved.
 TLDS = frozenset("com org net in test example invalid co edu gov info io".split())
 _MAIL_AT = frozenset(("@", "at", "rate", "(at)", "[at]"))
@@ -207,7 +207,7 @@ def _emails(tokens: list[Token]) -> Iterator[Span]:
             for end in range(i + 1, min(n, i + 7) + 1):
                 if end - start > LONGEST["email"]:
                     continue
-                text = " ".join(x.form for x in tokens[start:end]).strip(_EDGE.replace("(", "").replace(")", ""))
+                text = " ".join(x.form for x in tokens[start:end]).strip(_EDGE.replace("(", "").replace(")", "") + "[]<>")
                 joined = _SPOKEN_DOT.sub(".", _SPOKEN_LINE.sub("_", text.lower()))
                 joined = _SPOKEN_MARK.sub(lambda m: {"dash": "-", "plus": "+"}.get(m[1], m[1]), _SPOKEN_AT.sub("@", joined))
                 if joined.count("@") != 1 or " " in joined or (start, end) in seen:
