@@ -166,6 +166,42 @@ def test_stuffing_of_long_sentences_and_label_tails():
     assert 0.5 < mixed[0] < 1 and mixed[1] > stuffing.RECURS
 
 
+NOUNS = (
+    "loan card policy credit broker fund bond share pension deposit mortgage savings insurance wallet parcel voucher refund booking ticket rent tyre phone laptop camera printer router modem cable "
+    "charger battery speaker monitor keyboard mouse tablet watch bracelet ring necklace scarf jacket"
+).split()
+PHRASES = "हमारे घर पर बीमा पहुँचा ही नहीं - मुझे मीटर की रसीद दोबारा चाहिए - मैं सोमवार तक खाता का इंतज़ार करूँगा - आपके यहाँ से सामान रद्द कर दिया गया - क्या आप तारीख बदल सकते हैं"
+
+
+def test_stuffing_needs_no_marks_and_knows_function_words_of_other_languages():
+    stops = "cheap loan near me. best loan near me. fast loan near me. " * 10
+    lists = [" ".join(NOUNS), stops, " ".join([f"term{a}{b}" for a in "abcdefghi" for b in "vwxyz"] * 20), stops + SENTENCES, "ಸಾಲ ವಿಮೆ ಕಾರ್ಡ್ ಠೇವಣಿ ಬಿಲ್ ಮೀಟರ್ ಖಾತೆ ಔಷಧಿ ಬಾಡಿಗೆ ಪಾರ್ಸೆಲ್ " * 3]
+    assert [t[:50] for t in lists if stuffing.stuffed_share(t)[0] <= stuffing.SHARE] == []
+    prose = [
+        PHRASES, PHRASES.replace(" - ", "\n"), "mujhe meter kee raseed dobara chahie - hamare ghar par beema pahuncha hee naheen - main somavar tak khata ka intajar karoonga",
+        "The clerk closed the claim form. The clerk opened the claim form. The clerk closed the claim form again. " * 6, "Our card was late; the bank, the shop and the courier - all of them - said that it was on its way.",
+    ]
+    assert [t[:50] for t in prose if stuffing.stuffed_share(t)[0] > stuffing.SHARE] == []
+    part = stuffing.stuffed_share(stops + SENTENCES)[0]
+    assert part < 1
+
+
+def test_speakers_are_told_by_their_repetition():
+    talk = "\n".join(f"{who}: {what}" for who, what in [("Zorba 1", "yes yes yes yes"), ("Zorba 2", "ok ok ok")] * 12)
+    assert stuffing.stuffed_share(talk)[0] == 0 and all(turn for turn, line in stuffing.turns(talk) if line.strip())
+    line = " ".join(f"[00:{i:02}] {who}: {what}" for i, (who, what) in enumerate([("nurse", "right right right"), ("visitor", "hmm hmm")] * 12))
+    assert stuffing.stuffed_share(line)[0] == 0
+    assert stuffing.turns("Keywords: a, b") == [(False, "Keywords: a, b")]
+    assert sum(turn for turn, _ in stuffing.turns("x: one\ny: two\nz: three")) == 3
+
+
+def test_links_of_any_domain_are_links():
+    assert stuffing.terms("see http://a.b/c and www.x.dev or shop.kolmail.agency/tag/1 now") == ["see", "\ue000", "and", "\ue000", "or", "\ue000", "now"]
+    assert "\ue000" not in stuffing.terms("he left.Then 3.14 and e.g. mail me@shop.dev")[:6]
+    pages = "\n".join(f"shop{i}.store/go/{i}" for i in range(30))
+    assert stuffing.stuffed_share(pages)[0] == 1
+
+
 def test_stuffing_of_long_cycles_and_lists_of_lines():
     r = random.Random(8)
     keywords = [f"{a}{b}" for a in ("loan", "card", "policy", "credit", "broker", "fund") for b in "abcdefghij"]

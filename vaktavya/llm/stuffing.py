@@ -1,11 +1,11 @@
 """Pages of repeated keywords, links and tags instead of sentences.
 
-A text is cut into sentences, ended by a sentence mark, and loose stretches, which have none. Sentences
-and tails of labels of ``LONG`` words or more are tested as loose stretches are. In these, terms are compared by class: every link counts as the same term, every tag too, and
-numbers are equal. Two statistics tell lists from prose: the share of terms that recur, nearby or
-anywhere in the stretch, and the autocorrelation of the positions of equal terms at its best lag, up to
-half the stretch. Lists of distinct nouns recur little; they are told by marks or line breaks between
-short phrases and missing function words.
+A text is cut into turns of speakers, told by line heads that recur, into sentences, ended by a sentence mark, and into loose
+stretches, which have none. Terms are compared by class: every link counts as the same term, every tag too, and
+numbers are equal. Three statistics tell lists from prose: the gaps after which terms recur, as the share of terms
+that stand again nearby or anywhere in the stretch; the autocorrelation of the positions of equal terms at its best lag, up to
+half the stretch; and the share of function words, without which a long row of distinct nouns is a list, whatever parts its members.
+Function words are those of nine languages, in their script or in Latin letters by their sound.
 """
 
 from __future__ import annotations
@@ -20,40 +20,79 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaktavya.semantic.sounds import phonetic
+
 #: Terms within which a recurrence is near, and lags that are tried in any stretch.
 LAG = 40
 LAGS = range(1, 25)
 #: Terms up to which each lag is tried; random signs of a term by which the lags of longer stretches are found.
 DIRECT, ROUNDS = 128, 8
-#: Least share of recurring terms; least autocorrelation and recurrence together; least share of marks in a list.
-RECURS, REGULAR, REGULAR_RECURS, MARKS = 0.62, 0.45, 0.45, 0.16
-#: Share of marks in which line breaks count; shares of function words and of terms that stand once below which far recurrence counts.
-BREAKS, FAR_NEEDED, ONCE = 0.25, 0.12, 0.2
-#: Words from which a sentence or the tail of a label is tested too, and least share of its commonest mark.
-LONG, SENTENCE_MARKS = 12, 0.2
+#: Least share of terms near an equal one in a loose stretch and in a row of sentences; least autocorrelation and recurrence together.
+RECURS, SENTENCES_RECUR, REGULAR, REGULAR_RECURS = 0.62, 0.85, 0.45, 0.45
+#: Shares of function words below which far recurrence counts, and below which a row of words is a list.
+FAR_NEEDED, NEEDED, ONCE = 0.12, 0.05, 0.2
+#: Words from which a sentence or a turn is tested by itself.
+LONG = 12
+#: Words of a row that needs no marks to be a list; shares of marks in shorter ones: of all kinds, with line breaks, of one kind in a sentence.
+ROW, MARKS, BREAKS, SENTENCE_MARKS = 20, 0.16, 0.25, 0.2
 #: Share of a text's words beyond which it is stuffed.
 SHARE = 0.5
-#: English words that sentences need and lists of nouns lack.
-FUNCTION_WORDS = frozenset(
-    "the a an is are was were be been has have had do does did will would can could that this these those and or but if as of to for "
-    "with by from at on not we you he she it they i my your our their when which who so because while after before until".split()
-)
-
-_LINK = re.compile(r"(?i)(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:invalid|test|example|com|org|net|in|io|co)\b/\S*")
+#: Words that sentences need and lists of nouns lack, by language.
+FUNCTION_WORDS = {
+    "en": "the a an is are was were be been has have had do does did will would can could that this these those and or but if as of to for with by from at on in not we you he she it "
+    "they i my your our their when which who so because while after before until again please what how there any",
+    "hi": "है हैं में की का के को से ने पर और यह मैं मुझे मेरा आप हम क्या नहीं था थे तो भी तक लिए हूँ",
+    "mr": "आहे मला मी माझं तुम्ही ची चा चे ला मध्ये आणि हे ते नाही पासून पर्यंत की होतं",
+    "bn": "আমি আমার আমাদের আপনি আপনার এর কি না যে থেকে পর্যন্ত এবং এই জন্য মধ্যে দিকে",
+    "gu": "છે મને મારું હું તમે તમારા અમારા માં ની નો ના નું અને તે થી સુધી નથી માટે",
+    "ta": "நான் என் எனக்கு என்னோட நீங்க உங்க எங்க அவங்க என்று என்ன இந்த ஒரு வரை முதல் இல்லை மேல்",
+    "te": "నేను నా నాకు మీరు మీ మా వారు వాళ్ళు వాళ్లు అని ఈ ఆ కోసం లేదు ఉంది వరకు నుంచి మీద",
+    "kn": "ನಾನು ನನ್ನ ನನಗೆ ನೀವು ನಿಮ್ಮ ನಮ್ಮ ಅವರು ಎಂದು ಈ ಆ ಮೇಲೆ ಇದೆ ಇಲ್ಲ ತನಕ ಗಾಗಿ ಒಂದು",
+    "ml": "ഞാൻ എന്റെ എനിക്ക് നിങ്ങൾ ഞങ്ങളുടെ അവർ എന്ന് ഈ ആ വരെ മേൽ ഇല്ല ആണ് ഒരു നിന്ന്",
+}
+
+_LINK = re.compile(r"(?i)(?:[a-z][a-z0-9+.-]*://|www\.)\S+|(?<![\w@.])[a-z0-9][\w-]*(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*|(?=\)))|(?<![\w@.])[a-z0-9][\w-]*(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|info|io)(?![\w.])")
 _TAG = re.compile(r"(?<!\S)#[^\s#]+")
 _MARKUP = re.compile(r"</?\w[^>]*>")
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)", re.S)
 _END = re.compile(r"(?<=[.?!।॥])[\"'”’)\]]*(?=\s|$)")
-_SPEAKER = re.compile(r"^\s*(?:\[\d+:\d+(?::\d+)?\]\s*)?(?:[\w ]{1,20}_\d+|[A-Z][\w ]{0,15}|[a-z]{3,12}|[QA])\s*:\s")
-_STAMP = re.compile(r"\s(?=\[\d+:\d+(?::\d+)?\]\s)|(?<!\])\s(?=(?:SPK_\d+|Agent|Caller|executive|customer|[QAB]):\s)")
+#: What may be a speaker: a time, then a word or three, then a colon.
+_HEAD = re.compile(r"(?:(?<=\s)|^)(?:\[[\d:.]+\]\s*)?([^\W\d][\w.'-]{0,19}(?: [\w.'-]{1,20}){0,2}):\s", re.M)
+_STAMP = re.compile(r"\[[\d:.]+\]\s*$")
 _TERM = re.compile(r"[^\W_]+(?:['’\-‌‍\u0900-\u0dff]+[^\W_]*)*|[>|/•,;]|(?<=\s)-(?=\s)|\uE000|\uE001")
 _WORD = re.compile(r"\w")
 _DIGITS = re.compile(r"\d+")
+_MARKS = frozenset(">|/•,;-")
+_CLASSES = frozenset("\uE000\uE001")
+
+
+def _sound(word: str) -> str:
+    """A word's sound, nasals alike, without a last a."""
+    key = phonetic(word).replace("m", "n").replace(" ", "")
+    return (key.rstrip("a") or key) if len(key) > 2 else key
+
+
+_SPELLED = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
+_SOUNDED = frozenset(k for k in (_sound(w) for language, words in FUNCTION_WORDS.items() if language != "en" for w in words.split()) if len(k) > 2)
+
+
+class Needed(dict):
+    """Whether a term is a function word, for terms met so far."""
+
+    def __missing__(self, term: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        # sounds of two letters are those of too many English words
+        found = self[term] = term in _SPELLED or (term.isascii() and term.isalpha() and len(term) > 2 and _sound(term) in _SOUNDED)
+        return found
+
+
+_NEEDED = Needed()
 
 
 def replace_links(text: str, by: str) -> str:
     """A text with ``by`` in place of its links."""
-    return _LINK.sub(by, text) if "/" in text or "www." in text.lower() else text
+    return _LINK.sub(by, text) if "." in text else text
 
 
 def terms(text: str) -> list[str]:
@@ -108,35 +147,64 @@ def autocorrelation(found: list[str]) -> float:
     return max((float(np.count_nonzero(codes[:-k] == codes[k:])) / (n - k) for k in _lags(codes, len(known))), default=0.0)
 
 
-def is_list(found: list[str], sentence: bool = False, breaks: int = 0) -> bool:
-    """Whether the terms of a stretch are a list or keyword string.
+def near_terms(found: list[str], lag: int = LAG) -> list[bool]:
+    """Whether each term stands again within ``lag`` terms, before or after."""
+    last: dict[str, int] = {}
+    near = [False] * len(found)
+    for i, t in enumerate(found):
+        j = last.get(t, -lag - 1)
+        if i - j <= lag:
+            near[i] = near[j] = True
+        last[t] = i
+    return near
+
+
+def needed_share(found: list[str]) -> float:
+    """Share of function words among the words; links, tags and marks are none."""
+    said = [t for t in found if t not in _MARKS]
+    return sum(_NEEDED[t] for t in said) / max(1, len(said))
 
-    Marks of a ``sentence`` count if one kind alone parts it. ``breaks`` are the line breaks between
-    the lines of the stretch, marks too if lines are short.
+
+def is_list(found: list[str], breaks: int = 0, sentence: bool = False) -> bool:
+    """Whether the terms of a loose stretch, or of one long sentence or turn, are a list or keyword string.
+
+    ``breaks`` are the line breaks between lines of the stretch, marks too if lines are short. In a ``sentence`` only marks of one kind
+    count, as commas may stand in any.
     """
     n = len(found)
     if n < 8:
-        return bool(found) and all(t in "\uE000\uE001" for t in found)
-    count = Counter(found)
-    far, near = recurrence(found), recurrence(found, LAG)
-    if near >= RECURS:
+        return bool(found) and all(t in _CLASSES for t in found)
+    needed = needed_share(found)
+    kinds = Counter(t for t in found if t in _MARKS or t in _CLASSES)
+    said = n - sum(c for m, c in kinds.items() if m in _MARKS)
+    # no sentence is long without a function word; shorter rows of nouns are told by what parts them
+    if needed < NEEDED and said >= (2 * ROW if sentence else ROW):
+        return True
+    if needed < NEEDED and sentence and said >= LONG and max(kinds.values(), default=0) >= SENTENCE_MARKS * n:
         return True
+    if needed < NEEDED and not sentence and (sum(kinds.values()) >= MARKS * n or sum(kinds.values()) + breaks >= BREAKS * (n + breaks)):
+        return True
+    if recurrence(found, LAG) >= RECURS:
+        return True
+    far = recurrence(found)
     regular = autocorrelation(found) if far >= REGULAR_RECURS else 0.0
-    needed = sum(c for w, c in count.items() if w in FUNCTION_WORDS) / n
-    if needed < FAR_NEEDED:
-        if far >= REGULAR_RECURS and regular >= REGULAR:
-            return True
-        # long prose recurs too, but half of its words stand once
-        if far >= RECURS and n > 2 * LAG and sum(c == 1 for c in count.values()) <= ONCE * len(count):
-            return True
-    elif near >= REGULAR_RECURS and regular >= REGULAR:
+    if needed >= FAR_NEEDED:
+        return recurrence(found, LAG) >= REGULAR_RECURS and regular >= REGULAR
+    if far >= REGULAR_RECURS and regular >= REGULAR:
         return True
-    kinds = [count[m] for m in ">|/•,;-\uE000\uE001"]
-    if needed >= 0.04:
-        return False
-    if sentence:
-        return max(kinds) >= SENTENCE_MARKS * n
-    return sum(kinds) >= MARKS * n or sum(kinds) + breaks >= BREAKS * (n + breaks)
+    # long prose recurs too, but half of its words stand once
+    count = Counter(found)
+    return far >= RECURS and n > 2 * LAG and sum(c == 1 for c in count.values()) <= ONCE * len(count)
+
+
+def one_phrase(run: list[str]) -> list[str]:
+    """The sentences of a run that say few terms again and again: without function words, nearly all their terms near an equal one, few of them different."""
+    cut = [terms(u) for u in run]
+    near = iter(near_terms([t for c in cut for t in c]))
+    shares = [sum(next(near) for _ in c) / max(1, len(c)) for c in cut]
+    alike = [i for i, c in enumerate(cut) if shares[i] >= SENTENCES_RECUR and needed_share(c) < FAR_NEEDED]
+    found = [t for i in alike for t in cut[i]]
+    return [run[i] for i in alike] if len(found) >= LAG and recurrence(found) >= RECURS else []
 
 
 def words(text: str) -> int:
@@ -144,61 +212,98 @@ def words(text: str) -> int:
     return sum(1 for w in text.split() if w[0].isalnum() or _WORD.search(w))
 
 
-def loose_and_fixed(text: str) -> tuple[list[list[str]], int, list[str]]:
-    """Runs of loose stretches that no sentence parts, the words of its sentences, and long sentences and label tails that are lists."""
-    loose, fixed, listed = [[]], 0, []
-
-    def settle(piece: str) -> None:
-        nonlocal fixed
-        n = words(piece)
-        if n >= LONG and is_list(terms(piece), sentence=True):
-            listed.append(piece)
-        else:
-            fixed += n
-            if loose[-1]:
-                loose.append([])
+def turns(text: str) -> list[tuple[bool, str]]:
+    """The lines of a text, cut before speakers too, and whether a speaker says them.
 
-    for line in _STAMP.sub("\n", text).split("\n"):
-        speaker = _SPEAKER.match(line)
-        rest = line[speaker.end() :] if speaker else line
+    A speaker is a short head before a colon that recurs in the text, numbers in it being equal; where most lines have a head
+    each, as in a glossary, all are taken for such.
+    """
+    heads = list(_HEAD.finditer(text))
+    if not heads:
+        return [(False, line) for line in text.split("\n")]
+    count = Counter(_DIGITS.sub("0", m[1]) for m in heads)
+    begin = lambda m: not m.start() or text[m.start() - 1] == "\n"
+    lines = [line for line in text.split("\n") if line.strip()]
+    whole = 2 * sum(map(begin, heads)) > len(lines) > 2
+    out: list[tuple[bool, str]] = []
+    at, said = 0, False
+
+    def take(piece: str) -> None:
+        nonlocal said
+        for k, line in enumerate(piece.split("\n")):
+            # a turn ends with its line
+            out.append((said and not k, line))
+        said = False
+
+    for m in heads:
+        if count[_DIGITS.sub("0", m[1])] > 1 or (whole and begin(m)):
+            take(text[at : m.start()])
+            said, at = True, m.end()
+    take(text[at:])
+    return out
+
+
+def parts_of(text: str) -> tuple[list[list[str]], list[list[str]], list[str]]:
+    """Runs of loose stretches, runs of sentences, and turns: whatever stands between two of one kind ends their run."""
+    loose: list[list[str]] = [[]]
+    sentences: list[list[str]] = [[]]
+    said: list[str] = []
+
+    def end(runs: list[list[str]]) -> None:
+        if runs[-1]:
+            runs.append([])
+
+    for turn, line in turns(text):
         start = 0
-        for end in _END.finditer(rest):
-            piece = rest[start : end.end()]
-            start = end.end()
+        if turn:
+            if line.strip():
+                said.append(line)
+            end(loose)
+            end(sentences)
+            continue
+        for mark in _END.finditer(line):
+            piece = line[start : mark.end()]
+            start = mark.end()
             plain = replace_links(piece, "")
             if _ANCHOR.search(piece) or (plain != piece and words(plain) < 0.5 * words(piece)):
                 loose[-1].append(piece)
             else:
-                settle(piece)
-        tail = rest[start:]
-        if not tail.strip():
-            continue
-        if speaker and not _LINK.search(tail) and not _TAG.search(tail):
-            settle(tail)
-        else:
-            loose[-1].append(tail)
-    return [r for r in loose if r], fixed, listed
+                sentences[-1].append(piece)
+                end(loose)
+        if line[start:].strip():
+            loose[-1].append(line[start:])
+            end(sentences)
+    return [r for r in loose if r], [r for r in sentences if r], said
+
+
+def _listed(units: list[str]) -> int:
+    """Words of the long units that are lists."""
+    return sum(n for n, u in ((words(u), u) for u in units) if n >= LONG and is_list(terms(u), sentence=True))
 
 
 def stuffed_share(text: str | None) -> tuple[float, float, float]:
-    """Share of words in lists, and recurrence and autocorrelation of the loose terms and of listed sentences."""
-    runs, fixed, listed = loose_and_fixed(text or "")
-    loose = [s for run in runs for s in run]
-    known = sum(map(words, listed))
-    total = fixed + known + sum(map(words, loose))
-    found = terms("\n".join([*loose, *listed]))
-    if not total or not found:
+    """Share of words in lists, and recurrence and autocorrelation of the terms outside of ordinary sentences and turns."""
+    loose, sentences, said = parts_of(text or "")
+    total = sum(words(u) for run in (*loose, *sentences, said) for u in run)
+    if not total:
         return 0.0, 0.0, 0.0
-    recurs, regular = recurrence(found), autocorrelation(found)
-    if is_list(terms("\n".join(loose))):
-        return (total - fixed) / total, recurs, regular
-    # a list may stand among lines that aren't one: judge runs of lines on their own, and lines of other runs
-    for run in runs:
-        if is_list(terms("\n".join(run)), breaks=len(run) - 1):
-            known += sum(map(words, run))
-        elif len(run) > 1:
-            known += sum(words(s) for s in run if is_list(terms(s)))
-    return known / total, recurs, regular
+    known = _listed(said)
+    # turns of speakers may be short and alike; rows of other sentences may not
+    for run in sentences:
+        alike = one_phrase(run) if sum(map(words, run)) >= LAG else []
+        known += sum(map(words, alike)) + _listed([u for u in run if u not in alike] if alike else run)
+    found = terms("\n".join(u for run in loose for u in run))
+    if found and is_list(found):
+        known += sum(words(u) for run in loose for u in run)
+    else:
+        # a list may stand among lines that aren't one: judge runs of lines on their own, and lines of other runs
+        for run in loose:
+            if is_list(terms("\n".join(run)), breaks=len(run) - 1):
+                known += sum(map(words, run))
+            elif len(run) > 1:
+                known += sum(words(u) for u in run if is_list(terms(u)))
+    shown = found or terms(text)
+    return known / total, recurrence(shown) if shown else 0.0, autocorrelation(shown) if shown else 0.0
 
 
 def stuffing(df: DataFrame, key: str, text: str) -> DataFrame:
