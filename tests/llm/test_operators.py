@@ -105,6 +105,30 @@ def test_merges_are_those_of_a_plain_loop():
         assert bpe.merge_piece(piece, ranks) == [ranks[p] for p in parts]
 
 
+def test_window_hashes_and_their_filter(spark, monkeypatch):
+    r = random.Random(3)
+    words = [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(400)]
+    h = leakage.Hashes().of_windows(words, 10)
+    by: dict[str, set] = {}
+    for gram, x in zip(leakage.windows(words), h.tolist(), strict=True):
+        by.setdefault(gram, set()).add(x)
+    assert all(len(x) == 1 for x in by.values()) and len(set(h.tolist())) == len(by)
+    assert len(leakage.Hashes().of_windows(words[:9], 10)) == 0
+    values = [0, 1, 32767, 32768, 32769, 2**20 - 1, 2**20 + 5, -1]
+    bits = leakage._filter_of(spark.createDataFrame([(v,) for v in values], "_h long"), 1 << 20)
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {v % 2**20 for v in values}
+
+
+def test_a_filter_that_lets_all_through_changes_no_row(spark, monkeypatch):
+    words = [f"word{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[10:30]))], "item_id int, text string")
+    df = spark.createDataFrame([(i, "x " + " ".join(words[i : i + 12]) + " y") for i in range(25)] + [(99, " ".join("abcdefghijklmnop"))], "doc_id int, text string")
+    rows = lambda: sorted(map(tuple, leakage.leaks(df, "doc_id", "text", items, "item_id", "text", broadcast_windows=0).collect()))
+    sharp = rows()
+    monkeypatch.setattr(leakage, "FILTER_BITS", 8)
+    assert rows() == sharp and len(sharp) > 25
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_leaks(spark, limit):
     words = [f"word{i}" for i in range(40)]

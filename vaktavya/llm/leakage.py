@@ -6,7 +6,9 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,12 @@ from vaktavya.llm.unify import INVISIBLE, KANNADA, LOOKALIKES, STAND_IN, TELUGU
 
 #: Words in a row that make a leak.
 WORDS = 10
-#: Windows of items up to which they are sent to every executor; beyond, hashes of windows are joined.
+#: Windows of items up to which they are sent to every executor; beyond, windows of documents that a filter of hashes lets through are joined.
 BROADCAST_WINDOWS = 1_000_000
+#: Bits of that filter, a power of two: 64 MB at most whatever the number of items. A tenth of the windows passes by chance at 50 million windows of items.
+FILTER_BITS = 1 << 29
+#: Factor of the hash of a window, which is a polynomial of the hashes of its words.
+FACTOR = 0x9E3779B97F4A7C15
 
 
 class Folder:
@@ -61,6 +67,27 @@ def windows(words: list[str], n: int = WORDS) -> Iterator[str]:
         yield " ".join(words[i : i + n])
 
 
+class Hashes(dict):
+    """64-bit hashes of words met so far, and of windows of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of_windows(self, words: list[str], n: int) -> np.ndarray:
+        """The hash of each run of n words."""
+        size = len(words) - n + 1
+        if size <= 0:
+            return np.zeros(0, np.uint64)
+        each = np.fromiter((self[w] for w in words), np.uint64, len(words))
+        out = np.zeros(size, np.uint64)
+        for k in range(n):
+            out = out * np.uint64(FACTOR) + each[k : k + size]
+        return out ^ (out >> np.uint64(31))
+
+
 def _grams(items: list[tuple[int, str | None]], n: int) -> dict[str, tuple[int, ...]]:
     fold, found = Folder(), defaultdict(set)
     for item, text in items:
@@ -91,11 +118,11 @@ def leaks(
     """Rows (``key``, ``item_key``, n_windows, clean_text) of documents that hold n words in a row of an item.
 
     Words are compared without case, punctuation, blanks, line breaks and look-alike characters.
-    Windows of the items form a hash set on every executor; each window of each document is looked
-    up in it by its whole words, so a hit is verified as it is found. ``n_windows`` counts the
+    Windows of the items form a hash set on every executor; the hash of each window of each document is looked
+    up in it, and a hit is verified by its whole words. ``n_windows`` counts the
     document's windows that the item has. ``clean_text`` is the document without the spans of any
-    item. If the items have more than ``broadcast_windows`` windows, 64-bit hashes of windows are
-    joined instead and verified by their words; the rows are the same.
+    item. If the items have more than ``broadcast_windows`` windows, only a filter of their hashes is sent; windows that
+    it lets through are joined with those of the items by hash and words, and the rows are the same.
 
     Null, empty and short texts hold nothing and leak nothing. Repeated documents each come out;
     an item that repeats another comes out beside it. If both keys have one name, the item's is
@@ -109,21 +136,29 @@ def leaks(
     bound = wanted.agg(F.coalesce(F.sum(F.length("_passage")), F.lit(0))).first()[0]
     schema = f"{key} {kind}, {item_key} {item_kind}, n_windows int, clean_text string"
     if bound <= broadcast_windows * 8:
-        known = documents.sparkSession.sparkContext.broadcast(_grams([tuple(r) for r in wanted.collect()], n))
+        grams = _grams([tuple(r) for r in wanted.collect()], n)
+        hashes = Hashes()
+        known = documents.sparkSession.sparkContext.broadcast((grams, np.unique(np.array([hashes.of_windows(g.split(" "), n)[0] for g in grams], np.uint64))))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fold, grams = Folder(), known.value
+            fold, seen, (grams, sought) = Folder(), Hashes(), known.value
             for pdf in batches:
                 rows = []
                 for doc, body in zip(pdf["_key"], pdf["_text"], strict=True):
                     words, places, plain = fold.places(body)
+                    hashed = seen.of_windows(words, n)
+                    if not len(sought) or not len(hashed):
+                        continue
+                    at = np.searchsorted(sought, hashed)
                     hits: dict[int, int] = defaultdict(int)
                     starts = []
-                    for i, gram in enumerate(windows(words, n)):
-                        if gram in grams:
+                    for i in np.flatnonzero(sought[np.minimum(at, len(sought) - 1)] == hashed).tolist():
+                        # a hash is only a hint: the words decide
+                        items = grams.get(" ".join(words[i : i + n]), ())
+                        for item in items:
+                            hits[item] += 1
+                        if items:
                             starts.append(i)
-                            for item in grams[gram]:
-                                hits[item] += 1
                     if hits:
                         left = without_spans(plain, places, starts, n)
                         rows += [(doc, item, count, left) for item, count in sorted(hits.items())]
@@ -133,16 +168,44 @@ def leaks(
     return _joined(docs, wanted, key, item_key, n, schema, item_kind)
 
 
+def _filter_of(of_items: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of a window of an item, packed; made of partial bitmaps on the executors."""
+    # Spark's bitmaps count from 1, 32768 bits each
+    place = F.col("_h").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = of_items.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p")).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p"))).alias("m"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
 def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int, schema: str, item_kind: str) -> DataFrame:
-    def cut(name: str, placed: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fold = Folder()
-            for pdf in batches:
-                rows = [(k, i, g) for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) for i, g in enumerate(windows(fold.places(t)[0], n))]
-                found = pd.DataFrame(rows, columns=[name, "_place", "_gram"])
-                yield found if placed else found.drop(columns="_place")
+    def of_item(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, seen = Folder(), Hashes()
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf["_item"], pdf["_passage"], strict=True):
+                words = fold.places(t)[0]
+                rows += zip([k] * len(words), seen.of_windows(words, n).view(np.int64).tolist(), windows(words, n), strict=False)
+            yield pd.DataFrame(rows, columns=["_item", "_h", "_gram"])
 
-        return run
+    # text ids are 128 bits of a text, so repeated documents share their hits and each come out
+    docs = docs.withColumn("_id", F.md5("_text"))
+    of_items = wanted.mapInPandas(of_item, f"_item {item_kind}, _h bigint, _gram string").distinct()
+    bits = FILTER_BITS
+    sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(of_items, bits))
+
+    def of_doc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, seen, known = Folder(), Hashes(), sieve.value
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf["_id"], pdf["_text"], strict=True):
+                words = fold.places(t)[0]
+                hashed = seen.of_windows(words, n)
+                place = (hashed & np.uint64(bits - 1)).astype(np.int64)
+                kept = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).tolist()
+                rows += [(k, i, h, " ".join(words[i : i + n])) for i, h in zip(kept, hashed[kept].view(np.int64).tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["_id", "_place", "_h", "_gram"])
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = Folder()
@@ -154,11 +217,7 @@ def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int,
                 rows += [(doc, h["_item"], len(h["places"]), left) for h in hits]
             yield pd.DataFrame(rows, columns=[key, item_key, "n_windows", "clean_text"])
 
-    # texts are known by 128 bits of them, so repeated documents share their hits and each come out
-    docs = docs.withColumn("_id", F.md5("_text"))
-    hashed = lambda df: df.withColumn("_h", F.xxhash64("_gram"))
-    of_items = wanted.mapInPandas(cut("_item", False), f"_item {item_kind}, _gram string").distinct()
-    of_docs = docs.select("_id", "_text").mapInPandas(cut("_id", True), "_id string, _place int, _gram string")
-    hits = hashed(of_docs).join(hashed(of_items), ["_h", "_gram"]).groupBy("_id", "_item").agg(F.collect_set("_place").alias("places"))
+    of_docs = docs.select("_id", "_text").mapInPandas(of_doc, "_id string, _place int, _h bigint, _gram string")
+    hits = of_docs.join(of_items, ["_h", "_gram"]).groupBy("_id", "_item").agg(F.collect_set("_place").alias("places"))
     found = hits.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_item", "places"))).alias("_hits"))
     return docs.join(found, "_id").select("_key", "_text", "_hits").mapInPandas(clean, schema)
