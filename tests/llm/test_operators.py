@@ -20,6 +20,9 @@ def test_survivors(spark):
     df = spark.createDataFrame(rows, schema.replace("written_at timestamp", "written_at string")).withColumn("written_at", at("written_at"))
     found = {r.utterance_id: (r.prediction_row, r.latency_row, r.prediction) for r in survivors.attempt_survivors(df, least=2).collect()}
     assert found == {"c00000001_t0001": (1, 1, "x"), "c00000002_t0001": (5, -1, None), "c00000004_t0001": (11, 10, "b")}
+    mixed = spark.createDataFrame([(1, "c1_t1", "p", "old", 3.0, "error", "2025-01-01"), (2, "c1_t1", "p", " ", 9.0, " ", "2025-01-03"), (3, "c1_t1", "p", None, -1.0, None, None)], "row_id bigint, utterance_id string, provider string, prediction string, latency_ms double, status string, written_at string")
+    best = survivors.attempt_survivors(mixed.withColumn("written_at", at("written_at"))).first()
+    assert (best.prediction_row, best.prediction, best.status, str(best.written_at)[:10], best.latency_row, best.n_records) == (2, "old", "error", "2025-01-03", 2, 3)
     assert survivors.attempt_survivors(df).count() == 4 and survivors.attempt_survivors(df.limit(0)).count() == 0
 
 
@@ -62,6 +65,7 @@ def test_digests_by_group(spark):
 FORMS = {
     "ｆｕｌｌ": "full", "café": "café", "a b": "a b", "wa​it": "wait", "pоlicy": "policy", "ΤΕSΤ": "TEST", "क्‍ष": "क्‍ष", "क‍ष": "कष", "ﬁnd": "find",
     "7852‑9833": "7852-9833", "ಸರಿ": "ಸರಿ", "ಸరಿ": "ಸರಿ", "Москва": "Москва", "plain": "plain", "": "", "a\tb": "a\tb", "য়": unicodedata.normalize("NFC", "য়"), "प‎र": "पर", "﻿": "",
+    "अापके": "आपके", "काेट": "कोट", "અાજ": "આજ", "ಉಾ": "ಊ", "ഒാട്ടോ": "ഓട്ടോ", "আমি": "আমি",
 }
 
 
@@ -74,6 +78,8 @@ def test_one_form(spark):
     again = spark.createDataFrame([(f,) for f in FORMS.values()], "t string")
     assert unify.odd_texts(again, "t", "t").count() == 0
     assert unify.unify(rows.limit(0), "t").count() == 0
+    many = spark.createDataFrame([("ａ" * 300_000, i) for i in range(40)], "t string, i int").coalesce(1)
+    assert {len(r.t_unified) for r in unify.unify(many, "t").collect()} == {300_000}
     long = "ａ" * 200_000
     assert unify.unify(spark.createDataFrame([(long,)], "t string"), "t").first().t_unified == "a" * 200_000
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaktavya.llm.unify import INVISIBLE, KANNADA, LOOKALIKES, STAND_IN, TELUGU
+from vaktavya.llm.unify import INVISIBLE, KANNADA, LOOKALIKES, SEQUENCES, STAND_IN, TELUGU
 
 #: Words in a row that make a leak.
 WORDS = 10
@@ -34,6 +34,7 @@ class Folder:
         self.unseen = regex.compile(f"[{python(INVISIBLE)}]+")
         self.stand_in = regex.compile(f"[{python(STAND_IN)}]")
         self.mixed = regex.compile(f"[{python(TELUGU)}][{python(KANNADA)}]|[{python(KANNADA)}][{python(TELUGU)}]")
+        self.vowels = regex.compile("|".join(SEQUENCES))
         self.words = regex.compile(r"[\p{L}\p{M}\p{N}]+")
         self.latin = {ord(a): k for k, v in LOOKALIKES.items() for a in v}
         self.kannada = {o: o + 0x80 for o in range(0xC00, 0xC80)}
@@ -47,7 +48,7 @@ class Folder:
                 word = word if self.stand_in.search(plain) else plain
             if self.mixed.search(word):
                 word = word.translate(self.kannada)
-            word = unicodedata.normalize("NFC", word)
+            word = self.vowels.sub(lambda m: SEQUENCES[m.group()], unicodedata.normalize("NFC", word))
         return word.casefold()
 
     def places(self, text: str) -> tuple[list[str], list[tuple[int, int]], str]:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaktavya.llm import bpe, digest, languages, leakage, personal, stuffing, survivors, unify
+from vaktavya.llm.sql import SQL
 from vaktavya.plans.session import spread
 from vaktavya.sources.tables import table
 
+__all__ = ["QUERIES", "SQL"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -70,6 +73,24 @@ def p5_total(spark: SparkSession, folder: str) -> DataFrame:
     return digest.quantiles(digest.merge_digests(days, keys), keys, 2)
 
 
+def p5_coarse(spark: SparkSession, folder: str, k: int = 440) -> DataFrame:
+    """Per language, whether the percentiles of digests of few nodes, combined from those of the days, keep the rank error that they state."""
+    rows = digest.latencies(table(spark, folder, "predictions"), table(spark, folder, "release"))
+    keys = ["language"]
+    merged = digest.merge_digests(digest.build_digests(rows, "latency_ms", ["language", "day"], k), keys, k)
+    found = digest.quantiles(merged, keys, 2, k)
+    # a leaf holds values that are told apart by less than its width
+    leaf = 2.0**-digest.MANTISSA_BITS
+    ranked = rows.select("language", "latency_ms").join(found, "language")
+    low = {q: F.sum((F.col("latency_ms") < F.col(q) * (1 - leaf)).cast("bigint")) for q in digest.QUANTILES}
+    high = {q: F.sum((F.col("latency_ms") <= F.col(q) * (1 + leaf)).cast("bigint")) for q in digest.QUANTILES}
+    slack = F.first("rank_error") * F.first("n") + 1
+    kept = F.lit(True)
+    for q, share in digest.QUANTILES.items():
+        kept = kept & (low[q] - slack <= share * F.first("n")) & (high[q] + slack >= share * F.first("n"))
+    return ranked.groupBy("language").agg(F.first("n").alias("n"), kept.alias("kept"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The texts that hold something that looks like its plain spelling but isn't."""
     texts = spoken_texts(spark, folder).where(F.col("text").isNotNull())
@@ -110,34 +131,5 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_languages, p3_found, p3_survivors, p5_daily, p5_total, p6_found, p6_unified, p8_ids, p9_found, p9_clean, p10_found, p10_shares)
-}
-
-_PLAIN_ID = r"""
-    CASE WHEN regexp_matches(trim(utterance_id, E' \t\n'), '(?i)(^|/)c[0-9]+[_ -]t[0-9]+([.][a-z0-9]+)?$')
-    THEN 'c' || lpad(c, CAST(greatest(length(c), 8) AS INTEGER), '0') || '_t' || lpad(t, CAST(greatest(length(t), 4) AS INTEGER), '0')
-    ELSE trim(utterance_id, E' \t\n') END
-"""
-
-SQL: dict[str, str] = {
-    "p3_found": rf"""
-        WITH parts AS (
-            SELECT *, ltrim(regexp_extract(utterance_id, '(?i)c([0-9]+)[_ -]t[0-9]+', 1), '0') AS c0,
-                ltrim(regexp_extract(utterance_id, '(?i)c[0-9]+[_ -]t([0-9]+)', 1), '0') AS t0
-            FROM predictions WHERE utterance_id IS NOT NULL AND provider IS NOT NULL
-        ), plain AS (
-            SELECT row_id, provider, prediction, latency_ms, status, written_at,
-                CASE WHEN c0 = '' THEN '0' ELSE c0 END AS c, CASE WHEN t0 = '' THEN '0' ELSE t0 END AS t, utterance_id
-            FROM parts
-        ), ranked AS (
-            SELECT row_id, provider, latency_ms, {_PLAIN_ID} AS id,
-                coalesce(lower(trim(status)) IN ('success', 'ok'), false) AND coalesce(regexp_matches(prediction, '[^\s\p{{Z}}\p{{Cf}}]'), false) AS done, written_at
-            FROM plain
-        ), ordered AS (
-            SELECT *, row_number() OVER (PARTITION BY id, provider ORDER BY done DESC, written_at DESC NULLS LAST, row_id DESC) AS r FROM ranked
-        )
-        SELECT id AS utterance_id, provider, CAST(min_by(row_id, r) AS BIGINT) AS prediction_row,
-            CAST(coalesce(min_by(row_id, r) FILTER (WHERE latency_ms > 0), -1) AS BIGINT) AS latency_row
-        FROM ordered GROUP BY id, provider HAVING count(*) > 1
-    """,
+    for f in (p1_found, p1_redacted, p2_found, p2_languages, p3_found, p3_survivors, p5_daily, p5_total, p5_coarse, p6_found, p6_unified, p8_ids, p9_found, p9_clean, p10_found, p10_shares)
 }

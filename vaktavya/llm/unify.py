@@ -22,6 +22,16 @@ LOOKALIKES = {
 #: Blocks whose letters stand in for Latin ones; two scripts that share letter shapes, 0x80 apart.
 STAND_IN = r"\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{0530}-\x{058F}\x{13A0}-\x{13FF}\x{0261}\x{1D22}\x{15AF}"
 TELUGU, KANNADA = r"\x{0C00}-\x{0C7F}", r"\x{0C80}-\x{0CFF}"
+#: Vowels that are put together of a letter and a sign, or of two signs, and the single character that looks the same.
+SEQUENCES = {
+    "अा": "आ", "अॆ": "ऄ", "उु": "ऊ", "एॅ": "ऍ", "एॆ": "ऎ", "एे": "ऐ", "अॉ": "ऑ", "आॅ": "ऑ", "अॊ": "ऒ", "आॆ": "ऒ", "अो": "ओ", "आे": "ओ", "अौ": "औ", "आै": "औ",
+    "अॅ": "ॲ", "ाॅ": "ॉ", "ाॆ": "ॊ", "ाे": "ो", "ाै": "ौ",
+    "অা": "আ", "ঋৃ": "ৠ", "ঌৢ": "ৡ",
+    "અા": "આ", "અૅ": "ઍ", "અે": "એ", "અૈ": "ઐ", "અૉ": "ઑ", "આૅ": "ઑ", "અો": "ઓ", "આે": "ઓ", "અૌ": "ઔ", "આૈ": "ઔ", "ાૅ": "ૉ", "ાે": "ો", "ાૈ": "ૌ",
+    "ఒౕ": "ఓ", "ఒౌ": "ఔ",
+    "ಉಾ": "ಊ", "ಋಾ": "ೠ", "ಒೌ": "ಔ",
+    "ഇൗ": "ഈ", "ഉൗ": "ഊ", "എെ": "ഐ", "ഒാ": "ഓ", "ഒൗ": "ഔ",
+}
 #: Characters without a shape, blanks of other widths, hyphens that look like the plain one.
 INVISIBLE = (
     r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}"
@@ -31,6 +41,10 @@ BLANKS = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F,
 HYPHENS = "‐‑﹣－"
 
 
+#: Bytes of text that DuckDB sees at a time.
+BATCH_BYTES = 8_000_000
+
+
 @cache
 def viramas() -> str:
     """Signs that join Indic letters: combining class 9."""
@@ -72,17 +86,20 @@ def setup_sql() -> list[str]:
     """DuckDB macros; ``unified(t)`` is the whole mapping."""
     froms = "".join(v for v in LOOKALIKES.values())
     tos = "".join(k * len(v) for k, v in LOOKALIKES.items())
-    one, plain, many = compatibility()
-    single = [(a, b) for a, b in zip(one, plain, strict=True)]
+    first, plain, many = compatibility()
+    single = [(a, b) for a, b in zip(first, plain, strict=True)]
     listed = ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in [*single, *many.items()])
     upper = "".join(chr(o) for o in range(0xC00, 0xC80))
     lower = "".join(chr(o + 0x80) for o in range(0xC00, 0xC80))
+    pairs = "t"
+    for pair, one in SEQUENCES.items():
+        pairs = f"replace({pairs}, '{pair}', '{one}')"
     count = lambda cls: f"len(regexp_replace(w, '[^{cls}]', '', 'g'))"
     return [
         f"SET VARIABLE forms = MAP {{{listed}}}",
         f"CREATE MACRO shown(t) AS regexp_replace(t, '([{_class(viramas())}][\\x{{200C}}\\x{{200D}}])|[{INVISIBLE}]', '\\1', 'g')",
         f"CREATE MACRO spaced(t) AS translate(t, {_quoted(BLANKS + HYPHENS)}, {_quoted(' ' * len(BLANKS) + '-' * len(HYPHENS))})",
-        f"CREATE MACRO plainly(t) AS CASE WHEN regexp_matches(t, '[{_class(one + ''.join(many))}]') THEN "
+        f"CREATE MACRO plainly(t) AS CASE WHEN regexp_matches(t, '[{_class(first + ''.join(many))}]') THEN "
         "array_to_string(list_transform(string_split(t, ''), lambda c: coalesce(getvariable('forms')[c], c)), '') ELSE t END",
         f"CREATE MACRO latin(w) AS CASE WHEN regexp_matches(w, '[{STAND_IN}]') AND NOT regexp_matches(translate(w, {_quoted(froms)}, {_quoted(tos)}), '[{STAND_IN}]') "
         f"THEN translate(w, {_quoted(froms)}, {_quoted(tos)}) ELSE w END",
@@ -90,7 +107,8 @@ def setup_sql() -> list[str]:
         f"CASE WHEN {count(TELUGU)} > {count(KANNADA)} THEN translate(w, {_quoted(lower)}, {_quoted(upper)}) ELSE translate(w, {_quoted(upper)}, {_quoted(lower)}) END ELSE w END",
         f"CREATE MACRO own(t) AS CASE WHEN regexp_matches(t, '[{STAND_IN}]|[{TELUGU}][{KANNADA}]|[{KANNADA}][{TELUGU}]') THEN "
         "array_to_string(list_transform(string_split(t, ' '), lambda w: twin(latin(w))), ' ') ELSE t END",
-        "CREATE MACRO unified(t) AS nfc_normalize(own(plainly(spaced(shown(t)))))",
+        f"CREATE MACRO whole(t) AS CASE WHEN regexp_matches(t, '{'|'.join(SEQUENCES)}') THEN {pairs} ELSE t END",
+        "CREATE MACRO unified(t) AS whole(nfc_normalize(own(plainly(spaced(shown(t))))))",
     ]
 
 
@@ -98,12 +116,24 @@ def connection():
     """An in-memory DuckDB of one thread with the macros."""
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    # without a folder to spill to: batches are small, and a worker's own disk isn't to be used
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     for sql in setup_sql():
         con.execute(sql)
     return con
 
 
+def _bounded(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most BATCH_BYTES of text, one row at least."""
+    if batch.num_rows < 2 or sum(batch.column(c).nbytes for c in columns) <= BATCH_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        for part in (batch.slice(0, half), batch.slice(half)):
+            # a slice counts the bytes of its own rows only
+            yield from _bounded(part, columns)
+
+
 def unify(df: DataFrame, *columns: str, suffix: str = "_unified") -> DataFrame:
     """``df`` with a column ``<name>_unified`` for each of ``columns``: the one form of texts that look alike.
 
@@ -111,7 +141,7 @@ def unify(df: DataFrame, *columns: str, suffix: str = "_unified") -> DataFrame:
     become U+0020; tabs and line breaks stay. Compatibility and full-width forms become plain ones,
     hyphens that look plain become ``-``. A word whose letters of a stand-in script all look like
     Latin ones becomes Latin; words that mix Telugu and Kannada take the script of more of their
-    characters (Kannada in ties). The result is in NFC. Two texts are equal then and only then
+    characters (Kannada in ties). Indic vowels put together of parts become the one letter or sign. The result is in NFC. Two texts are equal then and only then
     if they agree in all else; a text that has its one form comes back as it is.
 
     Null stays null, empty stays empty. Row order, other columns and repeats stay. A column of ``df``
@@ -122,7 +152,7 @@ def unify(df: DataFrame, *columns: str, suffix: str = "_unified") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = connection()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _bounded(whole, columns)):
             texts = pa.table({f"c{i}": batch.column(c).cast(pa.large_string()) for i, c in enumerate(columns)})
             con.register("texts", texts)
             wanted = ", ".join(f"unified(c{i}) AS c{i}" for i in range(len(columns)))
