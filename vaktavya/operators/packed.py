@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaktavya.plans.session import settled
+
 #: Marks that part values. A comma between digits and a slash inside a word don't.
 DELIMITERS = {
     "comma": r"(?<!\d),|,(?!\d)|[，、،]",
@@ -126,7 +128,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unpack(df: DataFrame, key: str, field: str, value: str = "value") -> DataFrame:
     """One row (``key``, ``pos``, ``value``) per value in ``field``; ``pos`` counts from 1, repeats stay.
 
-    Each distinct cell is parsed in every dialect that its marks allow. A parse costs the code
+    Each distinct cell is parsed once, in every dialect that its marks allow; the parses are kept in the checkpoint folder. A parse costs the code
     lengths of its values, -log2 of a value's share in all parses of the corpus plus its spelling
     spread over its occurrences, and the bits of delimiters or quotes left loose inside values. The
     cheapest parse wins, the finer one in ties. Cells with one possible parse skip the scoring; the
@@ -139,26 +141,23 @@ def unpack(df: DataFrame, key: str, field: str, value: str = "value") -> DataFra
     bare = F.lower(F.regexp_replace("_cell", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     rows = rows.where(F.col("_cell").isNotNull() & ~bare.isin(*EMPTY_CELLS))
     cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    parsed = cells.mapInPandas(
-        _parsed, "_cell string, _rows long, _choices int, _pick int, _values array<string>, _bits double"
-    )
+    # parsed once; counts, prices and choices read what is kept
+    parsed = settled(cells.mapInPandas(_parsed, "_cell string, _rows long, _choices int, _pick int, _values array<string>, _bits double"))
     counted = parsed.select("_rows", F.explode("_values").alias("_value")).groupBy("_value").agg(F.sum("_rows").alias("_n"))
-    unsure = parsed.where("_choices > 1")
-    total = counted.agg(F.sum("_n")).scalar()
-    spelled = F.length("_value") * CHAR_BITS
+    total = parsed.agg(F.sum(F.col("_rows") * F.size("_values"))).scalar()
+    code = F.log2(total / F.col("_n")) + F.length("_value") * CHAR_BITS / F.col("_n")
+    # from here on everything of a cell stays in one partition, up to the join with the rows
     priced = (
-        unsure.select("_cell", "_pick", F.explode("_values").alias("_value"))
-        .join(counted, "_value")
-        .groupBy("_cell", "_pick")
-        .agg(F.sum(F.log2(total / F.col("_n")) + spelled / F.col("_n")).alias("_code"))
-    )
-    scored = unsure.join(priced, ["_cell", "_pick"], "left")
-    cost = F.coalesce("_code", F.lit(0.0)) + F.col("_bits")
-    chosen = (
-        scored.groupBy("_cell")
-        .agg(F.min_by("_values", F.struct(cost, F.col("_pick"))).alias("_values"))
-        .unionByName(parsed.where("_choices = 1").select("_cell", "_values"))
+        parsed.where("_choices > 1")
+        .select("_cell", "_pick", "_bits", F.posexplode_outer("_values").alias("_pos", "_value"))
+        .join(counted, "_value", "left")
+        .select("_cell", "_pick", "_bits", "_pos", "_value", code.alias("_code"))
+        .repartition("_cell")
     )
+    whole = F.transform(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_value")))), lambda x: x["_value"])
+    scored = priced.groupBy("_cell", "_pick").agg((F.coalesce(F.sum("_code"), F.lit(0.0)) + F.first("_bits")).alias("_cost"), whole.alias("_values"))
+    chosen = scored.groupBy("_cell").agg(F.min_by("_values", F.struct("_cost", "_pick")).alias("_values"))
+    chosen = chosen.unionByName(parsed.where("_choices = 1").select("_cell", "_values"))
     return (
         rows.join(chosen, "_cell")
         .select(F.col("_key").alias(key), F.posexplode("_values").alias("_pos", value))

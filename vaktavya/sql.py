@@ -19,6 +19,17 @@ _SOUND = ",".join(
     ]
 )
 
+_PARTS = r"[,，、،;；|｜\r\n\t•·‣▪●\x02]"
+_BARE = r"regexp_replace(keywords, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_NO_WRAP = rf"CASE WHEN regexp_full_match({_BARE}, '(?s)\[.*\]|\(.*\)|\{{.*\}}|<.*>') THEN {_BARE}[2:-2] ELSE {_BARE} END"
+_COMMAS = r"'(\d),(\d)', '\1' || chr(1) || '\2', 'g'"
+#: A cell without brackets; commas between digits are hidden, slashes beside a blank marked.
+_HIDDEN = rf"regexp_replace(regexp_replace(regexp_replace({_NO_WRAP}, {_COMMAS}), {_COMMAS}), '(\s)/|/(\s)', '\1' || chr(2) || '\2', 'g')"
+_QUOTES = r"""“[^”]*”|‘[^’]*’|«[^»]*»|`[^`]*`|''(?:[^'']|'''')*''"""
+_ITEM = rf"""[\s\p{{Z}}]*("(?:[^"]|"")*"|{_QUOTES}|[^{_PARTS[1:-1]}]*)[\s\p{{Z}}]*{_PARTS}"""
+#: An item without its quotes.
+_TAKEN = rf"""CASE WHEN regexp_full_match(x, '(?s)".+"') THEN replace(x[2:-2], '""', '"') WHEN regexp_full_match(x, '(?s){_QUOTES}') AND length(x) > 1 THEN x[2:-2] ELSE x END"""
+
 _QUOTED = r"""([^"\r\n,]*|"([^"]|"")*")([,\r\n]([^"\r\n,]*|"([^"]|"")*"))*"""
 #: The fields of a record, quotes taken off.
 _RECORDS = r"""(
@@ -214,6 +225,12 @@ _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS)
 _CODES = "list_sort(list_distinct(list_filter(string_split(translate(lower(trim(coalesce(language_tag, ''))), '_', '-'), '-'), lambda c: c <> '')))"
 _CODE = "lower(trim(coalesce(language, '')))"
 SQL: dict[str, str] = {
+    "p4_found": f"""
+        WITH cells AS (SELECT DISTINCT utterance_id, keywords, {_HIDDEN} AS h FROM release WHERE keywords IS NOT NULL AND lower({_BARE}) NOT IN ('', 'nan', 'none')),
+        cut AS (SELECT utterance_id, list_transform(regexp_extract_all(h || ',', '{_ITEM}', 1), lambda x: trim(x)) AS l FROM cells),
+        taken AS (SELECT utterance_id, list_filter(list_transform(l, lambda x: trim(replace(replace({_TAKEN}, chr(1), ','), chr(2), '/'))), lambda x: x <> '') AS l FROM cut)
+        SELECT DISTINCT utterance_id, pos, l[pos] AS keyword FROM (SELECT utterance_id, l, unnest(range(1, len(l) + 1)) AS pos FROM taken)
+    """,
     "p7_found": f"""
         SELECT DISTINCT line_id FROM raw_predictions
         WHERE raw_line IS NULL OR NOT regexp_full_match(raw_line, '{_SOUND}')
