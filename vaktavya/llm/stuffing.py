@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,8 @@ FUNCTION_WORDS = {
 }
 
 _LINK = re.compile(r"(?i)(?:[a-z][a-z0-9+.-]*://|www\.)\S+|(?<![\w@.])[a-z0-9][\w-]*(?:\.[\w-]+)*\.[a-z]{2,12}(?:/\S*|(?=\)))|(?<![\w@.])[a-z0-9][\w-]*(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|info|io)(?![\w.])")
+#: What every link has.
+_DOTTED = re.compile(r"\w\.\w|://")
 _TAG = re.compile(r"(?<!\S)#[^\s#]+")
 _MARKUP = re.compile(r"</?\w[^>]*>")
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)", re.S)
@@ -92,7 +95,7 @@ _NEEDED = Needed()
 
 def replace_links(text: str, by: str) -> str:
     """A text with ``by`` in place of its links."""
-    return _LINK.sub(by, text) if "." in text else text
+    return _LINK.sub(by, text) if _DOTTED.search(text) else text
 
 
 def terms(text: str) -> list[str]:
@@ -174,32 +177,43 @@ def is_list(found: list[str], breaks: int = 0, sentence: bool = False) -> bool:
     n = len(found)
     if n < 8:
         return bool(found) and all(t in _CLASSES for t in found)
-    needed = needed_share(found)
-    kinds = Counter(t for t in found if t in _MARKS or t in _CLASSES)
-    said = n - sum(c for m, c in kinds.items() if m in _MARKS)
-    # no sentence is long without a function word; shorter rows of nouns are told by what parts them
-    if needed < NEEDED and said >= (2 * ROW if sentence else ROW):
+    needed, far = needed_share(found), recurrence(found)
+    if needed < NEEDED:
+        kinds = Counter(t for t in found if t in _MARKS or t in _CLASSES)
+        said = n - sum(c for m, c in kinds.items() if m in _MARKS)
+        # no sentence is long without a function word; shorter rows of nouns are told by what parts them
+        if said >= (2 * ROW if sentence else ROW):
+            return True
+        if sentence:
+            if said >= LONG and max(kinds.values(), default=0) >= SENTENCE_MARKS * n:
+                return True
+        elif sum(kinds.values()) >= MARKS * n or sum(kinds.values()) + breaks >= BREAKS * (n + breaks):
+            return True
+    # few terms that recur anywhere leave fewer that recur nearby
+    if far < REGULAR_RECURS:
+        return False
+    near = recurrence(found, LAG)
+    if near >= RECURS:
         return True
-    if needed < NEEDED and sentence and said >= LONG and max(kinds.values(), default=0) >= SENTENCE_MARKS * n:
+    if (far if needed < FAR_NEEDED else near) >= REGULAR_RECURS and autocorrelation(found) >= REGULAR:
         return True
-    if needed < NEEDED and not sentence and (sum(kinds.values()) >= MARKS * n or sum(kinds.values()) + breaks >= BREAKS * (n + breaks)):
-        return True
-    if recurrence(found, LAG) >= RECURS:
-        return True
-    far = recurrence(found)
-    regular = autocorrelation(found) if far >= REGULAR_RECURS else 0.0
     if needed >= FAR_NEEDED:
-        return recurrence(found, LAG) >= REGULAR_RECURS and regular >= REGULAR
-    if far >= REGULAR_RECURS and regular >= REGULAR:
-        return True
+        return False
     # long prose recurs too, but half of its words stand once
     count = Counter(found)
     return far >= RECURS and n > 2 * LAG and sum(c == 1 for c in count.values()) <= ONCE * len(count)
 
 
-def one_phrase(run: list[str]) -> list[str]:
+class Unit(NamedTuple):
+    """A piece of text and its words."""
+
+    text: str
+    size: int
+
+
+def one_phrase(run: list[Unit]) -> list[Unit]:
     """The sentences of a run that say few terms again and again: without function words, nearly all their terms near an equal one, few of them different."""
-    cut = [terms(u) for u in run]
+    cut = [terms(u.text) for u in run]
     near = iter(near_terms([t for c in cut for t in c]))
     shares = [sum(next(near) for _ in c) / max(1, len(c)) for c in cut]
     alike = [i for i, c in enumerate(cut) if shares[i] >= SENTENCES_RECUR and needed_share(c) < FAR_NEEDED]
@@ -243,13 +257,13 @@ def turns(text: str) -> list[tuple[bool, str]]:
     return out
 
 
-def parts_of(text: str) -> tuple[list[list[str]], list[list[str]], list[str]]:
+def parts_of(text: str) -> tuple[list[list[Unit]], list[list[Unit]], list[Unit]]:
     """Runs of loose stretches, runs of sentences, and turns: whatever stands between two of one kind ends their run."""
-    loose: list[list[str]] = [[]]
-    sentences: list[list[str]] = [[]]
-    said: list[str] = []
+    loose: list[list[Unit]] = [[]]
+    sentences: list[list[Unit]] = [[]]
+    said: list[Unit] = []
 
-    def end(runs: list[list[str]]) -> None:
+    def end(runs: list[list[Unit]]) -> None:
         if runs[-1]:
             runs.append([])
 
@@ -257,53 +271,52 @@ def parts_of(text: str) -> tuple[list[list[str]], list[list[str]], list[str]]:
         start = 0
         if turn:
             if line.strip():
-                said.append(line)
+                said.append(Unit(line, words(line)))
             end(loose)
             end(sentences)
             continue
         for mark in _END.finditer(line):
             piece = line[start : mark.end()]
             start = mark.end()
-            plain = replace_links(piece, "")
-            if _ANCHOR.search(piece) or (plain != piece and words(plain) < 0.5 * words(piece)):
-                loose[-1].append(piece)
+            size, plain = words(piece), replace_links(piece, "")
+            if _ANCHOR.search(piece) or (plain != piece and words(plain) < 0.5 * size):
+                loose[-1].append(Unit(piece, size))
             else:
-                sentences[-1].append(piece)
+                sentences[-1].append(Unit(piece, size))
                 end(loose)
-        if line[start:].strip():
-            loose[-1].append(line[start:])
+        rest = line[start:]
+        if rest.strip():
+            loose[-1].append(Unit(rest, words(rest)))
             end(sentences)
     return [r for r in loose if r], [r for r in sentences if r], said
 
 
-def _listed(units: list[str]) -> int:
-    """Words of the long units that are lists."""
-    return sum(n for n, u in ((words(u), u) for u in units) if n >= LONG and is_list(terms(u), sentence=True))
-
-
 def stuffed_share(text: str | None) -> tuple[float, float, float]:
-    """Share of words in lists, and recurrence and autocorrelation of the terms outside of ordinary sentences and turns."""
+    """Share of words in lists, and recurrence and autocorrelation of the terms of loose stretches and of other lists."""
     loose, sentences, said = parts_of(text or "")
-    total = sum(words(u) for run in (*loose, *sentences, said) for u in run)
+    total = sum(u.size for run in (*loose, *sentences, said) for u in run)
     if not total:
         return 0.0, 0.0, 0.0
-    known = _listed(said)
+    long = lambda units: [u for u in units if u.size >= LONG and is_list(terms(u.text), sentence=True)]
     # turns of speakers may be short and alike; rows of other sentences may not
+    listed = long(said)
     for run in sentences:
-        alike = one_phrase(run) if sum(map(words, run)) >= LAG else []
-        known += sum(map(words, alike)) + _listed([u for u in run if u not in alike] if alike else run)
-    found = terms("\n".join(u for run in loose for u in run))
+        alike = one_phrase(run) if sum(u.size for u in run) >= LAG else []
+        listed += alike + long([u for u in run if u not in alike] if alike else run)
+    known = sum(u.size for u in listed)
+    free = [u for run in loose for u in run]
+    found = terms("\n".join(u.text for u in free))
     if found and is_list(found):
-        known += sum(words(u) for run in loose for u in run)
+        known += sum(u.size for u in free)
     else:
         # a list may stand among lines that aren't one: judge runs of lines on their own, and lines of other runs
         for run in loose:
-            if is_list(terms("\n".join(run)), breaks=len(run) - 1):
-                known += sum(map(words, run))
+            if is_list(terms("\n".join(u.text for u in run)), breaks=len(run) - 1):
+                known += sum(u.size for u in run)
             elif len(run) > 1:
-                known += sum(words(u) for u in run if is_list(terms(u)))
-    shown = found or terms(text)
-    return known / total, recurrence(shown) if shown else 0.0, autocorrelation(shown) if shown else 0.0
+                known += sum(u.size for u in run if is_list(terms(u.text)))
+    shown = found + [t for u in listed for t in terms(u.text)]
+    return (known / total, recurrence(shown), autocorrelation(shown)) if shown else (known / total, 0.0, 0.0)
 
 
 def stuffing(df: DataFrame, key: str, text: str) -> DataFrame:
