@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,20 @@ FILTER_BITS = 1 << 29
 FACTOR = 0x9E3779B97F4A7C15
 
 
+class Forms(dict):
+    """Forms of words met so far."""
+
+    def __init__(self, form: Callable[[str], str]) -> None:
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        found = self[word] = self.form(word)
+        return found
+
+
 class Folder:
     """Words of a text, without what p6 takes for looks: case, punctuation, blanks, invisible characters, look-alikes."""
 
@@ -38,6 +52,7 @@ class Folder:
         self.words = regex.compile(r"[\p{L}\p{M}\p{N}]+")
         self.latin = {ord(a): k for k, v in LOOKALIKES.items() for a in v}
         self.kannada = {o: o + 0x80 for o in range(0xC00, 0xC80)}
+        self.known = Forms(self.word)
 
     def word(self, word: str) -> str:
         """One word's form."""
@@ -51,15 +66,15 @@ class Folder:
             word = self.vowels.sub(lambda m: SEQUENCES[m.group()], unicodedata.normalize("NFC", word))
         return word.casefold()
 
-    def places(self, text: str) -> tuple[list[str], list[tuple[int, int]], str]:
-        """Words, where they stand in the text without invisible characters, and that text."""
+    def said(self, text: str) -> tuple[list[str], str]:
+        """Words of a text, and the text without invisible characters that they stand in."""
         if not text.isascii():
             text = self.unseen.sub("", text)
-        words, places = [], []
-        for m in self.words.finditer(text):
-            words.append(self.word(m.group()))
-            places.append(m.span())
-        return words, places, text
+        return [self.known[w] for w in self.words.findall(text)], text
+
+    def places(self, plain: str) -> list[tuple[int, int]]:
+        """Where the words stand in a text without invisible characters."""
+        return [m.span() for m in self.words.finditer(plain)]
 
 
 def windows(words: list[str], n: int = WORDS) -> Iterator[str]:
@@ -92,7 +107,7 @@ class Hashes(dict):
 def _grams(items: list[tuple[int, str | None]], n: int) -> dict[str, tuple[int, ...]]:
     fold, found = Folder(), defaultdict(set)
     for item, text in items:
-        for gram in windows(fold.places(text or "")[0], n):
+        for gram in windows(fold.said(text or "")[0], n):
             found[gram].add(item)
     return {g: tuple(sorted(i)) for g, i in found.items()}
 
@@ -146,7 +161,7 @@ def leaks(
             for pdf in batches:
                 rows = []
                 for doc, body in zip(pdf["_key"], pdf["_text"], strict=True):
-                    words, places, plain = fold.places(body)
+                    words, plain = fold.said(body)
                     hashed = seen.of_windows(words, n)
                     if not len(sought) or not len(hashed):
                         continue
@@ -161,7 +176,7 @@ def leaks(
                         if items:
                             starts.append(i)
                     if hits:
-                        left = without_spans(plain, places, starts, n)
+                        left = without_spans(plain, fold.places(plain), starts, n)
                         rows += [(doc, item, count, left) for item, count in sorted(hits.items())]
                 yield pd.DataFrame(rows, columns=[key, item_key, "n_windows", "clean_text"])
 
@@ -186,7 +201,7 @@ def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int,
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["_item"], pdf["_passage"], strict=True):
-                words = fold.places(t)[0]
+                words = fold.said(t)[0]
                 rows += zip([k] * len(words), seen.of_windows(words, n).view(np.int64).tolist(), windows(words, n), strict=False)
             yield pd.DataFrame(rows, columns=["_item", "_h", "_gram"])
 
@@ -201,7 +216,7 @@ def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int,
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["_id"], pdf["_text"], strict=True):
-                words = fold.places(t)[0]
+                words = fold.said(t)[0]
                 hashed = seen.of_windows(words, n)
                 place = (hashed & np.uint64(bits - 1)).astype(np.int64)
                 kept = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).tolist()
@@ -213,8 +228,8 @@ def _joined(docs: DataFrame, wanted: DataFrame, key: str, item_key: str, n: int,
         for pdf in batches:
             rows = []
             for doc, body, hits in zip(pdf["_key"], pdf["_text"], pdf["_hits"], strict=True):
-                _, places, plain = fold.places(body)
-                left = without_spans(plain, places, sorted({i for h in hits for i in h["places"]}), n)
+                plain = fold.said(body)[1]
+                left = without_spans(plain, fold.places(plain), sorted({i for h in hits for i in h["places"]}), n)
                 rows += [(doc, h["_item"], len(h["places"]), left) for h in hits]
             yield pd.DataFrame(rows, columns=[key, item_key, "n_windows", "clean_text"])
 
