@@ -151,7 +151,8 @@ def _token_of(raw: str) -> Token:
     bare = form.strip(".,;:?!।॥\"'”’“‘")
     low = bare.lower()
     sound = sound_of(low)
-    return Token(form, bare, low, sound, form[-1:] in ".,;:?!।॥", _SPELLED.get(low, 0) | _SOUNDED.get(sound, 0), _uses(form, bare, low))
+    leads = _LEADS if low in _NAME_PHRASES or sound in _NAME_PHRASES else 0
+    return Token(form, bare, low, sound, form[-1:] in ".,;:?!।॥", _SPELLED.get(low, 0) | _SOUNDED.get(sound, 0), _uses(form, bare, low) | leads)
 
 
 class Tokens(dict):
@@ -402,10 +403,12 @@ def _names(tokens: list[Token], given: frozenset[str], surnames: frozenset[str])
     n = len(tokens)
     common, thing, before_thing, after_name = (_MARKS[m] for m in ("common", "thing", "before_thing", "after_name"))
     for i, t in enumerate(tokens[:-1]):
-        led = _phrase(tokens, i, _NAME_PHRASES)
-        indic = not t.bare.isascii()
+        led = i > 0 and bool(tokens[i - 1].uses & _LEADS) and _phrase(tokens, i, _NAME_PHRASES)
         upper = t.bare[:1].isupper()
-        if not led and t.low not in given and t.low not in surnames and (indic or not upper):
+        if not led and not upper and t.low not in given and t.low not in surnames:
+            continue
+        indic = not t.bare.isascii()
+        if indic and not led:
             continue
         for end in (i + 2, i + 3):
             if end > n or tokens[i].stop and tokens[i].form[-1] in ",?!;":
@@ -626,7 +629,7 @@ def trained() -> dict[str, float]:
 
 
 #: What a token may begin or be part of; generators of candidates that lack a needed one have none in a text.
-_AT, _SAID_AT, _DOT, _NUMBER, _OPENS, _HOUSE = (1 << k for k in range(6))
+_AT, _SAID_AT, _DOT, _NUMBER, _OPENS, _HOUSE, _LEADS = (1 << k for k in range(7))
 #: Characters of the shortest number that is a candidate.
 LEAST_NUMBER = 7
 
