@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +31,12 @@ _NONE = 1 << 30
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Bytes and ranks of a rank file."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) if a}
+    return ranks_of(Path(path).read_bytes())
+
+
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """Bytes and ranks of the lines of a rank file."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -91,10 +96,10 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Texts to ids, with a memory of pieces."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         import regex
 
-        self.ranks = load_ranks(path)
+        self.ranks = ranks
         self.pieces = regex.compile(PATTERN).finditer
         self.known: dict[str, list[int]] = {}
 
@@ -122,13 +127,15 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     """Rows (``key``, ids) of every text, whole and without special tokens; their strings are ordinary text.
 
     A null text and an empty one both have no ids (an empty list, not null). Repeated rows stay,
-    null keys too. The vocabulary file must be at the same path on every executor.
+    null keys too. The driver reads the vocabulary, a file of bounded size, and sends it to the executors.
     """
     path = os.path.join(folder, vocabulary)
     kind = dict(df.dtypes)[key]
 
+    content = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(ranks_of(content.value)))
         for pdf in batches:
             yield pd.DataFrame({"_key": pdf["_key"], "ids": [encoder.encode(t) for t in pdf["_text"]]})
 

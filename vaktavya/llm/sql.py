@@ -57,6 +57,25 @@ _FROM, _TO = "".join(unify.LOOKALIKES.values()), "".join(k * len(v) for k, v in
 _STANDS_IN = f"(regexp_matches(w, '[{unify.STAND_IN}]') AND NOT regexp_matches(translate(w, '{_FROM}', '{_TO}'), '[{unify.STAND_IN}]'))"
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 
+_WHOLE = "n"
+for _pair, _one in unify.SEQUENCES.items():
+    _WHOLE = f"replace({_WHOLE}, '{_pair}', '{_one}')"
+_ONE, _PLAIN = unify.compatibility()[:2]
+_TE, _KN = ("".join(map(chr, range(z, z + 0x80))) for z in (0xC00, 0xC80))
+_COUNT = lambda cls: f"len(regexp_extract_all(w, '[{cls}]'))"
+_TWIN = f"""CASE WHEN {_COUNT(unify.TELUGU)} > 0 AND {_COUNT(unify.KANNADA)} >= {_COUNT(unify.TELUGU)} THEN translate(w, '{_TE}', '{_KN}')
+    WHEN {_COUNT(unify.KANNADA)} > 0 AND {_COUNT(unify.TELUGU)} > 0 THEN translate(w, '{_KN}', '{_TE}') ELSE w END"""
+
+#: Words of documents (0) and items (1), and the documents' texts without invisible characters.
+_SAID = f"""
+    texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 1, item_id, text FROM eval_items WHERE text IS NOT NULL),
+    bare AS (SELECT kind, id, regexp_replace(text, '[{unify.INVISIBLE}]', '', 'g') AS shown FROM texts),
+    plain AS (SELECT kind, id, shown, replace(replace(translate(shown, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl') AS t FROM bare),
+    said AS (
+        SELECT kind, id, shown, list_transform(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: CASE WHEN {_STANDS_IN} THEN translate(w, '{_FROM}', '{_TO}') ELSE w END), lambda w: lower(nfc_normalize(w))) AS l
+        FROM plain
+    )"""
+
 SQL: dict[str, str] = {
     "p3_found": f"""
         WITH {_RANKED}
@@ -82,14 +101,37 @@ SQL: dict[str, str] = {
         SELECT DISTINCT source_table, record_id FROM texts WHERE regexp_matches(t, '{_UNPLAIN}') OR t <> nfc_normalize(t)
             OR len(list_filter(string_split(t, ' '), lambda w: {_STANDS_IN} OR (regexp_matches(w, '[{unify.TELUGU}]') AND regexp_matches(w, '[{unify.KANNADA}]')))) > 0
     """,
-    "p9_found": f"""
-        WITH texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 1, item_id, text FROM eval_items WHERE text IS NOT NULL),
-        shown AS (SELECT kind, id, replace(replace(translate(regexp_replace(text, '[{unify.INVISIBLE}]', '', 'g'), '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl') AS t FROM texts),
-        said AS (
-            SELECT kind, id, list_transform(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: CASE WHEN {_STANDS_IN} THEN translate(w, '{_FROM}', '{_TO}') ELSE w END), lambda w: lower(nfc_normalize(w))) AS l
-            FROM shown
+    "p6_unified": f"""
+        WITH texts AS (
+            SELECT 'release' AS source_table, utterance_id AS record_id, transcription AS t FROM release
+            UNION ALL SELECT 'predictions', CAST(row_id AS VARCHAR), prediction FROM predictions
         ),
-        grams AS (SELECT DISTINCT kind, id, array_to_string(l[i:i + 9], ' ') AS g FROM (SELECT kind, id, l, unnest(range(1, len(l) - 8)) AS i FROM said))
+        shown AS (SELECT *, regexp_replace(t, '([{unify._class(_SIGNS)}][\\x{{200C}}\\x{{200D}}])|[{unify.INVISIBLE}]', '\\1', 'g') AS a FROM texts),
+        spaced AS (SELECT *, translate(a, '{unify.BLANKS + unify.HYPHENS}', '{' ' * len(unify.BLANKS) + '-' * len(unify.HYPHENS)}') AS b FROM shown),
+        plain AS (SELECT *, replace(replace(translate(b, '{_ONE.replace("'", "''")}', '{_PLAIN.replace("'", "''")}'), 'ﬁ', 'fi'), 'ﬂ', 'fl') AS c FROM spaced),
+        own AS (SELECT *, array_to_string(list_transform(list_transform(string_split(c, ' '), lambda w: CASE WHEN {_STANDS_IN} THEN translate(w, '{_FROM}', '{_TO}') ELSE w END), lambda w: {_TWIN}), ' ') AS d FROM plain),
+        composed AS (SELECT source_table, record_id, nfc_normalize(d) AS n FROM own)
+        SELECT source_table, record_id, {_WHOLE} AS text_unified FROM composed
+    """,
+    "p9_found": f"""
+        WITH {_SAID}, grams AS (SELECT DISTINCT kind, id, array_to_string(l[i:i + 9], ' ') AS g FROM (SELECT kind, id, l, unnest(range(1, len(l) - 8)) AS i FROM said))
         SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i USING (g) WHERE d.kind = 0 AND i.kind = 1
     """,
+    "p9_clean": f"""
+        WITH {_SAID}, grams AS (SELECT kind, id, i, array_to_string(l[i:i + 9], ' ') AS g FROM (SELECT kind, id, l, unnest(range(1, len(l) - 8)) AS i FROM said)),
+        items AS (SELECT DISTINCT id, g FROM grams WHERE kind = 1),
+        hits AS (SELECT d.id AS doc_id, i.id AS item_id, d.i FROM grams d JOIN items i USING (g) WHERE d.kind = 0),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 10)) AS w FROM hits),
+        -- what stands between two words goes if both are in one span or in spans that touch
+        between AS (SELECT DISTINCT a.doc_id, a.w FROM gone a JOIN gone b ON a.doc_id = b.doc_id AND b.w = a.w + 1),
+        cut AS (SELECT id AS doc_id, regexp_extract_all(shown, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+') AS l FROM said WHERE kind = 0 AND id IN (SELECT doc_id FROM hits)),
+        pieces AS (SELECT doc_id, generate_subscripts(l, 1) AS j, unnest(l) AS x FROM cut),
+        counted AS (SELECT *, regexp_matches(x, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') AS word, sum(CASE WHEN regexp_matches(x, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j) AS w FROM pieces),
+        left_ AS (
+            SELECT c.doc_id, string_agg(x, '' ORDER BY j) AS clean_text FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.w = c.w LEFT JOIN between b ON b.doc_id = c.doc_id AND b.w = c.w
+            WHERE CASE WHEN word THEN g.w IS NULL ELSE b.w IS NULL END GROUP BY c.doc_id
+        ),
+        found AS (SELECT doc_id, item_id, CAST(count(DISTINCT i) AS INTEGER) AS n_windows FROM hits GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_windows, coalesce(clean_text, '') AS clean_text FROM found LEFT JOIN left_ USING (doc_id)
+    """,
 }
