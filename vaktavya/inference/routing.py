@@ -43,7 +43,7 @@ def code_or_null(language: Column) -> Column:
 
 
 def supported_or(language: Column, supported: Collection[str], fallback: str) -> Column:
-    """The code if it is a single supported one; ``fallback`` for none, unknown ones and joined tags."""
+    """The code if it is a single supported one; ``fallback`` for none, unknown ones and joined tags. A model of one language takes that for both."""
     code = _code(language)
     return F.when(code.isin(*supported), code).otherwise(fallback)
 

@@ -42,19 +42,27 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([folder, *filter(None, known)])
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's checkpoint folder, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share: that of spark.checkpoint.dir.
 
-    The folder is that of spark.checkpoint.dir. Only a local session, as in tests, gets a temporary one where none is set; on
-    a cluster that would be a folder of one host, so a missing setting raises. The session's cleaner removes the files
-    with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    Only a local session, as in tests, gets a temporary one where none is set; on a cluster that would be a folder of one
+    host, so a missing setting raises.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (context.master or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vaktavya"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder.
+
+    The session's cleaner removes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -14,7 +14,7 @@ from vaktavya.functions.normalize import fold, nfkc, normalize, settle_spellings
 from vaktavya.inference import recognisers, routing
 from vaktavya.operators import scoring
 from vaktavya.operators.packed import unpack
-from vaktavya.plans.session import spread
+from vaktavya.plans.session import shared_folder, spread
 from vaktavya.semantic import judge, pipeline
 from vaktavya.sources import speech
 from vaktavya.sources.records import damaged_records, sound_records
@@ -354,14 +354,28 @@ def transcribed(spark: SparkSession, folder: str) -> DataFrame:
     return recognisers.transcribe(rows, audio, recognisers.Echo).select("utterance_id", "prediction", "status")
 
 
+def _stream_of_predictions(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """Predictions as a stream, and a folder of its own for what is kept of it."""
+    place = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return live.arriving(spark, f"{folder.rstrip('/')}/predictions.parquet*", table(spark, folder, "predictions")), place
+
+
 def streamed_status_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions by day and status, counted as a stream with windows over the time of writing."""
-    like = table(spark, folder, "predictions")
-    rows = live.arriving(spark, f"{folder.rstrip('/')}/predictions.parquet*", like).where("written_at IS NOT NULL")
-    counts = rows.groupBy(F.window("written_at", "1 day"), F.lower(F.trim(F.coalesce("status", F.lit("")))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    name = f"status_days_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "status", "n")
+    """Predictions by day of writing and status, counted as they arrive."""
+    arriving, place = _stream_of_predictions(spark, folder)
+    rows = arriving.where("written_at IS NOT NULL").select(
+        F.date_format("written_at", "yyyy-MM-dd").alias("day"), F.lower(F.trim(F.coalesce("status", F.lit("")))).alias("status"), F.lit(1).alias("n")
+    )
+    live.keep_sums(rows, ("day", "status"), ("n",), f"{place}/sums", f"{place}/checkpoint").awaitTermination()
+    return live.kept_sums(spark, ("day", "status"), ("n",), f"{place}/sums")
+
+
+def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of all successful attempts by recogniser and language, scored as they arrive against the release."""
+    arriving, place = _stream_of_predictions(spark, folder)
+    rows = arriving.where(speech.succeeded(F.trim("status"))).withColumn("utterance_id", plain_id(F.col("utterance_id")))
+    live.keep_totals(live.scored(rows, release_rows(spark, folder)), f"{place}/sums", f"{place}/checkpoint").awaitTermination()
+    return live.totals(spark, f"{place}/sums")
 
 
 QUERIES: dict[str, Query] = {
@@ -372,6 +386,6 @@ QUERIES: dict[str, Query] = {
         plain_word_counts, plain_wer_sets, row_counts, score_overall, score_by_provider, score_sets, call_totals, bootstrap_ci, paired_delta_ci,
         weighted_ci, mixed_unit_counts, keyword_misses,
         corpus_facts, normal_form_drift, sampled_in, question_keys, latest_answers, pending_rows, semantic_rows, semantic_score, routes,
-        status_counts, run_tallies, unfinished, transcribed, streamed_status_days,
+        status_counts, run_tallies, unfinished, transcribed, streamed_status_days, streamed_scores,
     )
 }

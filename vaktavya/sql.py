@@ -191,11 +191,13 @@ def _says(text: str) -> str:
     return f"regexp_matches({text}, '(^| )' || regexp_escape(k) || CASE WHEN {short} THEN '' ELSE '(s|es|{_SUFFIX})?' END || '( |$)')"
 
 
-_SCORED = f"""WITH {_ITEMS}
+def _scored(answers: str) -> str:
+    """Common tables up to counted: all counts of the rows of ``answers`` that answer a released utterance."""
+    return f"""WITH {_ITEMS}
     {_forms("SELECT transcription AS t FROM release UNION ALL SELECT prediction FROM predictions UNION ALL SELECT t FROM items")},
     rows_ AS (
         SELECT provider, utterance_id, call_id, language, domain, coalesce(prediction, '') AS prediction, keywords, coalesce(a.n, '') AS rn, coalesce(a.s, '') AS rs, coalesce(b.n, '') AS hn, coalesce(b.s, '') AS hs
-        FROM {_BEST} JOIN {_RELEASE} USING (utterance_id) LEFT JOIN forms a ON a.t = transcription LEFT JOIN forms b ON b.t = prediction
+        FROM {answers} JOIN {_RELEASE} USING (utterance_id) LEFT JOIN forms a ON a.t = transcription LEFT JOIN forms b ON b.t = prediction
     ),
     named AS (SELECT keywords, n, arg_min(s, i) AS s FROM items JOIN forms USING (t) WHERE n <> '' GROUP BY keywords, n),
     asked AS (SELECT DISTINCT keywords, rn, rs, hn, hs FROM rows_ WHERE keywords IS NOT NULL),
@@ -218,6 +220,9 @@ _SCORED = f"""WITH {_ITEMS}
             LEFT JOIN kept k ON k.keywords = r.keywords AND k.rn = r.rn AND k.rs = r.rs AND k.hn = r.hn AND k.hs = r.hs
     )
 """
+
+
+_SCORED = _scored(_BEST)
 _RATE = lambda e, u: f"CASE WHEN sum({u}) > 0 THEN CAST(sum({e}) AS DOUBLE) / CAST(sum({u}) AS DOUBLE) END"
 _FIGURES = f"""count(*) AS utterances, CAST(sum(w_units) AS BIGINT) AS reference_words, {_RATE('w_edits', 'w_units')} AS wer, {_RATE('c_edits', 'c_units')} AS cer,
     {_RATE('m_edits', 'm_units')} AS mer, 1 - {_RATE('kw_hits', 'kw_total')} AS kwer, CAST(sum(kw_total) AS BIGINT) AS keywords_scored, CAST(sum(empty_hyp) AS BIGINT) AS empty_hypotheses"""
@@ -374,6 +379,9 @@ SQL: dict[str, str] = {
             CASE WHEN transcription IS NULL THEN 'missing_audio' ELSE 'success' END AS status
         FROM {_RELEASE}
     """,
+    "streamed_scores": f"""{_scored(f'(SELECT * FROM {_ATTEMPTS} WHERE good)')}
+        SELECT provider, language, {_SUMS}, CAST(count(*) AS BIGINT) AS utterances FROM counted GROUP BY provider, language
+    """,
     "streamed_status_days": """
         SELECT strftime(written_at, '%Y-%m-%d') AS day, lower(trim(coalesce(status, ''))) AS status, count(*) AS n
         FROM predictions WHERE written_at IS NOT NULL GROUP BY 1, 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,20 +35,29 @@ def windowed_rates(counts: DataFrame, window: str = "1 day", late: str = "1 day"
     return counts.withWatermark("written_at", late).groupBy(F.window("written_at", window), "provider").agg(*figures())
 
 
-def keep_totals(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch's sums by provider and language under its own number.
+def keep_sums(rows: DataFrame, by: Sequence[str], columns: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch's sums of ``columns`` by ``by`` under its own number.
 
-    A batch that is run again after a failure overwrites its own folder, so totals count it once.
+    No state is kept between batches, so no row is ever too late. A batch that is run again after a failure overwrites its own
+    folder, and sums count it once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy("provider", "language").agg(*(F.sum(c).alias(c) for c in COUNTS), F.count(F.lit(1)).alias("utterances"))
-        sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.groupBy(*by).agg(*(F.sum(c).alias(c) for c in columns)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def totals(spark: SparkSession, path: str) -> DataFrame:
+def kept_sums(spark: SparkSession, by: Sequence[str], columns: Sequence[str], path: str) -> DataFrame:
     """Sums over all batches so far."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("provider", "language").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "utterances")))
+    return spark.read.parquet(path).groupBy(*by).agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def keep_totals(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the sums of arriving counts by provider and language."""
+    return keep_sums(counts.withColumn("utterances", F.lit(1)), ("provider", "language"), (*COUNTS, "utterances"), path, checkpoint)
+
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """Counts by provider and language over all batches so far."""
+    return kept_sums(spark, ("provider", "language"), (*COUNTS, "utterances"), path)
