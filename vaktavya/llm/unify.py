@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
@@ -83,7 +83,7 @@ def _class(chars: str) -> str:
 
 @cache
 def setup_sql() -> list[str]:
-    """DuckDB macros; ``unified(t)`` is the whole mapping."""
+    """DuckDB macros, one for each of STEPS."""
     froms = "".join(v for v in LOOKALIKES.values())
     tos = "".join(k * len(v) for k, v in LOOKALIKES.items())
     first, plain, many = compatibility()
@@ -98,7 +98,8 @@ def setup_sql() -> list[str]:
     return [
         f"SET VARIABLE forms = MAP {{{listed}}}",
         f"CREATE MACRO shown(t) AS regexp_replace(t, '([{_class(viramas())}][\\x{{200C}}\\x{{200D}}])|[{INVISIBLE}]', '\\1', 'g')",
-        f"CREATE MACRO spaced(t) AS translate(t, {_quoted(BLANKS + HYPHENS)}, {_quoted(' ' * len(BLANKS) + '-' * len(HYPHENS))})",
+        f"CREATE MACRO spaced(t) AS CASE WHEN regexp_matches(t, '[{_class(BLANKS + HYPHENS)}]') THEN "
+        f"translate(t, {_quoted(BLANKS + HYPHENS)}, {_quoted(' ' * len(BLANKS) + '-' * len(HYPHENS))}) ELSE t END",
         f"CREATE MACRO plainly(t) AS CASE WHEN regexp_matches(t, '[{_class(first + ''.join(many))}]') THEN "
         "array_to_string(list_transform(string_split(t, ''), lambda c: coalesce(getvariable('forms')[c], c)), '') ELSE t END",
         f"CREATE MACRO latin(w) AS CASE WHEN regexp_matches(w, '[{STAND_IN}]') AND NOT regexp_matches(translate(w, {_quoted(froms)}, {_quoted(tos)}), '[{STAND_IN}]') "
@@ -108,10 +109,21 @@ def setup_sql() -> list[str]:
         f"CREATE MACRO own(t) AS CASE WHEN regexp_matches(t, '[{STAND_IN}]|[{TELUGU}][{KANNADA}]|[{KANNADA}][{TELUGU}]') THEN "
         "array_to_string(list_transform(string_split(t, ' '), lambda w: twin(latin(w))), ' ') ELSE t END",
         f"CREATE MACRO whole(t) AS CASE WHEN regexp_matches(t, '{'|'.join(SEQUENCES)}') THEN {pairs} ELSE t END",
-        "CREATE MACRO unified(t) AS whole(nfc_normalize(own(plainly(spaced(shown(t))))))",
     ]
 
 
+#: The mapping's steps, in order.
+STEPS = ("shown", "spaced", "plainly", "own", "nfc_normalize", "whole")
+
+
+def unifying_sql(columns: Sequence[str]) -> str:
+    """SQL that maps the columns of a table ``texts``: a step sees what the one before it gave, so none is computed twice."""
+    source = "texts"
+    for step in STEPS:
+        source = f"(SELECT {', '.join(f'{step}({c}) AS {c}' for c in columns)} FROM {source})"
+    return f"SELECT * FROM {source}"
+
+
 def connection():
     """An in-memory DuckDB of one thread with the macros."""
     import duckdb
@@ -155,8 +167,7 @@ def unify(df: DataFrame, *columns: str, suffix: str = "_unified") -> DataFrame:
         for batch in (part for whole in batches for part in _bounded(whole, columns)):
             texts = pa.table({f"c{i}": batch.column(c).cast(pa.large_string()) for i, c in enumerate(columns)})
             con.register("texts", texts)
-            wanted = ", ".join(f"unified(c{i}) AS c{i}" for i in range(len(columns)))
-            found = con.sql(f"SELECT {wanted} FROM texts").to_arrow_table()
+            found = con.sql(unifying_sql(texts.column_names)).to_arrow_table()
             con.unregister("texts")
             arrays = [c.combine_chunks().cast(pa.string()) if c.num_chunks else pa.array([], pa.string()) for c in found.columns]
             arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
