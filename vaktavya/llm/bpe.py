@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import pandas as pd
@@ -93,31 +94,34 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pieces(dict):
+    """Ids of pieces met so far."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merge_piece(piece.encode("utf-8", "replace"), self.ranks)
+        if len(piece) <= KEPT_BYTES:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids, with a memory of pieces."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import regex
 
-        self.ranks = ranks
-        self.pieces = regex.compile(PATTERN).finditer
-        self.known: dict[str, list[int]] = {}
+        self.pieces = regex.compile(PATTERN).findall
+        self.known = Pieces(ranks)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for an empty or null one. A lone surrogate counts as U+FFFD."""
-        out: list[int] = []
-        known = self.known
-        for found in self.pieces(text or ""):
-            piece = found.group()
-            ids = known.get(piece)
-            if ids is None:
-                ids = merge_piece(piece.encode("utf-8", "replace"), self.ranks)
-                if len(piece) <= KEPT_BYTES:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text or ""))))
 
 
 _ENCODERS: dict[str, Encoder] = {}
