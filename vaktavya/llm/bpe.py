@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,10 +140,15 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
 
     content = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(ranks_of(content.value)))
-        for pdf in batches:
-            yield pd.DataFrame({"_key": pdf["_key"], "ids": [encoder.encode(t) for t in pdf["_text"]]})
+        for batch in batches:
+            flat, ends = array("i"), [0]
+            for text in batch.column("_text").to_pylist():
+                flat.extend(encoder.encode(text))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), ids], names=["_key", "ids"])
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+    return rows.mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
