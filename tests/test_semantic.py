@@ -138,3 +138,21 @@ def test_cache_and_sample(spark, tmp_path):
     assert kept == {i for i in ids if int.from_bytes(hashlib.sha1(i.encode()).digest()[:4], "big") / 0xFFFFFFFF < 0.3}
     with pytest.raises(KeyError):
         judge.get_judge("nobody")
+
+
+def test_sql_verdicts_agree_on_the_published_pairs():
+    import duckdb
+
+    from vaktavya.sql import SQL
+
+    pairs = [(k, h, r) for lists in (ACCEPTED, REJECTED) for k, ps in lists.items() for h, r in ps]
+    pairs += [("number", a, b) for a, b in (("24000", "twenty four thousand"), ("11 am", "eleven am"), ("12", "eleven"), ("half", "0.5"), ("5 rupees", "five rupees"))]
+    pairs += [(k, r, h) for k, h, r in pairs] + [("script", "phone", "फोन"), ("script", "school", "स्कूल"), ("script", "kitten", "कटा"), ("spelling", "चिट्ठी", "चिठी"), ("split_join", "फोन नंबर", "phonenambar")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE judge_cache (response STRUCT(equivalences STRUCT(hypothesis_span VARCHAR, reference_span VARCHAR, type VARCHAR)[]))")
+    for k, h, r in pairs:
+        con.execute("INSERT INTO judge_cache VALUES ({'equivalences': [{'hypothesis_span': ?, 'reference_span': ?, 'type': ?}]})", [h, r, k])
+    columns = [c[0] for c in con.execute(SQL["pair_verdicts"]).description]
+    found = {(x["kind"], x["hypothesis_span"], x["reference_span"]): x["reason"] for x in (dict(zip(columns, row)) for row in con.execute(SQL["pair_verdicts"]).fetchall())}
+    wrong = [(p, found[p], verify_pair(form(p[1]), form(p[2]), p[0]).reason) for p in dict.fromkeys(pairs) if found[p] != verify_pair(form(p[1]), form(p[2]), p[0]).reason]
+    assert wrong == []

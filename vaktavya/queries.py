@@ -239,10 +239,11 @@ def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paired_delta_ci(spark: SparkSession, folder: str) -> DataFrame:
-    """Difference of two recognisers and its interval."""
+    """Difference of two recognisers over the whole release and its interval, by weights."""
     release = release_rows(spark, folder)
     a, b = (scoring.row_counts(speech.align(release, system(spark, folder, p), require_complete=False), keywords=False) for p in ("aldervox", "brooktalk"))
-    return scoring.paired_delta_ci(a, b)
+    delta = scoring.paired_delta_ci(a, b, n_boot=200, drawn_calls=0)
+    return delta.select(*(F.round(c, 9).alias(c) for c in ("delta", "low", "high")))
 
 
 def weighted_ci(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,8 +301,16 @@ def pending_rows(spark: SparkSession, folder: str) -> DataFrame:
     return judge.pending_questions(questions, answers.withColumn("cache_key", F.col("cache_key").cast("string"))).select("row_id")
 
 
-def semantic_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Semantic edits of every prediction with a reference, by the answers in the judge's cache."""
+def pair_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every different pair that the judge proposed, whether the rules accept it, and why not."""
+    pairs = table(spark, folder, "judge_cache").select(F.explode("response.equivalences").alias("e")).select(
+        F.lower(F.trim(F.coalesce("e.type", F.lit("")))).alias("kind"), F.coalesce("e.hypothesis_span", F.lit("")).alias("hypothesis_span"), F.coalesce("e.reference_span", F.lit("")).alias("reference_span")
+    )
+    return pipeline.verdicts(pairs.distinct())
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prediction with a reference, judged by the answers in the judge's cache."""
     release = release_rows(spark, folder).select("utterance_id", "language", "transcription")
     rows = attempts(spark, folder).select("row_id", "utterance_id", "prediction").join(release, "utterance_id")
     prepared = pipeline.prepare(rows, "row_id", "transcription", "prediction", "language")
@@ -311,9 +320,15 @@ def semantic_rows(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.judged(keyed, answers)
 
 
+def semantic_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Semantic edits of every prediction with a reference, and how many pairs were accepted."""
+    counted = {f"n_{c}": F.size(c).cast("bigint") for c in ("accepted", "rejected")}
+    return _judged(spark, folder).withColumns(counted).withColumn("number_pairs", F.col("number_pairs").cast("bigint")).drop("accepted", "rejected")
+
+
 def semantic_score(spark: SparkSession, folder: str) -> DataFrame:
     """Semantic and lexical rates by language."""
-    return pipeline.semantic_score(semantic_rows(spark, folder), "language")
+    return pipeline.semantic_score(_judged(spark, folder), "language")
 
 
 def routes(spark: SparkSession, folder: str) -> DataFrame:
@@ -385,7 +400,7 @@ QUERIES: dict[str, Query] = {
         without_languages, first_rows, batch_sizes, folded_texts, settled_spellings, spoken_numbers, number_forms, loaded_predictions,
         plain_word_counts, plain_wer_sets, row_counts, score_overall, score_by_provider, score_sets, call_totals, bootstrap_ci, paired_delta_ci,
         weighted_ci, mixed_unit_counts, keyword_misses,
-        corpus_facts, normal_form_drift, sampled_in, question_keys, latest_answers, pending_rows, semantic_rows, semantic_score, routes,
+        corpus_facts, normal_form_drift, sampled_in, question_keys, latest_answers, pending_rows, pair_verdicts, semantic_rows, semantic_score, routes,
         status_counts, run_tallies, unfinished, transcribed, streamed_status_days, streamed_scores,
     )
 }

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from vaktavya.functions.distance import char_counts, word_counts
 from vaktavya.functions.normalize import with_normal_forms
+from vaktavya.functions.plain import plain_normalize
 from vaktavya.plans.settings import Settings, settings
 from vaktavya.semantic.judge import QUESTION, Judge, answer_into, identity, sampled_in
-from vaktavya.semantic.pairs import LEAST_LIKENESS, apply_pairs
+from vaktavya.semantic.pairs import LEAST_LIKENESS, apply_pairs, verify_pair
 
 _RECORD = "struct<hypothesis_span: string, reference_span: string, type: string>"
 _REJECTED = "struct<hypothesis_span: string, reference_span: string, type: string, reason: string>"
@@ -117,6 +118,18 @@ def audited(rows: DataFrame) -> DataFrame:
     return rows.withColumns(shown)
 
 
+def verdicts(pairs: DataFrame, least: float = LEAST_LIKENESS, allow_unverified_numbers: bool = False) -> DataFrame:
+    """``pairs`` (kind, hypothesis_span, reference_span) with ``accepted`` and ``reason``: spans are normalized, then verified by the rule of their kind."""
+
+    @F.pandas_udf("accepted boolean, reason string")
+    def verified(hypotheses: pd.Series, references: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        spans = zip(hypotheses.map(plain_normalize), references.map(plain_normalize), kinds, strict=True)
+        return pd.DataFrame([verify_pair(h, r, k, least, allow_unverified_numbers) for h, r, k in spans], columns=["accepted", "reason"])
+
+    found = pairs.withColumn("_v", verified.asNondeterministic()("hypothesis_span", "reference_span", "kind"))
+    return found.select(*pairs.columns, "_v.accepted", "_v.reason")
+
+
 def semantic_score(rows: DataFrame, *by: str) -> DataFrame:
     """Corpus rates: over answered rows only, and over all rows with the lexical edits where there is no answer; and the coverage."""
     answered = F.col("semantic_word_edits").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from vaktavya.functions.plain import JOINERS, VIRAMAS
 from vaktavya.functions.vocabulary import BEFORE_SECOND, ORDINALS, SCALES, SPELLINGS, TENS, UNITS, words
 from vaktavya.operators.scoring import COUNTS, POISSON_BOUNDS
+from vaktavya.semantic import sounds
 from vaktavya.sources.records import STATUSES
 
 _LIST = lambda some: ", ".join(f"'{w}'" for w in some)
@@ -226,10 +227,159 @@ _SCORED = _scored(_BEST)
 _RATE = lambda e, u: f"CASE WHEN sum({u}) > 0 THEN CAST(sum({e}) AS DOUBLE) / CAST(sum({u}) AS DOUBLE) END"
 _FIGURES = f"""count(*) AS utterances, CAST(sum(w_units) AS BIGINT) AS reference_words, {_RATE('w_edits', 'w_units')} AS wer, {_RATE('c_edits', 'c_units')} AS cer,
     {_RATE('m_edits', 'm_units')} AS mer, 1 - {_RATE('kw_hits', 'kw_total')} AS kwer, CAST(sum(kw_total) AS BIGINT) AS keywords_scored, CAST(sum(empty_hyp) AS BIGINT) AS empty_hypotheses"""
+#: Weights of 200 resamples for each row of totals, whose column h is the call's hash.
+_CALL_HASH = "CAST('0x' || substr(sha1(call_id), 1, 8) AS BIGINT)"
+_WEIGHED = f"""
+    seeded AS (SELECT *, xor(h, (boot * 2654435769 + 20260916) & 4294967295) AS x FROM totals, range(200) b(boot)),
+    once AS (SELECT * REPLACE (CAST((CAST(xor(x, x >> 16) AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS x) FROM seeded),
+    twice AS (SELECT * REPLACE (CAST((CAST(xor(x, x >> 13) AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS x) FROM once),
+    mixed AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM twice),
+    weighed AS (SELECT *, {' + '.join(f'CAST(x >= {int(b)} AS BIGINT)' for b in POISSON_BOUNDS)} AS w FROM mixed)"""
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS)
 _CODES = "list_sort(list_distinct(list_filter(string_split(translate(lower(trim(coalesce(language_tag, ''))), '_', '-'), '-'), lambda c: c <> '')))"
 _CODE = "lower(trim(coalesce(language, '')))"
+_SCRIPTS = {"Devanagari": 0x900, "Bengali": 0x980, "Gurmukhi": 0xA00, "Gujarati": 0xA80, "Oriya": 0xB00, "Tamil": 0xB80, "Telugu": 0xC00, "Kannada": 0xC80, "Malayalam": 0xD00}
+_BLOCK = lambda text: "CASE " + " ".join(f"WHEN regexp_matches({text}, '^\\P{{L}}*\\p{{{name}}}') THEN {base}" for name, base in _SCRIPTS.items()) + f" WHEN regexp_matches({text}, '\\p{{L}}') THEN 0 END"
+_PLACES = {
+    **{p: f"{c}\x01" for p, c in sounds.CONSONANTS.items()}, **{p: f"\x02{v}" for p, v in sounds.VOWEL_SIGNS.items()}, sounds.VIRAMA: "\x02", **sounds.VOWELS, **sounds.SIGNS,
+}
+_PLACE_MAP = "MAP {" + ", ".join(f"{p}: '{v}'" for p, v in _PLACES.items()) + "}"
+_CHILLUS = "w"
+for _chillu, _spelled in (*sounds.CHILLUS.items(), sounds.DOUBLED_T):
+    _CHILLUS = f"replace({_CHILLUS}, '{_chillu}', '{_spelled}')"
+_ONCE = lambda text: f"array_to_string(list_filter(string_split({text}, ''), lambda c, i: i = 1 OR c = ' ' OR c <> {text}[i - 1]), '')"
+_LCS = lambda a, b: f"""list_extract(list_reduce(string_split({a}, ''), lambda prev, c: list_transform(range(1, len(string_split({b}, '')) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(prev[k], (CASE WHEN k = 1 THEN 0 ELSE prev[k - 1] END) + CASE WHEN {b}[k] = c THEN 1 ELSE 0 END)))), list_transform(range(0, length({b})), lambda x: CAST(0 AS BIGINT))), -1)"""
+_LIKE = lambda a, b: f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0 * {_LCS(a, b)} / (length({a}) + length({b})) END"
+_SKELETONS = lambda a, b, least: f"({a} <> '' AND {b} <> '' AND CASE WHEN greatest(length({a}), length({b})) <= 3 THEN {a} = {b} ELSE {_LIKE(a, b)} >= {least} END)"
+_HAS_DIGITS = lambda text: f"regexp_matches({text}, '(^| )\\p{{Nd}}+( |$)')"
+_DIGITS_OF = lambda text: f"array_to_string(list_filter(string_split({text}, ' '), lambda w: regexp_full_match(w, '\\p{{Nd}}+')), '')"
+_REST_OF = lambda text: f"array_to_string(list_filter(string_split({text}, ' '), lambda w: NOT regexp_full_match(w, '\\p{{Nd}}+')), ' ')"
+_KEYS = f"""
+    words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(t, ' ')) AS w FROM spans) WHERE w <> ''),
+    blocks AS (SELECT w, {_BLOCK('w')} AS b FROM words),
+    spelled AS (
+        SELECT w, b, CASE WHEN b > 0 THEN array_to_string(list_transform(string_split(CASE WHEN b = {0xD00} THEN {_CHILLUS} ELSE w END, ''),
+                lambda c: CASE WHEN b = {0x980} AND unicode(c) = {0x980 + sounds.BENGALI_B} THEN 'v\x01' ELSE coalesce(map_extract_value({_PLACE_MAP}, unicode(c) - b), c) END), '')
+            ELSE regexp_replace(regexp_replace(lower(w), 'c([eiy])', 's\\1', 'g'), '([aeiou])w$', '\\1') END AS x FROM blocks
+    ),
+    said AS (SELECT w, b, regexp_replace(strip_accents(lower(replace(replace(replace(x || CASE WHEN b > 0 THEN '\x03' ELSE '' END, '\x01\x02', ''), '\x01', 'a'), '\x02', ''))), '[^a-z0-9]', '', 'g') AS l FROM spelled),
+    placed AS (SELECT t, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT t, string_split(t, ' ') AS ws FROM spans WHERE t <> '')),
+    latin AS (
+        SELECT t, coalesce(string_agg(l, ' ' ORDER BY i) FILTER (WHERE l <> ''), '') AS l, list_sort(list_distinct(list(b) FILTER (WHERE b IS NOT NULL))) AS bs, count(*) AS n, arg_min(b, i) FILTER (WHERE b IS NOT NULL) AS b
+        FROM placed JOIN said USING (w) GROUP BY t
+    ),
+    coarse AS (
+        SELECT *, {_ONCE('k')} AS ph FROM (SELECT *, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(l, '[0-9]', '', 'g'), 'ph', 'f'),
+            'ch', chr(4)), 'c', 'k'), chr(4), 'c'), 'q', 'k'), 'x', 'ks'), 'w', 'v'), 'z', 'j'), '([bcdfgjklmnpqrstvxy])h', '\\1', 'g') AS k FROM latin)
+    ),
+    bare AS (
+        SELECT *, replace(ph, ' ', '') AS p0, regexp_replace(translate(replace(ph, ' ', ''), 'cjgdbfvmy', 'ssktpppn'), '[aeiou]', '', 'g') AS s0,
+            regexp_extract_all(regexp_replace(replace(replace(replace(replace(l, ' ', ''), 'ph', 'f'), 'm', 'n'), 'y', ''), '[aeiou]', '', 'g'), '[a-z]h?|[0-9]') AS us,
+            replace(regexp_extract(l, '[^ ]*$'), 'm', 'n') AS last FROM coarse
+    ),
+    ended AS (SELECT *, {_ONCE('s0')} AS sk, array_to_string(list_filter(us, lambda u, i: NOT coalesce(us[i + 1][1] = u[1] AND (us[i + 1] = u OR length(u) = 1), false)), '') AS own,
+        regexp_extract(CASE WHEN length(last) > 2 THEN regexp_replace(last, 'a$', '') ELSE last END, '[aeiou]*n?$') AS e0 FROM bare),
+    heard AS (SELECT t, l, bs, n, b, ph, replace(ph, ' ', '') AS p, sk, own, CASE WHEN b = {0x980} THEN CASE WHEN replace(e0, 'a', '') = 'o' THEN '' ELSE replace(e0, 'a', '') END ELSE e0 END AS ending FROM ended),
+    english AS (
+        SELECT t, string_agg(map_extract_value({_MAP(sounds.ENGLISH_NUMBERS)}, {_ONCE('y')}), ' ' ORDER BY i) AS said, count(*) AS n, count(map_extract_value({_MAP(sounds.ENGLISH_NUMBERS)}, {_ONCE('y')})) AS known FROM (
+            SELECT t, i, CASE WHEN length(x) > 2 THEN regexp_replace(x, 'a$', '') ELSE x END AS y FROM (
+                SELECT t, i, regexp_replace(replace(regexp_replace(replace(replace(replace(replace(x, 'ph', 'f'), 'bh', 'v'), 'vh', 'v'), 'jh', 'z'), '^j(iro)', 'z\\1'), 'th', 't'), 'm([dtkgpb])', 'n\\1', 'g') AS x
+                FROM (SELECT t, generate_subscripts(string_split(l, ' '), 1) AS i, unnest(string_split(l, ' ')) AS x FROM heard)
+            )
+        ) GROUP BY t
+    ),
+    readings AS (SELECT t, t AS reading FROM heard UNION SELECT t, l FROM heard UNION SELECT t, said FROM english WHERE n = known),
+    read AS (WITH {_forms("SELECT reading AS t FROM readings")} SELECT r.t, f.n FROM readings r JOIN forms f ON f.t = r.reading)
+"""
+_HES = _LIST(sounds.HESITATIONS)
+_ONE_SCRIPT = f"CASE WHEN a.own <> z.own THEN 'a consonant differs' WHEN a.b IN ({0x900}, {0x980}, {0xA80}) AND a.ending <> z.ending THEN 'the ending differs, which is grammar' ELSE 'ok' END"
+_ACROSS = f"CASE WHEN {_SKELETONS('a.sk', 'z.sk', 75)} OR ({_LIKE('a.p', 'z.p')} >= 60 AND {_SKELETONS('a.sk', 'z.sk', 50)}) THEN 'ok' ELSE 'sounds differ' END"
+#: Pairs (kind, h, r) of normal spans and why each is accepted ('ok') or not.
+_VERDICTS = f"""
+    raw AS (SELECT DISTINCT lower(trim(coalesce(e.type, ''))) AS kind, coalesce(e.hypothesis_span, '') AS x, coalesce(e.reference_span, '') AS y FROM (SELECT unnest(response.equivalences) AS e FROM judge_cache)),
+    normal AS (WITH {_forms("SELECT x AS t FROM (SELECT e.hypothesis_span AS x FROM (SELECT unnest(response.equivalences) AS e FROM judge_cache) UNION SELECT e.reference_span FROM (SELECT unnest(response.equivalences) AS e FROM judge_cache))")} SELECT t, n FROM forms),
+    pairs AS (SELECT DISTINCT kind, x, y, coalesce(f.n, '') AS h, coalesce(g.n, '') AS r FROM raw LEFT JOIN normal f ON f.t = x LEFT JOIN normal g ON g.t = y),
+    spans AS (SELECT h AS t FROM pairs UNION SELECT r FROM pairs),
+    {_KEYS},
+    sided AS (
+        SELECT p.*, {_HAS_DIGITS('h')} AS hd, {_HAS_DIGITS('r')} AS rd, CASE WHEN {_HAS_DIGITS('h')} THEN h ELSE r END AS figures, CASE WHEN {_HAS_DIGITS('h')} THEN r ELSE h END AS spoken FROM pairs p
+    ),
+    same AS (SELECT DISTINCT figures, spoken FROM sided JOIN read ON read.t = spoken WHERE hd <> rd AND {_DIGITS_OF('read.n')} = {_DIGITS_OF('figures')} AND {_REST_OF('read.n')} = {_REST_OF('figures')}),
+    verdicts AS (
+        SELECT kind, x, y, h, r, CASE
+            WHEN kind NOT IN ('script', 'spelling', 'split_join', 'number', 'filler') THEN 'unknown kind'
+            WHEN h = r THEN 'spans are the same'
+            WHEN kind = 'filler' THEN CASE WHEN h <> '' AND r <> '' THEN 'a filler stands on one side only'
+                WHEN len(list_filter(string_split(coalesce(a.ph, z.ph), ' '), lambda w: w NOT IN ({_HES}))) = 0 THEN 'ok' ELSE 'not a hesitation' END
+            WHEN h = '' OR r = '' THEN 'a span is empty'
+            WHEN kind = 'number' THEN CASE WHEN hd = rd THEN 'a number pair has digits on exactly one side' WHEN len(string_split(s.spoken, ' ')) > 8 THEN 'too many number words'
+                WHEN m.spoken IS NOT NULL THEN 'ok' ELSE 'value can''t be verified' END
+            WHEN hd OR rd THEN 'digits outside of a number pair'
+            WHEN kind = 'split_join' THEN CASE WHEN a.n = z.n THEN 'a split has differing word counts' WHEN replace(h, ' ', '') = replace(r, ' ', '') THEN 'ok'
+                WHEN len(list_filter(list_distinct(list_concat(a.bs, z.bs)), lambda b: b > 0)) > 1 THEN 'two Indic scripts'
+                WHEN len(list_filter(list_concat(a.bs, z.bs), lambda b: b > 0)) = 0 THEN 'joined forms differ'
+                WHEN NOT list_contains(list_concat(a.bs, z.bs), 0) THEN {_ONE_SCRIPT}
+                WHEN {_SKELETONS('a.sk', 'z.sk', 90)} AND {_LIKE('a.p', 'z.p')} >= 80 THEN 'ok' ELSE 'joined forms differ' END
+            WHEN abs(a.n - z.n) > 1 THEN 'word counts differ too much'
+            WHEN a.b IS DISTINCT FROM z.b AND coalesce(a.b, -1) <> 0 AND coalesce(z.b, -1) <> 0 THEN 'two Indic scripts'
+            WHEN kind = 'script' THEN CASE WHEN a.b IS NOT DISTINCT FROM z.b THEN 'a script pair in one script' ELSE {_ACROSS} END
+            WHEN a.b IS DISTINCT FROM z.b THEN 'a spelling pair across scripts'
+            WHEN a.b = 0 THEN 'Latin spellings are the normalizer''s'
+            ELSE {_ONE_SCRIPT} END AS reason
+        FROM sided s LEFT JOIN heard a ON a.t = h LEFT JOIN heard z ON z.t = r LEFT JOIN same m ON m.figures = s.figures AND m.spoken = s.spoken
+    )
+"""
+
+#: Semantic counts of rows with an answer. A verified pair is applied to all places at once, which is what one pair of words a row needs.
+_SEMANTIC = f"""WITH {_forms("SELECT transcription AS t FROM release UNION ALL SELECT prediction FROM predictions")}, {_VERDICTS},
+    base AS (
+        SELECT row_id, coalesce(language, '') AS language, coalesce(a.n, '') AS rn, coalesce(b.n, '') AS hn
+        FROM {_ATTEMPTS} JOIN {_RELEASE} USING (utterance_id) LEFT JOIN forms a ON a.t = transcription LEFT JOIN forms b ON b.t = prediction
+    ),
+    units AS (SELECT rn, hn, {_SPLIT('rn')} AS rw, {_SPLIT('hn')} AS hw, regexp_extract_all(rn, '(?s).') AS rc, regexp_extract_all(hn, '(?s).') AS hc FROM (SELECT DISTINCT rn, hn FROM base)),
+    lexical AS (SELECT rn, hn, {_edits('rw', 'hw')} AS w_edits, len(rw) AS w_units, {_edits('rc', 'hc')} AS c_edits, len(rc) AS c_units FROM units),
+    answers AS (
+        SELECT row_id, response.equivalences AS es FROM (
+            SELECT * FROM judge_cache WHERE row_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY response IS NOT NULL DESC, cached_at DESC NULLS LAST) = 1
+        ) WHERE response IS NOT NULL
+    ),
+    proposed AS (SELECT row_id, unnest(es) AS e FROM answers),
+    verified AS (
+        SELECT p.row_id, v.kind, v.h, v.r, v.reason FROM proposed p JOIN verdicts v
+        ON v.kind = lower(trim(coalesce(p.e.type, ''))) AND v.x = coalesce(p.e.hypothesis_span, '') AND v.y = coalesce(p.e.reference_span, '')
+    ),
+    tried AS (
+        SELECT b.row_id, v.kind, v.h, {_SPLIT('b.rn')} AS rw, list_transform({_SPLIT('b.hn')}, lambda w: CASE WHEN w = v.h THEN v.r ELSE w END) AS tw, b.rn, b.hn
+        FROM base b JOIN verified v USING (row_id) WHERE v.reason = 'ok' AND v.r IN (SELECT unnest({_SPLIT('b.rn')}))
+    ),
+    gained AS (SELECT row_id, kind, {_edits('rw', 'tw')} AS w, array_to_string(tw, ' ') AS text, rn, hn FROM tried),
+    better AS (SELECT g.*, regexp_extract_all(rn, '(?s).') AS rc, regexp_extract_all(text, '(?s).') AS tc FROM gained g JOIN lexical USING (rn, hn) WHERE g.w < w_edits),
+    applied AS (SELECT row_id, min(w) AS w, min({_edits('rc', 'tc')}) AS c, count(*) AS accepted, count(*) FILTER (WHERE kind = 'number') AS numbers FROM better GROUP BY row_id),
+    asked AS (SELECT row_id, count(v.row_id) AS n FROM answers LEFT JOIN verified v USING (row_id) GROUP BY row_id),
+    settled AS (
+        SELECT b.row_id, b.language, l.w_edits, l.w_units, l.c_edits, l.c_units, CASE WHEN b.rn = '' THEN 'empty_reference' WHEN b.rn = b.hn THEN 'exact' WHEN b.hn = '' THEN 'empty_hypothesis' WHEN a.row_id IS NULL THEN 'judge_error'
+            WHEN p.accepted > 0 THEN 'success' ELSE 'no_equivalences' END AS status, p.w, p.c, coalesce(p.accepted, 0) AS accepted, coalesce(p.numbers, 0) AS numbers, coalesce(a.n, 0) AS n
+        FROM base b JOIN lexical l ON l.rn = b.rn AND l.hn = b.hn LEFT JOIN asked a ON a.row_id = b.row_id LEFT JOIN applied p ON p.row_id = b.row_id
+    ),
+    semantic AS (
+        SELECT row_id AS row_key, language, w_edits AS word_edits, w_units AS words, c_edits AS char_edits, c_units AS chars, status,
+            CASE WHEN status IN ('success', 'no_equivalences', 'exact', 'empty_hypothesis') THEN coalesce(CASE WHEN status = 'success' THEN w END, w_edits) END AS semantic_word_edits,
+            CASE WHEN status IN ('success', 'no_equivalences', 'exact', 'empty_hypothesis') THEN coalesce(CASE WHEN status = 'success' THEN least(c, c_edits) END, c_edits) END AS semantic_char_edits,
+            CASE WHEN status = 'success' THEN numbers ELSE 0 END AS number_pairs, CASE WHEN status = 'success' THEN accepted ELSE 0 END AS n_accepted,
+            CASE WHEN status IN ('success', 'no_equivalences') THEN n - accepted ELSE 0 END AS n_rejected FROM settled
+    )
+"""
+
 SQL: dict[str, str] = {
+    "semantic_rows": f"""{_SEMANTIC} SELECT *, CASE WHEN words > 0 THEN CAST(semantic_word_edits AS DOUBLE) / words END AS semantic_wer,
+        CASE WHEN chars > 0 THEN CAST(semantic_char_edits AS DOUBLE) / chars END AS semantic_cer FROM semantic""",
+    "semantic_score": f"""{_SEMANTIC} SELECT language, count(*) AS utterances,
+            CASE WHEN sum(words) FILTER (WHERE semantic_word_edits IS NOT NULL) > 0 THEN CAST(sum(semantic_word_edits) AS DOUBLE) / CAST(sum(words) FILTER (WHERE semantic_word_edits IS NOT NULL) AS DOUBLE) END AS semantic_wer,
+            {_RATE('coalesce(semantic_word_edits, word_edits)', 'words')} AS semantic_wer_or_lexical, {_RATE('word_edits', 'words')} AS wer,
+            avg(CAST(semantic_word_edits IS NOT NULL AS INTEGER)) AS coverage, CAST(sum(number_pairs) AS BIGINT) AS number_pairs
+        FROM semantic GROUP BY language""",
+    "pair_verdicts": f"WITH {_VERDICTS} SELECT kind, x AS hypothesis_span, y AS reference_span, reason = 'ok' AS accepted, reason FROM verdicts",
     "p4_found": f"""
         WITH cells AS (SELECT DISTINCT utterance_id, keywords, {_HIDDEN} AS h FROM release WHERE keywords IS NOT NULL AND lower({_BARE}) NOT IN ('', 'nan', 'none')),
         cut AS (SELECT utterance_id, list_transform(regexp_extract_all(h || ',', '{_ITEM}', 1), lambda x: trim(x)) AS l FROM cells),
@@ -325,15 +475,24 @@ SQL: dict[str, str] = {
         WHERE transcription_normalized IS NOT NULL AND transcription_normalized <> coalesce(n, '')
     """,
     "weighted_ci": f"""{_SCORED}, totals AS (
-            SELECT CAST('0x' || substr(sha1(call_id), 1, 8) AS BIGINT) AS h, CAST(sum(w_edits) AS BIGINT) AS e, CAST(sum(w_units) AS BIGINT) AS u FROM counted WHERE provider = 'brooktalk' AND call_id IS NOT NULL GROUP BY call_id
-        ), seeded AS (SELECT boot, e, u, xor(h, (boot * 2654435769 + 20260916) & 4294967295) AS x FROM totals, range(200) b(boot)),
-        once AS (SELECT boot, e, u, CAST((CAST(xor(x, x >> 16) AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS x FROM seeded),
-        twice AS (SELECT boot, e, u, CAST((CAST(xor(x, x >> 13) AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS x FROM once),
-        mixed AS (SELECT boot, e, u, xor(x, x >> 16) AS x FROM twice),
-        weighed AS (SELECT boot, e, u, {' + '.join(f'CAST(x >= {int(b)} AS BIGINT)' for b in POISSON_BOUNDS)} AS w FROM mixed),
+            SELECT {_CALL_HASH} AS h, CAST(sum(w_edits) AS BIGINT) AS e, CAST(sum(w_units) AS BIGINT) AS u FROM counted WHERE provider = 'brooktalk' AND call_id IS NOT NULL GROUP BY call_id
+        ), {_WEIGHED},
         rates AS (SELECT CAST(sum(e * w) AS DOUBLE) / CAST(sum(u * w) AS DOUBLE) AS v FROM weighed GROUP BY boot HAVING sum(u * w) > 0)
         SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM rates
     """,
+    "paired_delta_ci": f"""{_SCORED}, released AS (
+            SELECT call_id, CAST(sum(len({_SPLIT("coalesce(n, '')")})) AS BIGINT) AS u FROM {_RELEASE} LEFT JOIN forms ON t = transcription WHERE call_id IS NOT NULL GROUP BY call_id
+        ), answered AS (
+            SELECT call_id, coalesce(sum(w_edits - w_units) FILTER (WHERE provider = 'aldervox'), 0) AS a, coalesce(sum(w_edits - w_units) FILTER (WHERE provider = 'brooktalk'), 0) AS b
+            FROM counted WHERE call_id IS NOT NULL GROUP BY call_id
+        ), totals AS (
+            -- an utterance without an answer has as many edits as words
+            SELECT {_CALL_HASH} AS h, u, CAST(u + coalesce(a, 0) AS BIGINT) AS ea, CAST(u + coalesce(b, 0) AS BIGINT) AS eb FROM released LEFT JOIN answered USING (call_id)
+        ), {_WEIGHED},
+        deltas AS (SELECT CAST(sum(eb * w) AS DOUBLE) / CAST(sum(u * w) AS DOUBLE) - CAST(sum(ea * w) AS DOUBLE) / CAST(sum(u * w) AS DOUBLE) AS v FROM weighed GROUP BY boot HAVING sum(u * w) > 0)
+        SELECT round((SELECT CAST(sum(eb) AS DOUBLE) / CAST(sum(u) AS DOUBLE) - CAST(sum(ea) AS DOUBLE) / CAST(sum(u) AS DOUBLE) FROM totals), 9) AS delta,
+            round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM deltas
+    """,
     "plain_word_counts": f"SELECT provider, utterance_id, edits, units FROM {_COUNTED}",
     "plain_wer_sets": f"""
         SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(domain) = 0 THEN 'domain' END AS breakdown,
