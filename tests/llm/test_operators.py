@@ -221,6 +221,8 @@ def test_speakers_are_told_by_their_repetition():
     assert stuffing.stuffed_share(talk)[0] == 0 and all(turn for turn, line in stuffing.turns(talk) if line.strip())
     line = " ".join(f"[00:{i:02}] {who}: {what}" for i, (who, what) in enumerate([("nurse", "right right right"), ("visitor", "hmm hmm")] * 12))
     assert stuffing.stuffed_share(line)[0] == 0
+    inline = "clerk: the refund is late. buyer: ok the refund. clerk: fine then buyer: yes"
+    assert [t.strip() for turn, t in stuffing.turns(inline) if turn] == ["the refund is late.", "ok the refund.", "fine then", "yes"]
     assert stuffing.turns("Keywords: a, b") == [(False, "Keywords: a, b")]
     assert sum(turn for turn, _ in stuffing.turns("x: one\ny: two\nz: three")) == 3
 

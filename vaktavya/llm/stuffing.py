@@ -59,9 +59,10 @@ _TAG = re.compile(r"(?<!\S)#[^\s#]+")
 _MARKUP = re.compile(r"</?\w[^>]*>")
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)", re.S)
 _END = re.compile(r"(?<=[.?!।॥])[\"'”’)\]]*(?=\s|$)")
-#: What may be a speaker: a time, then a word or three, then a colon.
-_HEAD = re.compile(r"(?:(?<=\s)|^)(?:\[[\d:.]+\]\s*)?([^\W\d][\w.'-]{0,19}(?: [\w.'-]{1,20}){0,2}):\s", re.M)
-_STAMP = re.compile(r"\[[\d:.]+\]\s*$")
+#: What may be a speaker: at the start of a line or sentence up to three words before a colon, elsewhere one; a time may stand before it.
+_HEAD = re.compile(
+    r"(?:^|(?<=[.?!।॥]\s))(?:\[[\d:.]+\]\s*)?([^\W\d][\w'-]{0,19}(?: [\w'-]{1,20}){0,2}):\s|(?<=\s)(?:\[[\d:.]+\]\s*)?([^\W\d][\w'-]{0,19}):\s", re.M
+)
 _TERM = re.compile(r"[^\W_]+(?:['’\-‌‍\u0900-\u0dff]+[^\W_]*)*|[>|/•,;]|(?<=\s)-(?=\s)|\uE000|\uE001")
 _WORD = re.compile(r"\w")
 _DIGITS = re.compile(r"\d+")
@@ -105,7 +106,7 @@ def terms(text: str) -> list[str]:
         text = _MARKUP.sub(" \uE000 ", text)
     if "#" in text:
         text = _TAG.sub(" \uE001 ", text)
-    return [t.lower() for t in _TERM.findall(_DIGITS.sub("0", text))]
+    return _TERM.findall(_DIGITS.sub("0", text).lower())
 
 
 def recurrence(found: list[str], lag: int | None = None) -> float:
@@ -165,7 +166,7 @@ def near_terms(found: list[str], lag: int = LAG) -> list[bool]:
 def needed_share(found: list[str]) -> float:
     """Share of function words among the words; links, tags and marks are none."""
     said = [t for t in found if t not in _MARKS]
-    return sum(_NEEDED[t] for t in said) / max(1, len(said))
+    return sum(map(_NEEDED.__getitem__, said)) / max(1, len(said))
 
 
 def is_list(found: list[str], breaks: int = 0, sentence: bool = False) -> bool:
@@ -214,16 +215,20 @@ class Unit(NamedTuple):
 def one_phrase(run: list[Unit]) -> list[Unit]:
     """The sentences of a run that say few terms again and again: without function words, nearly all their terms near an equal one, few of them different."""
     cut = [terms(u.text) for u in run]
+    bare = [needed_share(c) < FAR_NEEDED for c in cut]
+    if sum(len(c) for c, b in zip(cut, bare, strict=True) if b) < LAG:
+        return []
     near = iter(near_terms([t for c in cut for t in c]))
     shares = [sum(next(near) for _ in c) / max(1, len(c)) for c in cut]
-    alike = [i for i, c in enumerate(cut) if shares[i] >= SENTENCES_RECUR and needed_share(c) < FAR_NEEDED]
+    alike = [i for i in range(len(cut)) if bare[i] and shares[i] >= SENTENCES_RECUR]
     found = [t for i in alike for t in cut[i]]
     return [run[i] for i in alike] if len(found) >= LAG and recurrence(found) >= RECURS else []
 
 
 def words(text: str) -> int:
     """Words by blanks that hold a letter or digit."""
-    return sum(1 for w in text.split() if w[0].isalnum() or _WORD.search(w))
+    cut = text.split()
+    return len(cut) - len([w for w in cut if not w[0].isalnum() and not _WORD.search(w)])
 
 
 def turns(text: str) -> list[tuple[bool, str]]:
@@ -232,10 +237,11 @@ def turns(text: str) -> list[tuple[bool, str]]:
     A speaker is a short head before a colon that recurs in the text, numbers in it being equal; where most lines have a head
     each, as in a glossary, all are taken for such.
     """
-    heads = list(_HEAD.finditer(text))
+    heads = list(_HEAD.finditer(text)) if ":" in text else []
     if not heads:
         return [(False, line) for line in text.split("\n")]
-    count = Counter(_DIGITS.sub("0", m[1]) for m in heads)
+    named = [_DIGITS.sub("0", m[1] or m[2]) for m in heads]
+    count = Counter(named)
     begin = lambda m: not m.start() or text[m.start() - 1] == "\n"
     lines = [line for line in text.split("\n") if line.strip()]
     whole = 2 * sum(map(begin, heads)) > len(lines) > 2
@@ -249,8 +255,8 @@ def turns(text: str) -> list[tuple[bool, str]]:
             out.append((said and not k, line))
         said = False
 
-    for m in heads:
-        if count[_DIGITS.sub("0", m[1])] > 1 or (whole and begin(m)):
+    for m, name in zip(heads, named, strict=True):
+        if count[name] > 1 or (whole and begin(m)):
             take(text[at : m.start()])
             said, at = True, m.end()
     take(text[at:])
@@ -267,6 +273,8 @@ def parts_of(text: str) -> tuple[list[list[Unit]], list[list[Unit]], list[Unit]]
         if runs[-1]:
             runs.append([])
 
+    linked = bool(_DOTTED.search(text))
+    anchored = "<a" in text or "](" in text
     for turn, line in turns(text):
         start = 0
         if turn:
@@ -278,8 +286,9 @@ def parts_of(text: str) -> tuple[list[list[Unit]], list[list[Unit]], list[Unit]]
         for mark in _END.finditer(line):
             piece = line[start : mark.end()]
             start = mark.end()
-            size, plain = words(piece), replace_links(piece, "")
-            if _ANCHOR.search(piece) or (plain != piece and words(plain) < 0.5 * size):
+            size = words(piece)
+            plain = replace_links(piece, "") if linked else piece
+            if (anchored and _ANCHOR.search(piece)) or (plain != piece and words(plain) < 0.5 * size):
                 loose[-1].append(Unit(piece, size))
             else:
                 sentences[-1].append(Unit(piece, size))
