@@ -111,6 +111,8 @@ class Span(NamedTuple):
 
 def sound_of(word: str) -> str:
     """A word's sound without a last a, nasals alike: equal for an Indian word and its Latin spellings. The sign ~ sets it off from spellings."""
+    # Latin spellings double a vowel to make it long
+    word = word.replace("ee", "i").replace("oo", "u") if word.isascii() else word
     key = phonetic(word).replace("m", "n").replace(" ", "")
     return "~" + ((key.rstrip("a") or key) if len(key) > 2 else key)
 
@@ -285,9 +287,12 @@ def _number_span(tokens: list[Token], start: int, end: int, left: int, right: in
     digits = sum(c.isdigit() for c in value)
     whole = start == left and end == right
     near_phone, near_id = _distance(tokens, start, "phone"), _distance(tokens, start, "identity")
+    other = _distance(tokens, start, "other", 2)
+    if min(near_phone, near_id) < other:
+        # a word for another number before one for a phone or an identity isn't about this number
+        other = 99
     if near_phone == near_id == 99:
         near_phone = _distance(tokens, start, "number")
-    other = _distance(tokens, start, "other", 2)
     common = ["num_whole" if whole else "num_part"]
     if other < 99:
         common.append("num_other")
@@ -373,6 +378,8 @@ def _addresses(tokens: list[Token]) -> Iterator[Span]:
                 features.append("address_ends_street")
             elif split_pin:
                 features.append("address_ends_split_pin")
+            elif end - i > 2 and tokens[end - 2].marks & _MARKS["other"]:
+                features.append("address_ends_other")
             elif _PIN.match(last.bare) or last.low == "depot":
                 features.append("address_ends_pin")
             elif last.bare[:1].isupper() and len(last.bare) > 1:
@@ -543,6 +550,7 @@ class Examples:
         "it is on our site at kolmail.org|more at post-box.test today|this is about the parcel|Old Fenmoor branch was shut|every Monday Morning they call|{d3} units were used last month|"
         "{d3} rupees in all|flat rate of {d3} rupees|no {d3} of them came back|{d4} points on the Silver Star pack|block the card at once|house rent of {d4} rupees|"
         "ask for a receipt|speaking with the manager|account holder is absent|talk to someone else|name is missing|{d3} pages and {d3} lines in the main file|the receipt of {d4} units|"
+        "{d4} days on the main road and the amount is Rs {d3}{d3}|{d3} bags from the mill and a bill of {d3}{d3}|"
         "between 5 and 6 on the main road|plot twist in episode {d3}|batch code AB{d4}CD is old|serial {d3} {d3} {d4} on the box|we live at the end of the lane"
     ).split("|")
 

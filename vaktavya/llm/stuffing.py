@@ -43,7 +43,7 @@ FUNCTION_WORDS = {
     "en": "the a an is are was were be been has have had do does did will would can could that this these those and or but if as of to for with by from at on in not we you he she it "
     "they i my your our their when which who so because while after before until again please what how there any",
     "hi": "है हैं में की का के को से ने पर और यह मैं मुझे मेरा आप हम क्या नहीं था थे तो भी तक लिए हूँ",
-    "mr": "आहे मला मी माझं तुम्ही ची चा चे ला मध्ये आणि हे ते नाही पासून पर्यंत की होतं",
+    "mr": "आहे मला मी माझं तुम्ही ची चा चे ला मध्ये आणि हे ते नाही नाहीये पासून पर्यंत की होतं",
     "bn": "আমি আমার আমাদের আপনি আপনার এর কি না যে থেকে পর্যন্ত এবং এই জন্য মধ্যে দিকে",
     "gu": "છે મને મારું હું તમે તમારા અમારા માં ની નો ના નું અને તે થી સુધી નથી માટે",
     "ta": "நான் என் எனக்கு என்னோட நீங்க உங்க எங்க அவங்க என்று என்ன இந்த ஒரு வரை முதல் இல்லை மேல்",
@@ -71,7 +71,8 @@ _CLASSES = frozenset("\uE000\uE001")
 
 
 def _sound(word: str) -> str:
-    """A word's sound, nasals alike, without a last a."""
+    """A word's sound, nasals alike, without a last a; Latin spellings double a vowel to make it long."""
+    word = word.replace("ee", "i").replace("oo", "u") if word.isascii() else word
     key = phonetic(word).replace("m", "n").replace(" ", "")
     return (key.rstrip("a") or key) if len(key) > 2 else key
 
