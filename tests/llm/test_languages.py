@@ -53,3 +53,9 @@ def test_english_in_texts_of_one_label_is_not_learned_as_that_language():
     fitted = languages.fit(clean + noisy)
     found = languages.segments(fitted, ["মিটার এর মধ্যে ভুল your refund has still not reached me"])[0]
     assert [p[2] for p in found] == ["bn", "en"]
+
+
+def test_words_on_both_sides_of_a_number_are_not_in_a_row(model):
+    told = lambda text: [p[4] for p in languages.segments(model, [text])[0]]
+    assert told("please send the receipt 5276594660 for the parcel again") == [4]
+    assert told("please send the receipt , for the parcel again") == [8]

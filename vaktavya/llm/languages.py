@@ -42,7 +42,7 @@ _INDEX = {c: i for i, c in enumerate(LANGUAGES)}
 _N = len(LANGUAGES)
 _HIDDEN = -1e4
 
-_STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+_DIGIT = re.compile(r"\d")
 _UNSEEN = re.compile("[­​-‏‪-‮⁠-⁯﻿]")
 _EDGES = " \t\n.,;:?!\"'()[]{}।॥“”‘’-–—"
 
@@ -320,7 +320,7 @@ def without_addresses(words: list[str]) -> list[str]:
 
 
 def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
-    """Per text, stretches of one language: first word, word after the last, language, confidence, words that tell it."""
+    """Per text, stretches of one language: first word, word after the last, language, confidence, most words in a row that tell it."""
     ids, kept = [], []
     split = [without_addresses(t.split()) if t and _MAIL.search(t) else (t or "").split() for t in texts]
     for k, words in enumerate(split):
@@ -361,15 +361,19 @@ def _stretches(words: list[str], row: list[tuple[int, float, bool]]) -> list[tup
         if not row[i][2]:
             i += 1
             continue
-        j, last, total, told = i, i, 0.0, 0
+        j, last, total, told, row_of, longest = i, i, 0.0, 0, 0, 0
         while j < n and (not row[j][2] or row[j][0] == row[i][0]):
             if row[j][2]:
                 last = j
                 # a capital inside of a text may begin a name
                 if not (capital[j] and j):
-                    total, told = total + row[j][1], told + 1
+                    total, told, row_of = total + row[j][1], told + 1, row_of + 1
+                    longest = max(longest, row_of)
+            elif _DIGIT.search(words[j]):
+                # words on both sides of a number aren't in a row
+                row_of = 0
             j += 1
-        out.append((i, last + 1, LANGUAGES[row[i][0]], total / told if told else row[i][1], told))
+        out.append((i, last + 1, LANGUAGES[row[i][0]], total / told if told else row[i][1], longest))
         i = j
     return out
 
