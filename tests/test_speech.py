@@ -83,6 +83,18 @@ def test_alignment(spark, release):
     assert found == {"u1": "x", "u2": ""}
 
 
+def test_batches_of_a_hot_key_are_numbered_across_tasks(spark):
+    from collections import Counter
+
+    rows = [("hot", f"{i:05}") for i in range(3000)] + [("cold", f"{i:05}") for i in range(7)] + [(None, f"{i:05}") for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, id string").repartition(5)
+    found = speech.batches(df, F.col("k"), 16, F.col("id"))
+    assert found.columns == ["k", "id", "batch"]
+    assert {(r.k, r.id): r.batch for r in found.collect()} == {(k, i): int(i) // 16 for k, i in rows}
+    assert max(Counter((r.k, r.batch) for r in found.collect()).values()) == 16
+    assert speech.batches(df.limit(0), F.col("k"), 16, F.col("id")).count() == 0
+
+
 def test_languages(spark, release):
     assert [r[0] for r in release.select(speech.tag_codes(F.lit(" HI_en-hi-"))).limit(1).collect()] == [["en", "hi"]]
     assert [r.utterance_id for r in speech.without_languages(release, ("ml",)).collect()] == ["u1"]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaktavya.plans.session import settled
+
 #: Languages with a folder of their own, and the columns of a release.
 LANGUAGES = {
     "bengali": "bn", "english": "en", "gujarati": "gu", "hindi": "hi", "kannada": "kn", "malayalam": "ml", "marathi": "mr", "tamil": "ta", "telugu": "te",
@@ -193,6 +195,45 @@ UNSUPPORTED: dict[str, dict[str, tuple]] = {
 }
 
 
+def load_unsupported(path: str | Path) -> dict[str, dict[str, tuple]]:
+    """A table like UNSUPPORTED from a JSON file."""
+    rules = json.loads(Path(path).read_text(encoding="utf-8"))
+    return {name: {"any_of": tuple(r.get("any_of", ())), "exactly": tuple(map(tuple, r.get("exactly", ())))} for name, r in rules.items()}
+
+
+def supported_rows(df: DataFrame, provider: str, rules: dict[str, dict[str, tuple]] | None = None) -> DataFrame:
+    """The rows whose languages a recogniser can do; a recogniser without an entry in ``rules`` keeps all."""
+    return without_languages(df, **(UNSUPPORTED if rules is None else rules).get((provider or "").strip().lower(), {}))
+
+
+def first_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows in an order: a top-k, not a sort of everything."""
+    return df.orderBy(*order).limit(n)
+
+
+def batches(df: DataFrame, key: Column, size: int, order: Column) -> DataFrame:
+    """``df`` with ``batch``, numbering groups of at most ``size`` rows of one key from 0, in ``order``; a null key is one too.
+
+    Rows are cut into ranges of key and order, so a key with most of the rows is spread over many tasks. A row's number is its place in its
+    range after the sizes of the key's ranges before, a table of one row for each key and range. The ranges are kept in the checkpoint
+    folder, since numbers and sizes must be of the same ones.
+    """
+    ranged = df.withColumns({"_k": key, "_o": order}).repartitionByRange("_k", "_o").sortWithinPartitions("_k", "_o")
+    kept = settled(ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    ranges = kept.groupBy("_k", "_p").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select(F.col("_k").alias("_sk"), F.col("_p").alias("_sp"), (before - F.col("_first")).alias("_shift"))
+    placed = kept.join(starts, (F.col("_p") == F.col("_sp")) & F.col("_k").eqNullSafe(F.col("_sk")))
+    return placed.withColumn("batch", F.floor((F.col("_i") + F.col("_shift")) / size).cast("bigint")).select(*df.columns, "batch")
+
+
+#: Languages that a recogniser can't do, by its id: any of these codes, or exactly one of these sets.
+UNSUPPORTED: dict[str, dict[str, tuple]] = {
+    "deepgram": {"any_of": ("ml",)},
+    "gemini_realtime": {"exactly": (("hi", "mr"),)},
+}
+
+
 def load_unsupported(path: str | Path) -> dict[str, dict[str, tuple]]:
     """A table like UNSUPPORTED from a JSON file."""
     rules = json.loads(Path(path).read_text(encoding="utf-8"))
